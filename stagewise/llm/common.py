@@ -57,3 +57,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "stagewise-checkpoints")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, wherever the driver found it."""
+    import shutil
+
+    sc = spark.sparkContext
+    if not getattr(sc, "_stagewise_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        base = os.path.join(tempfile.mkdtemp(prefix="stagewise"), "stagewise_package")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "stagewise"))
+        sc._stagewise_shipped = True
