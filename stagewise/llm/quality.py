@@ -102,46 +102,48 @@ def line_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.column_stack([np.ones(len(own)), own, before, after]), chars, doc
 
 
-def marginals(evidence: np.ndarray, doc: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(good) of each line; the expected label pairs of each document; the log of each document's normaliser.
+def marginals(evidence: np.ndarray, doc: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and the expected number of each pair of neighbouring labels.
 
-    evidence: log odds of good, by line; pairs[y, z]: weight of label y before z. Documents step forward and back together.
+    evidence: log odds of good, by line; pairs[y, z]: weight of label y before z. The forward and backward
+    sums are kept as shares of good, so nothing overflows. All documents step forward and back together.
     """
     n = int(doc[-1]) + 1
     size = np.bincount(doc, minlength=n)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     order = np.argsort(-size, kind="stable")  # those that are still running come first
-    start, size_o = start[order], size[order]
-    steps = int(size.max())
-    live = np.searchsorted(-size_o, -np.arange(steps) - 0.5).tolist()  # documents with more than k lines
-    lik = np.zeros((len(evidence), 2))
-    lik[:, 1] = evidence
-    fwd, bwd = np.zeros_like(lik), np.zeros_like(lik)
-    for k in range(steps):
+    start, size = start[order], size[order]
+    live = np.searchsorted(-size, -np.arange(int(size[0])) - 0.5)  # documents with more than k lines
+    odds = np.exp(np.clip(evidence, -40, 40))
+    p = np.exp(np.clip(pairs, -20, 20))
+    fwd, bwd = np.empty(len(odds)), np.full(len(odds), 0.5)
+    fwd[start] = odds[start] / (1 + odds[start])
+    for k in range(1, len(live)):
         at = start[: live[k]] + k
-        if k == 0:
-            fwd[at] = lik[at]
-        else:
-            p = fwd[at - 1][:, :, None] + pairs
-            fwd[at] = np.logaddexp(p[:, 0], p[:, 1]) + lik[at]
-    for k in range(steps - 2, -1, -1):
+        g = fwd[at - 1]
+        good = (p[0, 1] + g * (p[1, 1] - p[0, 1])) * odds[at]
+        fwd[at] = good / (good + p[0, 0] + g * (p[1, 0] - p[0, 0]))
+    for k in range(len(live) - 2, -1, -1):
         at = start[: live[k + 1]] + k
-        p = pairs + (lik[at + 1] + bwd[at + 1])[:, None, :]
-        bwd[at] = np.logaddexp(p[:, :, 0], p[:, :, 1])
-    ends = np.empty(n, np.int64)
-    ends[order] = start + size_o - 1
-    z = np.logaddexp(fwd[ends, 0], fwd[ends, 1])
-    good = np.exp(fwd[:, 1] + bwd[:, 1] - z[doc])
-    expected = np.zeros((2, 2))
+        good = odds[at + 1] * bwd[at + 1]
+        bad = 1 - bwd[at + 1]
+        one = p[1, 0] * bad + p[1, 1] * good
+        bwd[at] = one / (one + p[0, 0] * bad + p[0, 1] * good)
+    good = fwd * bwd
+    good = good / np.maximum(good + (1 - fwd) * (1 - bwd), 1e-300)
     to = np.flatnonzero(np.append(False, doc[1:] == doc[:-1]))
-    if len(to):
-        p = np.exp(fwd[to - 1][:, :, None] + pairs + (lik[to] + bwd[to])[:, None, :] - z[doc[to]][:, None, None])
-        expected = p.sum(0)
-    return good, expected, z
+    joint = np.stack([1 - fwd[to - 1], fwd[to - 1]], 1)[:, :, None] * p * np.stack([1 - bwd[to], odds[to] * bwd[to]], 1)[:, None, :]
+    return good, (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+
 
+def fit(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 150, l2: float = 1e-4, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, pairs) that maximise the likelihood of every line of document i having label[i], by Adam on the whole sample.
 
-def fit(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 250, l2: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, pairs) that maximise the likelihood of every line of document i having label[i], by Adam on the whole sample."""
+    Features are scaled to a deviation of 1 meanwhile.
+    """
+    scale = np.maximum(features.std(0), 1e-3)
+    scale[0] = 1
+    features = features / scale
     y = label[doc]
     to = np.append(False, doc[1:] == doc[:-1])
     seen = np.zeros((2, 2))
@@ -149,18 +151,18 @@ def fit(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int =
     w = np.zeros(features.shape[1] + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        good, expected, _ = marginals(features @ w[:-4], doc, w[-4:].reshape(2, 2))
+        good, expected = marginals(features @ w[:-4], doc, w[-4:].reshape(2, 2))
         g = np.concatenate([features.T @ (y - good), (seen - expected).ravel()]) / len(y) - l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-4], w[-4:].reshape(2, 2)
+    return w[:-4] / scale, w[-4:].reshape(2, 2)
 
 
 def document_scores(texts: Sequence[str], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     if not len(texts):
         return np.empty(0)
     features, chars, doc = line_features(texts)
-    good, _, _ = marginals(features @ model[0], doc, model[1])
+    good, _ = marginals(features @ model[0], doc, model[1])
     weight = np.maximum(chars, 1)
     return np.clip(np.bincount(doc, good * weight) / np.bincount(doc, weight), 0, 1)
 
@@ -169,7 +171,7 @@ def held_out(id_col: str, folds: int = 5):
     return F.crc32(F.col(id_col).cast("string")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000):
     """The model, from at most `sample` labelled documents outside the held-out fold; a float if there is nothing to tell apart."""
     ship(docs.sparkSession)
     ids = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
