@@ -69,3 +69,46 @@ def ship(spark: SparkSession) -> None:
         base = os.path.join(tempfile.mkdtemp(prefix="stagewise"), "stagewise_package")
         sc.addPyFile(shutil.make_archive(base, "zip", root, "stagewise"))
         sc._stagewise_shipped = True
+
+
+#: Bits of a part of a bitmap: what bitmap_construct_agg() fills; parts of a bitmap: 2 MB in all, 32 MB at most.
+PART_BITS, PARTS, MOST_PARTS = 32768, 512, 8192
+
+
+def parts_for(keys: int) -> int:
+    """Parts of a bitmap with about 8 bits a key, within the bounds."""
+    return max(PARTS, min(MOST_PARTS, 1 << max(0, (8 * keys // PART_BITS)).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, hashed: Column, parts: int = PARTS) -> DataFrame:
+    """A bitmap of bounded size, whatever the input, with the bits of all hashed keys set: (__part, __bitmap)."""
+    at = F.pmod(hashed, F.lit(parts * PART_BITS))
+    return keys.select(F.floor(at / PART_BITS).cast("int").alias("__part"), (at % PART_BITS).alias("__at")).groupBy("__part").agg(F.expr("bitmap_construct_agg(__at)").alias("__bitmap"))
+
+
+def marked(rows: DataFrame, hashed: Column, bitmap: DataFrame, flag: str, parts: int = PARTS) -> DataFrame:
+    """rows with a flag: whether the bit of the hashed key is set. All keys of the bitmap are found; some others, too."""
+    rows = rows.withColumn("__bit", F.pmod(hashed, F.lit(parts * PART_BITS)))
+    rows = rows.join(F.broadcast(bitmap), F.floor(F.col("__bit") / PART_BITS).cast("int") == F.col("__part"), "left")
+    rows = rows.withColumn("__byte", F.conv(F.hex(F.expr(f"substring(__bitmap, cast((__bit % {PART_BITS}) div 8 + 1 as int), 1)")), 16, 10).cast("int"))
+    return rows.withColumn(flag, F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1, F.lit(False))).drop("__bit", "__part", "__bitmap", "__byte")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(v, label): every id in an edge with the least id that it reaches, by the least label of neighbours and pointer jumping.
+
+    Each round is written out. Neighbours are never gathered, only their least label, with map-side combining.
+    """
+    both = edges.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v != w")
+    both = checkpointed(both.union(both.select("w", "v")).distinct())
+    labels = checkpointed(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
+        hooked = checkpointed(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        jump = hooked.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        hooked = checkpointed(hooked.join(jump, "label").select("v", "old", F.col("next").alias("label")))
+        done = hooked.where("old != label").isEmpty()
+        labels = hooked.select("v", "label")
+        if done:
+            break
+    return labels

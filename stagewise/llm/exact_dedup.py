@@ -27,10 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import text_of, with_result, without_white
+from stagewise.llm.common import bitmap_of, marked, text_of, with_result, without_white
 
-#: Bits of a part of the bitmap: what bitmap_construct_agg() fills.
-PART_BITS = 32768
 RESULTS = ("keep_id", "group_size", "kept")
 
 
@@ -42,34 +40,24 @@ def surviving_keys(docs: DataFrame, text_col: str = "text", prefix: int = 64) ->
     return counted.where("n > 1").select("nlen", "ph")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, prefix: int = 64, parts: int = 512) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, prefix: int = 64) -> DataFrame:
     """Every row of docs with keep_id, group_size and kept; carry: the input columns to return (all by default).
 
     Of equal texts, the row with the most code points, then the smallest id, stays.
     """
     keep = with_result(docs, docs.columns if carry is None else carry, RESULTS)
-    bits = parts * PART_BITS
-    bit = lambda nlen, ph: F.pmod(F.xxhash64(nlen, ph), F.lit(bits))
-    part = lambda b: F.floor(b / PART_BITS).cast("int")
-
-    at = bit(F.col("nlen"), F.col("ph"))
-    bitmap = surviving_keys(docs, text_col, prefix).select(part(at).alias("__part"), (at % PART_BITS).alias("__at")).groupBy("__part").agg(F.expr("bitmap_construct_agg(__at)").alias("__bitmap"))
+    key = F.xxhash64("__nlen", "__ph")
+    bitmap = bitmap_of(surviving_keys(docs, text_col, prefix).select(F.col("nlen").alias("__nlen"), F.col("ph").alias("__ph")), key)
 
     norm = without_white(text_of(text_col))
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in keep], F.col(id_col).alias("__id"), F.length(text_of(text_col)).alias("__chars"), norm.alias("__norm"))
     rows = rows.withColumns({"__nlen": F.length("__norm"), "__ph": F.xxhash64(F.substring("__norm", 1, prefix))})
-    rows = rows.withColumn("__bit", bit(F.col("__nlen"), F.col("__ph")))
-    # at most `parts` rows of 4 KB
-    rows = rows.join(F.broadcast(bitmap), part(F.col("__bit")) == F.col("__part"), "left")
-    inside = F.col("__bit") % PART_BITS
-    byte = F.conv(F.hex(F.expr(f"substring(__bitmap, cast((__bit % {PART_BITS}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    shared = F.coalesce(F.expr("shiftright(__byte, cast(__in % 8 as int)) & 1") == 1, F.lit(False))
-    rows = rows.withColumns({"__byte": byte, "__in": inside})
+    rows = marked(rows, key, bitmap, "__shared")
     out = [F.col(f"c_{c}").alias(c) for c in keep]
 
-    alone = rows.where(~shared).select(*out, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = rows.where(~F.col("__shared")).select(*out, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
 
-    held = rows.where(shared).select(*[f"c_{c}" for c in keep], "__id", "__chars", F.sha2("__norm", 256).alias("__full"))
+    held = rows.where("__shared").select(*[f"c_{c}" for c in keep], "__id", "__chars", F.sha2("__norm", 256).alias("__full"))
     first = F.struct(-F.col("__chars"), F.col("__id").isNull(), F.col("__id").alias("id"))
     groups = held.groupBy("__full").agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("__full").alias("__g"), F.xxhash64("__full").alias("__gk"), F.col("__first.id").alias("keep_id"), "group_size")

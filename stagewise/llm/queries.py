@@ -14,7 +14,9 @@ from stagewise.llm.exact_dedup import exact_dedup
 from stagewise.llm.fingerprints import edit_fingerprints
 from stagewise.llm.html_text import extract
 from stagewise.llm.mixing import mix
+from stagewise.llm.near_dedup import near_duplicates
 from stagewise.llm.quality import held_out, score_quality, train
+from stagewise.llm.substring_dedup import remove_repeats
 from stagewise.llm.token_counts import count_tokens
 
 
@@ -33,10 +35,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op4_fingerprints, op6_quality, op7_html_text, op8_chat_formatting, op9_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_near_dedup, op4_fingerprints, op5_substring_dedup, op6_quality, op7_html_text, op8_chat_formatting, op9_exact_dedup, op10_bpe)}
 
 
 OP1_SQL = r"""
