@@ -339,3 +339,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = F.col("id").isNull() | (F.col("n") == 0)
     component = F.when(alone, F.col("id")).otherwise(F.col("label"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps; texts of rows that surely stay aren't shuffled."""
+    decided = near_duplicates(docs, id_col=id_col, **options)
+    gone = checkpointed(decided.where("not kept").select(F.col(id_col).alias("__gone")))
+    rows = marked(docs, F.xxhash64(F.col(id_col).cast("long")), checkpointed(bitmap_of(gone, F.xxhash64("__gone"))), "__held")
+    stay = rows.where(~F.col("__held"))
+    return stay.unionByName(rows.where("__held").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")).select(*docs.columns)
