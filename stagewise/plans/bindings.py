@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
-from stagewise.operators import catalog, census, files, guards, manifest, ranking, structure
+from stagewise.operators import catalog, census, files, guards, manifest, ranking, recovery, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -472,3 +472,21 @@ def census_formats(spark, d):
 def census_interval(spark, d):
     out = census.mean_interval(t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
     return out.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query()
+def parse_setlist(spark, d):
+    got = recovery.parse_setlists(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return got.select("doc_id", F.size("items").alias("n_items"), F.array_join(F.transform("items", lambda x: x["set"]), ",").alias("sets"), "confidence")
+
+
+@query()
+def align_tracks(spark, d):
+    a = tracks(spark, d)
+    b = t(spark, d, "conversations").where("turn % 3 <> 1").select((F.col("conv_id")).alias("conv_id"), "turn", F.concat(F.lit("r"), F.col("turn").cast("string")).alias("item"), "role", (F.col("turn") % 2 == 0).alias("segue"))
+    return recovery.align_tracks(a, b, "conv_id", "turn", "title", "turn", "item", "role", "segue").select("conv_id", "turn", "set_label", "segue", "matched", "coverage")
+
+
+@query()
+def venue_equivalence(spark, d):
+    return recovery.venue_mismatches(t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type")
