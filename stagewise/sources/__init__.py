@@ -1 +1 @@
-"""stagewise.sources"""
+"""Sources: scans of ledgers, evidence, playlists, packages and remote catalogs."""

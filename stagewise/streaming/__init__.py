@@ -1 +1 @@
-"""stagewise.streaming"""
+"""Streaming counterparts of the polling processors."""
