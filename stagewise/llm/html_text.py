@@ -109,13 +109,14 @@ class Page:
                 stack.append(i)  # HTML ignores the slash of a block element
 
     def _close(self, stack: list[int], kinds: set[str], scope: set[str]) -> None:
+        end = len(stack)
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in kinds:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
+                end = k
+            elif tag in scope:
+                break
+        del stack[end:]
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
         classes, drop = "", tag in DROP_TAG
