@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagewise.shipping import ship
+
 #: The six characters that separate words everywhere in this subpackage.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: A word, in the syntax of Java, Python and DuckDB alike.
@@ -59,18 +62,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, wherever the driver found it."""
-    import shutil
-
-    sc = spark.sparkContext
-    if not getattr(sc, "_stagewise_shipped", False):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        base = os.path.join(tempfile.mkdtemp(prefix="stagewise"), "stagewise_package")
-        sc.addPyFile(shutil.make_archive(base, "zip", root, "stagewise"))
-        sc._stagewise_shipped = True
-
-
 #: Bits of a part of a bitmap: what bitmap_construct_agg() fills; parts of a bitmap: 2 MB in all, 32 MB at most.
 PART_BITS, PARTS, MOST_PARTS = 32768, 512, 8192
 
@@ -94,21 +85,63 @@ def marked(rows: DataFrame, hashed: Column, bitmap: DataFrame, flag: str, parts:
     return rows.withColumn(flag, F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1, F.lit(False))).drop("__bit", "__part", "__bitmap", "__byte")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(v, label): every id in an edge with the least id that it reaches, by the least label of neighbours and pointer jumping.
+class Union(dict):
+    """Union-find; the least member names a class."""
+
+    def find(self, x: int) -> int:
+        while (y := self.get(x, x)) != x:
+            self[x] = x = self.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+#: Edges that one task contracts.
+CHUNK_EDGES = 500_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of each partition as stars around the least member of what they connect there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, seen = Union(), set()
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u.join(x, y)
+                seen.add(x)
+                seen.add(y)
+        stars = [(r, v) for v in seen if (r := u.find(v)) != v]
+        for k in range(0, len(stars), 100_000):
+            a, b = zip(*stars[k : k + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(v, label): every id in an edge (a, b), a <> b, with the least id that it reaches.
 
-    Each round is written out. Neighbours are never gathered, only their least label, with map-side combining.
+    Chunks of bounded size are contracted to stars, each in a task. Where there is more than one chunk, rounds of
+    taking the least label of the neighbours, and the label's label, follow until nothing changes. Neighbours are
+    never gathered, only their least label, with map-side combining, and each round is written out.
     """
-    both = edges.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v != w")
-    both = checkpointed(both.union(both.select("w", "v")).distinct())
+    ship(edges.sparkSession)
+    edges = checkpointed(edges.select("a", "b").where("a != b"))
+    chunks = max(1, -(-edges.count() // CHUNK_EDGES))
+    stars = checkpointed(contracted(edges.coalesce(chunks)))
+    both = stars.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    both = both.union(both.select("w", "v"))
+    both = checkpointed(both.distinct()) if chunks > 1 else both
     labels = checkpointed(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(rounds):
+    for _ in range(rounds if chunks > 1 else 0):
         near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        hooked = checkpointed(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        jump = hooked.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        hooked = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
         hooked = checkpointed(hooked.join(jump, "label").select("v", "old", F.col("next").alias("label")))
-        done = hooked.where("old != label").isEmpty()
         labels = hooked.select("v", "label")
-        if done:
+        if hooked.where("old != label").isEmpty():
             break
     return labels

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import bitmap_of, checkpointed, components, marked, ship
+from stagewise.llm.common import Union, bitmap_of, checkpointed, components, marked, ship
 
 COORDINATES = 64
 U64 = np.uint64
@@ -52,7 +52,7 @@ class WordHashes(dict):
     """Hashes of words seen by this worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -163,18 +163,6 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges, [*edges[1:], len(key)], strict=True)
 
 
-class Union(dict):
-    def find(self, x: int) -> int:
-        while (y := self.get(x, x)) != x:
-            self[x] = x = self.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self[max(x, y)] = min(x, y)
-        return x != y
-
-
 def least_agreement(threshold: float) -> int:
     return max(1, math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
 
@@ -279,18 +267,19 @@ def confirmed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                     if len(held) > 1:
                         out += links(*zip(*held, strict=True))
                     now, held = row[:2], []
-                held.append((row[3], row[2], row[4]))
+                if not held or held[-1][:2] != (row[3], row[2]):  # rows that repeat an id count once
+                    held.append((row[3], row[2], row[4]))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
         out = list(links(*zip(*held, strict=True))) if len(held) > 1 else []
         a, b = zip(*out, strict=True) if out else ((), ())
         yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
-    rows = rows.select("grp", "block", "pack", "rep", "text").repartition("grp", "block").sortWithinPartitions("grp", "block", "rep")
+    rows = rows.select("grp", "block", "pack", "rep", "text").repartition("grp", "block").sortWithinPartitions("grp", "block", "pack", "rep")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 6, leaf: int = 200, block: int = 256, pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 4, leaf: int = 200, block: int = 256, pivots: int = 16) -> DataFrame:
     """id, n_shingles, component_id (the least id reachable over links) and kept (whether that is the id itself) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     threshold = percent / 100
@@ -300,19 +289,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sets.select("rep", "sig")
     groups = components(proposed(reps, threshold, recall, depth, leaf))
 
-    # full texts of grouped representatives only
-    texts = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(groups, F.xxhash64("v"))), "held").where("held").drop("held")
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     placed = groups.join(sizes.select(F.col("label").alias("grp"), F.xxhash64("label").alias("__k"), "members"), (F.xxhash64("label") == F.col("__k")) & (F.col("label") == F.col("grp"))).select(F.col("v").alias("rep"), "grp", "members")
     blocks = F.ceil(F.col("members") / block).cast("int")
     placed = placed.withColumn("block", F.when(F.col("members") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), blocks)).cast("int"))
     placed = checkpointed(placed)
-    texts = texts.join(placed, F.col("id") == F.col("rep")).select("grp", "block", "members", "rep", "text").dropDuplicates(["rep"])
-    small = texts.where(F.col("members") <= block).withColumn("pack", F.lit(False))
+
+    def texts_of(which: DataFrame) -> DataFrame:
+        """Their full texts; others aren't shuffled."""
+        held = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(which, F.xxhash64("rep"))), "held").where("held")
+        return held.join(which, F.col("id") == F.col("rep")).select("grp", "block", "members", "rep", "text")
+
+    small = texts_of(placed.where(F.col("members") <= block)).withColumn("pack", F.lit(False))
     links = checkpointed(confirmed(small, shingle, percent))
 
     if not placed.where(F.col("members") > block).isEmpty():
-        big = checkpointed(texts.where(F.col("members") > block))
+        big = checkpointed(texts_of(placed.where(F.col("members") > block)))
         spread = F.explode(F.sequence(F.lit(0), blocks - 1))
         first = Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep")
         picked = big.select("grp", "rep").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= pivots).select(F.col("rep").alias("__r"))

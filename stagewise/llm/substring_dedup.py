@@ -173,7 +173,7 @@ def placed_fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """wanted (anchor, hot, id, at) with the hashed words of each fragment."""
     parts = parts_for(wanted.count())
-    texts = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(wanted, F.xxhash64("id"), parts)), "__held", parts).where("__held").select("id", "text").dropDuplicates(["id"])
+    texts = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(wanted, F.xxhash64("id"), parts)), "__held", parts).where("__held").select("id", "text")
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "hot", "at")).alias("list"))  # no more than a document's words
     rows = texts.join(lists.select(F.col("id").alias("__i"), "list"), F.col("id") == F.col("__i")).select("id", "text", "list")
 
@@ -197,7 +197,11 @@ def streamed(rows: DataFrame, window: int) -> DataFrame:
     def spans(part: pa.Table) -> Iterator[tuple[int, int, int]]:
         automaton = SuffixAutomaton()
         ids, places, words = (part.column(c).to_pylist() for c in ("id", "at", "words"))
+        before = None
         for i, at, w in zip(ids, places, words, strict=True):
+            if (i, at) == before:  # rows that repeat an id count once
+                continue
+            before = (i, at)
             sequence = np.frombuffer(w, np.uint64).tolist()
             a, b = -1, -1
             for k, n in enumerate(automaton.matches(sequence)):
