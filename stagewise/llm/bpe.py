@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from stagewise.llm import presplit
 from stagewise.llm.common import ship
 
-#: Distinct parts that a worker remembers.
-CACHE = 500_000
+#: Distinct parts, and table cells, that a worker remembers: about 100 MB in all.
+CACHE, CELLS = 250_000, 500_000
 NEVER = 1 << 40
 
 
@@ -56,7 +56,7 @@ class Automaton:
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.gadgets: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         self.arcs: dict[bytes, int] = {}
         for t, i in vocabulary.items():
             if len(t) == 1 and t in letters:
@@ -94,13 +94,14 @@ class Automaton:
 
     def follows(self, x: int, y: int) -> bool:
         """Whether the automaton has the arc y from the state x."""
-        got = self.table.get((x, y))
+        cell = x << 32 | y
+        got = self.table.get(cell)
         if got is None:
             left = self._edge(y, 0)
             got = not any((k := self.gadgets.get((u, v))) is not None and since_u < k < until_u and since_v < k <= until_v for u, since_u, until_u in self._edge(x, 1) for v, since_v, until_v in left)
-            if len(self.table) > 4 * CACHE:
+            if len(self.table) > CELLS:
                 self.table.clear()
-            self.table[x, y] = got
+            self.table[cell] = got
         return got
 
     def encode_word(self, word: bytes) -> list[int]:

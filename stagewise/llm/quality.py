@@ -180,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
                 x, _, doc = line_features([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2).cast(pa.int64()), pa.array([x[doc == i].ravel() for i in range(part.num_rows)], pa.list_(pa.float64()))], names=["i", "y", "x"])
 
@@ -202,8 +202,8 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 300):
-                part = batch.slice(k, 300)
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 s = np.full(len(texts), model) if isinstance(model, float) else document_scores(texts, model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[*keep, *RESULTS])

@@ -29,7 +29,7 @@ from stagewise.llm import presplit
 from stagewise.llm.common import ship
 
 #: Distinct parts that a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 class TokenCounter:
