@@ -9,9 +9,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of a batch that goes to Python, where the session keeps Spark's default of 10,000: rows here are whole texts.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, wherever the driver found it."""
+    """Make this package importable on the executors, wherever the driver found it, and keep batches of texts small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not getattr(sc, "_stagewise_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         base = os.path.join(tempfile.mkdtemp(prefix="stagewise"), "stagewise_package")
