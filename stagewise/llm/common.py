@@ -121,27 +121,34 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, label): every id in an edge (a, b), a <> b, with the least id that it reaches.
 
-    Chunks of bounded size are contracted to stars, each in a task. Where there is more than one chunk, rounds of
-    taking the least label of the neighbours, and the label's label, follow until nothing changes. Neighbours are
-    never gathered, only their least label, with map-side combining, and each round is written out.
+    Chunks of bounded size are contracted to stars, each in a task. Where there is more than one chunk, rounds follow
+    until no edge moves: every edge's lesser end, then every lesser end of the same id, gives way to the least
+    neighbour. Moves keep what is connected, take ids down, so they end, and none is left only where all edges are
+    stars around the least id. Rounds grow with the logarithm of the ids, in any order of them. Neighbours are never
+    gathered, only the least one, with map-side combining, and each step is written out.
     """
     ship(edges.sparkSession)
     edges = checkpointed(edges.select("a", "b").where("a != b"))
     chunks = max(1, -(-edges.count() // CHUNK_EDGES))
-    stars = checkpointed(contracted(edges.coalesce(chunks)))
-    both = stars.select(F.col("a").alias("v"), F.col("b").alias("w"))
-    both = both.union(both.select("w", "v"))
-    both = checkpointed(both.distinct()) if chunks > 1 else both
-    labels = checkpointed(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(rounds if chunks > 1 else 0):
-        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        hooked = checkpointed(hooked.join(jump, "label").select("v", "old", F.col("next").alias("label")))
-        labels = hooked.select("v", "label")
-        if hooked.where("old != label").isEmpty():
-            break
-    return labels
+    stars = checkpointed(contracted(edges.coalesce(chunks)).select(F.col("b").alias("v"), F.col("a").alias("w")))  # w < v
+
+    def least(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("least")).select(F.col("v").alias("of"), "least")
+
+    def both() -> DataFrame:
+        return stars.select("v", "w").union(stars.select(F.col("w").alias("v"), F.col("v").alias("w")))
+
+    def once(pairs: DataFrame) -> DataFrame:
+        return checkpointed(pairs.groupBy("v", "w").agg(F.max("moved").alias("moved")))
+
+    moving = chunks > 1
+    while moving:
+        moved = F.col("w") != F.col("least")
+        stars = once(stars.join(least(both()), F.col("w") == F.col("of")).select("v", F.col("least").alias("w"), moved.alias("moved")))
+        near = stars.join(least(stars), F.col("v") == F.col("of"))
+        stars = once(near.select(F.when(moved, F.col("w")).otherwise(F.col("v")).alias("v"), F.col("least").alias("w"), (F.col("moved") | moved).alias("moved")))
+        moving = not stars.where("moved").isEmpty()
+    return checkpointed(least(both()).select(F.col("of").alias("v"), F.col("least").alias("label")))

@@ -19,6 +19,18 @@ def test_components(spark, monkeypatch, chunk):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("chunks", [2, 10])
+def test_components_of_a_chain_in_random_order(spark, monkeypatch, chunks):
+    monkeypatch.setattr(common, "CHUNK_EDGES", -(-2000 // chunks))
+    rnd = random.Random(3)
+    ids = rnd.sample(range(10**9), 2001)
+    edges = list(zip(ids, ids[1:]))
+    rnd.shuffle(edges)
+    got = {r.v: r.label for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(chunks)).collect()}
+    assert set(got) == set(ids)
+    assert sum(label != min(ids) for label in got.values()) == 0
+
+
 def test_bitmap(spark):
     from pyspark.sql import functions as F
 
