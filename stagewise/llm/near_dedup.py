@@ -8,14 +8,15 @@ each coordinate is selected with probability 1 / (threshold x coordinates), the
 same ones for all rows of the node, and every row branches to the child named
 by (node, coordinate, its minwise value there). Two sets as similar as the
 threshold share one child on average, so a tree keeps them together at depth d
-with a probability that is known beforehand; independent trees are repeated until a
-pair at the threshold is found with the target probability at the greatest
-depth (pairs that part from the crowd earlier are surer). Nodes with one row
+with a probability that is known beforehand for each number of coordinates in
+which they agree; trees are repeated until a pair at the threshold is found with
+the target probability, averaged over that number, at the greatest depth (pairs
+that part from the crowd earlier are surer). Nodes with one row
 end; nodes of up to `leaf` rows are compared exhaustively; larger ones branch
 on. Nodes of different trees with the same members are compared once.
 
 Comparing. Within a leaf, signatures are compared, and rows whose agreement
-leaves a similarity at the threshold possible (four standard errors) are tied
+leaves a similarity at the threshold possible (four standard errors at least) are tied
 to the least of their cluster. Nodes that are still large at the greatest depth
 are tied as they are. Ties only propose: the connected groups of ties are where
 full sets are compared, and only links confirmed there count. Groups of up to
@@ -119,15 +120,36 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary")
 
 
-def trees_for(recall: float, depth: int) -> int:
-    """Trees after which a pair at the threshold was together in one of them down to the depth, with the probability recall.
+def agreements(threshold: float) -> list[float]:
+    """Probability of each number of coordinates in which signatures of a pair at the threshold agree."""
+    return [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
 
-    Its common children are about a Poisson variable with mean 1.
+
+def recall_of(trees: int, depth: int, threshold: float, need: int) -> float:
+    """Probability that a pair at the threshold agrees in `need` coordinates and stays together in a tree down to the depth.
+
+    All trees branch on the same coordinates: they are independent only for a given number of agreeing ones.
     """
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - math.exp(-q)
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+    found = 0.0
+    for k, p in enumerate(agreements(threshold)):
+        q = 1.0
+        for _ in range(depth):
+            q = 1 - (1 - q / (threshold * COORDINATES)) ** k
+        found += p * (1 - (1 - q) ** trees) if k >= need else 0.0
+    return found
+
+
+def trees_for(recall: float, depth: int, threshold: float = 0.8) -> int:
+    """Trees after which a pair at the threshold is proposed with the probability recall, at the greatest depth."""
+    need = least_agreement(threshold, recall)
+    high = 1
+    while recall_of(high, depth, threshold, need) < recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall_of(mid, depth, threshold, need) >= recall else (mid, high)
+    return high
 
 
 def children(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
@@ -163,13 +185,18 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges, [*edges[1:], len(key)], strict=True)
 
 
-def least_agreement(threshold: float) -> int:
-    return max(1, math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
+def least_agreement(threshold: float, recall: float) -> int:
+    """Agreeing coordinates below which a pair is dropped: four standard errors, or more where those would cost half of what recall may miss."""
+    need = max(1, math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
+    chances = agreements(threshold)
+    while need > 1 and math.fsum(chances[:need]) > (1 - recall) / 2:
+        need -= 1
+    return need
 
 
-def leaf_ties(rows: DataFrame, threshold: float) -> DataFrame:
+def leaf_ties(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Ties (a, b) within each leaf of rows (node, rep, sig): every row to the least row of its cluster."""
-    need = least_agreement(threshold)
+    need = least_agreement(threshold, recall)
 
     def ties(rep: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
         u = Union()
@@ -211,7 +238,7 @@ def _with_last(batches: Iterator) -> Iterator[tuple]:
 
 def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
     """Ties (a, b) between representatives (rep, sig)."""
-    rows = children(reps, threshold, trees_for(recall, depth))
+    rows = children(reps, threshold, trees_for(recall, depth, threshold))
     ties: DataFrame | None = None
     for level in range(1, depth + 1):
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"), F.min("rep").alias("least")).where("n > 1")
@@ -219,7 +246,7 @@ def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf:
         chosen = stats.groupBy("m1", "m2", "n").agg(F.min(F.struct("node", "least")).alias("s"), F.collect_set(F.when(F.col("n") > leaf, F.col("node"))).alias("large"))
         chosen = chosen.select(F.explode(F.when(F.col("n") > leaf, F.col("large")).otherwise(F.array("s.node"))).alias("__node"), (F.col("n") > leaf).alias("large"), F.col("s.least").alias("least"))
         members = checkpointed(rows.join(chosen, F.col("node") == F.col("__node")).select("node", "rep", "large", "least"))
-        found = checkpointed(leaf_ties(members.where(~F.col("large")).join(reps, "rep"), threshold))
+        found = checkpointed(leaf_ties(members.where(~F.col("large")).join(reps, "rep"), threshold, recall))
         ties = found if ties is None else ties.union(found)
         large = members.where("large")
         if large.isEmpty():
@@ -235,13 +262,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(rows: DataFrame, shingle: int, percent: int, recall: float) -> DataFrame:
     """Links (a, b) between full sets, enough to connect what is linked.
 
     rows: (grp, block, pack, rep, text). The rows of a (grp, block) come together; those with pack are compared with
     all its rows; without any pack, all with all.
     """
-    need = least_agreement(percent / 100)
+    need = least_agreement(percent / 100, recall)
 
     def links(rep: list[int], pack: list[bool], text: list[str]) -> Iterator[tuple[int, int]]:
         sets = [shingle_set(t or "", shingle) for t in text]
@@ -301,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return held.join(which, F.col("id") == F.col("rep")).select("grp", "block", "members", "rep", "text")
 
     small = texts_of(placed.where(F.col("members") <= block)).withColumn("pack", F.lit(False))
-    links = checkpointed(confirmed(small, shingle, percent))
+    links = checkpointed(confirmed(small, shingle, percent, recall))
 
     if not placed.where(F.col("members") > block).isEmpty():
         big = checkpointed(texts_of(placed.where(F.col("members") > block)))
@@ -309,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep")
         picked = big.select("grp", "rep").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= pivots).select(F.col("rep").alias("__r"))
         packs = big.join(picked, F.col("rep") == F.col("__r")).withColumn("block", spread).withColumn("pack", F.lit(True)).drop("__r")
-        by_pivot = checkpointed(confirmed(big.withColumn("pack", F.lit(False)).unionByName(packs), shingle, percent))
+        by_pivot = checkpointed(confirmed(big.withColumn("pack", F.lit(False)).unionByName(packs), shingle, percent, recall))
         classes = components(by_pivot)
         labelled = big.select("grp", "rep", "members").join(classes, F.col("rep") == F.col("v"), "left").select("grp", "rep", "members", F.coalesce("label", "rep").alias("label"))
         largest = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
@@ -323,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             packs = big.join(others.select("__r"), F.col("rep") == F.col("__r")).join(counts, F.col("grp") == F.col("__g")).withColumn("__pack", F.pmod(F.xxhash64("rep", F.lit(3)), packs_of).cast("int"))
             packs = packs.withColumn("block", spread).withColumn("pack", F.lit(True))
             rows = members.select("grp", "block", "__pack", "rep", "text", "pack", "members").unionByName(packs.select("grp", "block", "__pack", "rep", "text", "pack", "members"))
-            links = links.unionByName(checkpointed(confirmed(rows.withColumn("block", F.col("__pack") * blocks + F.col("block")), shingle, percent)))
+            links = links.unionByName(checkpointed(confirmed(rows.withColumn("block", F.col("__pack") * blocks + F.col("block")), shingle, percent, recall)))
 
     linked_reps = components(links)
     final = checkpointed(sets.join(linked_reps, F.col("rep") == F.col("v"), "left").select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), F.col("n").alias("__n"), F.coalesce("label", "rep").alias("label")))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -6,7 +7,7 @@ from collections import Counter
 import pytest
 
 from stagewise.llm.exact_dedup import exact_dedup
-from stagewise.llm.near_dedup import near_duplicates, one_of_each, trees_for
+from stagewise.llm.near_dedup import least_agreement, near_duplicates, one_of_each, recall_of, trees_for
 from stagewise.llm.substring_dedup import SuffixAutomaton, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +80,30 @@ def test_trees():
     assert trees_for(0.9, 1) < trees_for(0.99, 1) < trees_for(0.99, 6)
 
 
+def test_recall_at_the_threshold():
+    from stagewise.llm.near_dedup import COORDINATES
+
+    rnd = random.Random(5)
+    trees = trees_for(0.998, 4)
+
+    def together(agree, depth):
+        """Whether a pair that agrees in so many coordinates shares a node at the depth."""
+        if depth == 0:
+            return True
+        return any(together(agree, depth - 1) for _ in range(agree) if rnd.random() < 1 / (0.8 * COORDINATES))
+
+    # how often one tree keeps the pair, for each number of agreeing coordinates; the trees share that number
+    missed = 0.0
+    for agree in range(38, COORDINATES + 1):
+        chance = math.comb(COORDINATES, agree) * 0.8**agree * 0.2 ** (COORDINATES - agree)
+        if chance > 1e-4:
+            missed += chance * (1 - sum(together(agree, 4) for _ in range(3000)) / 3000) ** trees
+    assert missed < 0.0022
+    for recall in (0.998, 0.99999):
+        need = least_agreement(0.8, recall)
+        assert recall_of(trees_for(recall, 4), 4, 0.8, need) >= recall > recall_of(trees_for(recall, 4) - 1, 4, 0.8, need)
+
+
 def test_exact_dedup(spark):
     rows = [(5, "a b"), (2, "ab "), (9, "a  b"), (3, "abc"), (1, None), (4, ""), (6, " \n"), (7, "z" * 100_000), (8, "z " * 100_000), (7, "y"), (7, "y"), (None, "ab")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", keep_id string")
