@@ -6,7 +6,7 @@
    element around it, is the page's own choice.
 2. A container's generalised path is its elements' tags and classes from the
    root, digits replaced. Each page gives its host's ballot a vote for its
-   choice and shares for the next best; votes are summed by (host, path) with
+   choice and shares for all others with a score; votes are summed by (host, path) with
    map-side combining, so a host of any size is a few rows a task, and each
    host's best path wins.
 3. Pages are read again and the text of the elements on the winning path is
@@ -38,7 +38,6 @@ from stagewise.llm.common import checkpointed, ship
 
 #: Hosts up to which the table of winning paths is broadcast; beyond, it is joined.
 BROADCAST_HOSTS = 100_000
-CHOICES = 3
 
 #: HTML's void, raw-text and block elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,15 +161,15 @@ class Page:
                     share /= 2
                 i = self.parent[i]
         ranked = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-        out: list[tuple[int, float]] = []
+        out: dict[int, float] = {}
         for i, s in ranked:
             wide = i
             while wide > 0 and self.tag[wide] not in ("article", "main"):
                 wide = self.parent[wide]
             i = wide or i
-            if s > 0 and i not in {x for x, _ in out}:
-                out.append((i, s))
-        return out[:CHOICES]
+            if s > 0:
+                out.setdefault(i, s)
+        return list(out.items())
 
     def text(self, roots: set[int]) -> str:
         inside = [False] * len(self.tag)

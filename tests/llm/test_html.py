@@ -41,3 +41,11 @@ def test_consensus(spark):
     assert by[0] == ("story 0 " + "word " * 40).strip() and by[12].count("\n") == 19_999
     assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_every_container_votes(spark):
+    # the common path ranks fourth on each page, behind three whose classes no other page has
+    block = lambda name, n: f'<div class="o{name}"><div class="i{name}"><div class="{name}">' + "word " * n + "</div></div></div>"
+    rows = [(i, "http://h.example/", "<html><body>" + "".join(block(f"{c}x{'abcdef'[i]}", 90 - k) for k, c in enumerate("pqr")) + block("story", 80) + "</body></html>") for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(["word"] * 80) for i in range(6)}
