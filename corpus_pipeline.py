@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.llm.bpe import bpe_encode
 from stagewise.llm.common import checkpointed, table
-from stagewise.llm.exact_dedup import exact_dedup
+from stagewise.llm.exact_dedup import one_of_each as one_of_equal
 from stagewise.llm.mixing import mixed_documents
 from stagewise.llm.near_dedup import one_of_each
 from stagewise.llm.quality import score_quality, train
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of equal texts stays."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """One of equal texts stays, of rows that repeat a doc_id, too."""
+    return one_of_equal(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

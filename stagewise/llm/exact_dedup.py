@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import bitmap_of, marked, text_of, with_result, without_white
@@ -46,6 +46,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts, the row with the most code points, then the smallest id, stays.
     """
     keep = with_result(docs, docs.columns if carry is None else carry, RESULTS)
+    alone, held = decided(docs, id_col, text_col, keep, prefix)
+    return alone.unionByName(held.drop("__full", "__chars"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
+    """One row of docs for each text: the row that exact_dedup() keeps, and where rows repeat its id, one of them.
+
+    Of these, the row with the most code points, then the least by its columns in order, stays.
+    """
+    alone, held = decided(docs, id_col, text_col, docs.columns, prefix, "__")
+    order = Window.partitionBy("__full").orderBy(F.col("__chars").desc(), *[F.col(c) for c in docs.columns])
+    held = held.where("__kept").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return alone.select(*docs.columns).unionByName(held.select(*docs.columns))
+
+
+def decided(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], prefix: int, before: str = "") -> tuple[DataFrame, DataFrame]:
+    """Columns keep and results, named with `before`, of rows whose text surely is the only one, and of others; these with __full and __chars."""
     key = F.xxhash64("__nlen", "__ph")
     bitmap = bitmap_of(surviving_keys(docs, text_col, prefix).select(F.col("nlen").alias("__nlen"), F.col("ph").alias("__ph")), key)
 
@@ -55,12 +72,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = marked(rows, key, bitmap, "__shared")
     out = [F.col(f"c_{c}").alias(c) for c in keep]
 
-    alone = rows.where(~F.col("__shared")).select(*out, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = rows.where(~F.col("__shared")).select(*out, F.col("__id").alias(f"{before}keep_id"), F.lit(1).cast("long").alias(f"{before}group_size"), F.lit(True).alias(f"{before}kept"))
 
     held = rows.where("__shared").select(*[f"c_{c}" for c in keep], "__id", "__chars", F.sha2("__norm", 256).alias("__full"))
     first = F.struct(-F.col("__chars"), F.col("__id").isNull(), F.col("__id").alias("id"))
     groups = held.groupBy("__full").agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("__full").alias("__g"), F.xxhash64("__full").alias("__gk"), F.col("__first.id").alias("keep_id"), "group_size")
     held = held.withColumn("__k", F.xxhash64("__full")).join(groups, (F.col("__k") == F.col("__gk")) & (F.col("__full") == F.col("__g")))
-    held = held.select(*out, "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"))
-    return alone.unionByName(held)
+    held = held.select(*out, F.col("keep_id").alias(f"{before}keep_id"), F.col("group_size").alias(f"{before}group_size"), F.col("__id").eqNullSafe(F.col("keep_id")).alias(f"{before}kept"), "__full", "__chars")
+    return alone, held

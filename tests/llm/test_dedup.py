@@ -113,6 +113,16 @@ def test_exact_dedup(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_stage_keeps_one_row_of_each_text(spark):
+    import corpus_pipeline
+
+    rows = [(7, "y", 2), (7, "y", 1), (7, "y", 1), (8, "y", 0), (5, "a b", 0), (5, "ab", 0), (None, "z", 3), (None, "z", 4), (9, "alone", 0), (9, "other", 0)]
+    df = spark.createDataFrame(rows, DOCS + ", kept int")
+    got = sorted(map(tuple, corpus_pipeline.exact(spark, df, "").collect()), key=str)
+    assert got == sorted([(7, "y", 1), (5, "a b", 0), (None, "z", 3), (9, "alone", 0), (9, "other", 0)], key=str)
+    assert corpus_pipeline.exact(spark, df.limit(0), "").count() == 0
+
+
 def test_automaton():
     rnd = random.Random(4)
     seen = [[rnd.choice("ab") for _ in range(rnd.randint(1, 12))] for _ in range(8)]
