@@ -28,8 +28,9 @@ unchecked and no task holds more than a block and a pack.
 
 Defined results: null texts count as empty; a text without words is linked with
 nothing; a text of fewer words than a shingle has one shingle, all its words; rows
-with a null id are linked with nothing and kept; rows repeating an id are one
-document; an empty table gives no rows; input columns play no part but id and text.
+with a null id are linked with nothing and kept; rows repeating an id are compared
+each by its own text, and named by that id all the same; an empty table gives no
+rows; input columns play no part but id and text.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import Union, bitmap_of, checkpointed, components, marked, ship
+from stagewise.llm.common import Union, bitmap_of, checkpointed, components, marked, parts_for, ship
 
 COORDINATES = 64
 U64 = np.uint64
@@ -97,27 +98,32 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def set_key(s: np.ndarray, factor: int = 0x9FB21C651E98DF25) -> int:
+    """A hash of the set."""
+    return int(_mix(s, factor).sum(dtype=U64).astype(np.int64))
+
+
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n (set size), k1 and k2 (hash of the set), sig (signature) of each row."""
+    """id, t (hash of the text), n (set size), k1 and k2 (hash of the set), sig (signature) of each row."""
     ship(docs.sparkSession)
-    names = ["id", "n", "k1", "k2", "sig"]
+    names = ["id", "t", "n", "k1", "k2", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text or "", shingle)
                 n.append(len(s))
-                k1.append(int(_mix(s, 0x9FB21C651E98DF25).sum(dtype=U64).astype(np.int64)))
-                k2.append(int(_mix(s, 0xD6E8FEB86659FD93).sum(dtype=U64).astype(np.int64)))
+                k1.append(set_key(s))
+                k2.append(set_key(s, 0xD6E8FEB86659FD93))
                 sig.append(signature(s).tobytes() if len(s) else b"")
-            yield _batch(names, batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()))
+            yield _batch(names, batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary")
+    return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "id long, t long, n long, k1 long, k2 long, sig binary")
 
 
 def agreements(threshold: float) -> list[float]:
@@ -152,30 +158,34 @@ def trees_for(recall: float, depth: int, threshold: float = 0.8) -> int:
     return high
 
 
+def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
 def children(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
     """(node, rep) of the children of rows (node, rep, sig); trees: start that many trees from rows (rep, sig) instead."""
     odds = int(2**64 / (threshold * COORDINATES))
     salts = _odd(b"select", COORDINATES)
     start = _odd(b"tree", trees) if trees else None
-    names = ["node", "rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             rep = np.array(batch.column("rep").to_pylist(), np.int64)
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            values = _signatures(batch.column("sig"))
+            at = np.arange(len(rep))
             if start is not None:
-                node, rep, sig = np.tile(start, len(rep)), np.repeat(rep, trees), np.repeat(np.arange(len(rep)), trees)
-                values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                node, at = np.tile(start, len(rep)), np.repeat(at, trees)
             else:
-                node, values, sig = np.array(batch.column("node").to_pylist(), np.int64).astype(U64), sig, np.arange(len(rep))
-            for k in range(0, len(node), 100_000):
-                at = slice(k, k + 100_000)
-                chosen = _mix(_mix(node[at][:, None] + salts[None, :], 0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F) < U64(odds)
+                node = np.array(batch.column("node").to_pylist(), np.int64).astype(U64)
+            for k in range(0, len(node), 20_000):
+                now = node[k : k + 20_000]
+                chosen = _mix(_mix(now[:, None] + salts[None, :], 0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F) < U64(odds)
                 row, coordinate = np.nonzero(chosen)
-                child = _mix(_mix(node[at][row] + salts[coordinate], 0xD6E8FEB86659FD93) + values[sig[at][row], coordinate].astype(U64) * FACTORS[9], 0xC2B2AE3D27D4EB4F)
-                yield _batch(names, pa.array(child.astype(np.int64)), pa.array(rep[at][row]))
+                of = at[k : k + 20_000][row]
+                child = _mix(_mix(now[row] + salts[coordinate], 0xD6E8FEB86659FD93) + values[of, coordinate].astype(U64) * FACTORS[9], 0xC2B2AE3D27D4EB4F)
+                yield _batch(["node", "rep"], pa.array(child.astype(np.int64)), pa.array(rep[of]))
 
     return rows.mapInArrow(run, "node long, rep long")
 
@@ -218,7 +228,7 @@ def leaf_ties(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
             for i, j in _groups(node):
                 if j < len(node) or last:  # the last group may go on in the next batch
                     part = t.slice(i, j - i)
-                    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                    sig = _signatures(part.column("sig"))
                     out += ties(np.array(part.column("rep").to_pylist(), np.int64), sig)
                     done = j
             held = t.slice(done).to_batches()
@@ -246,6 +256,9 @@ def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf:
         chosen = stats.groupBy("m1", "m2", "n").agg(F.min(F.struct("node", "least")).alias("s"), F.collect_set(F.when(F.col("n") > leaf, F.col("node"))).alias("large"))
         chosen = chosen.select(F.explode(F.when(F.col("n") > leaf, F.col("large")).otherwise(F.array("s.node"))).alias("__node"), (F.col("n") > leaf).alias("large"), F.col("s.least").alias("least"))
         members = checkpointed(rows.join(chosen, F.col("node") == F.col("__node")).select("node", "rep", "large", "least"))
+        if level == 1:  # signatures of others aren't shuffled; deeper nodes have no other members
+            parts = parts_for(members.count())
+            reps = checkpointed(marked(reps, F.xxhash64("rep"), checkpointed(bitmap_of(members, F.xxhash64("rep"), parts)), "__in", parts).where("__in").drop("__in"))
         found = checkpointed(leaf_ties(members.where(~F.col("large")).join(reps, "rep"), threshold, recall))
         ties = found if ties is None else ties.union(found)
         large = members.where("large")
@@ -265,13 +278,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirmed(rows: DataFrame, shingle: int, percent: int, recall: float) -> DataFrame:
     """Links (a, b) between full sets, enough to connect what is linked.
 
-    rows: (grp, block, pack, rep, text). The rows of a (grp, block) come together; those with pack are compared with
-    all its rows; without any pack, all with all.
+    rows: (grp, block, pack, rep, k1, text). The rows of a (grp, block) come together; those with pack are compared with
+    all its rows; without any pack, all with all. A text whose set isn't that of k1 is another one with the same id, and goes.
     """
     need = least_agreement(percent / 100, recall)
 
-    def links(rep: list[int], pack: list[bool], text: list[str]) -> Iterator[tuple[int, int]]:
-        sets = [shingle_set(t or "", shingle) for t in text]
+    def links(rep: list[int], pack: list[bool], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         size = np.array([len(s) for s in sets])
         sig = np.stack([signature(s) for s in sets])
         packed = np.array(pack)
@@ -289,43 +301,58 @@ def confirmed(rows: DataFrame, shingle: int, percent: int, recall: float) -> Dat
         now, held = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != now:
+            for grp, block, pack, rep, k1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, block) != now:
                     if len(held) > 1:
                         out += links(*zip(*held, strict=True))
-                    now, held = row[:2], []
-                if not held or held[-1][:2] != (row[3], row[2]):  # rows that repeat an id count once
-                    held.append((row[3], row[2], row[4]))
+                    now, held = (grp, block), []
+                if held and held[-1][:2] == (rep, pack):  # rows that repeat an id and a set count once
+                    continue
+                s = shingle_set(text or "", shingle)
+                if set_key(s) == k1:
+                    held.append((rep, pack, s))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
         out = list(links(*zip(*held, strict=True))) if len(held) > 1 else []
         a, b = zip(*out, strict=True) if out else ((), ())
         yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
-    rows = rows.select("grp", "block", "pack", "rep", "text").repartition("grp", "block").sortWithinPartitions("grp", "block", "pack", "rep")
+    rows = rows.select("grp", "block", "pack", "rep", "k1", "text").repartition("grp", "block").sortWithinPartitions("grp", "block", "pack", "rep")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 4, leaf: int = 200, block: int = 256, pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_shingles, component_id (the least id reachable over links) and kept (whether that is the id itself) of every row."""
+    return decided(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def decided(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 4, leaf: int = 2000, block: int = 256, pivots: int = 16) -> DataFrame:
+    """id, t (hash of the text), n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     threshold = percent / 100
     every = checkpointed(signed(docs, shingle))
-    sets = every.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    sets = every.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
     sets = checkpointed(sets)
-    reps = sets.select("rep", "sig")
-    groups = components(proposed(reps, threshold, recall, depth, leaf))
+    # a set goes by its least id; of several sets with that least id, one does, and the others by a hash
+    shared = checkpointed(sets.groupBy("first").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("k1", "k2", "n")).alias("__owner")).where("__n > 1").select(F.col("first").alias("__first"), "__owner"))
+    if shared.isEmpty():
+        sets = sets.withColumn("rep", F.col("first"))
+    else:
+        rep = F.when(F.col("__owner").isNull() | (F.col("__owner") == F.struct("k1", "k2", "n")), F.col("first")).otherwise(F.col("k1"))
+        sets = checkpointed(sets.join(shared, F.col("first") == F.col("__first"), "left").select("k1", "k2", "n", "first", "sig", rep.alias("rep")))
+    groups = components(proposed(sets.select("rep", "sig"), threshold, recall, depth, leaf))
 
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     placed = groups.join(sizes.select(F.col("label").alias("grp"), F.xxhash64("label").alias("__k"), "members"), (F.xxhash64("label") == F.col("__k")) & (F.col("label") == F.col("grp"))).select(F.col("v").alias("rep"), "grp", "members")
     blocks = F.ceil(F.col("members") / block).cast("int")
     placed = placed.withColumn("block", F.when(F.col("members") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), blocks)).cast("int"))
-    placed = checkpointed(placed)
+    placed = checkpointed(placed.join(sets.select(F.col("rep").alias("__r"), "first", "k1"), F.col("rep") == F.col("__r")).drop("__r"))
 
     def texts_of(which: DataFrame) -> DataFrame:
         """Their full texts; others aren't shuffled."""
-        held = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(which, F.xxhash64("rep"))), "held").where("held")
-        return held.join(which, F.col("id") == F.col("rep")).select("grp", "block", "members", "rep", "text")
+        parts = parts_for(which.count())
+        held = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(which, F.xxhash64("first"), parts)), "held", parts).where("held")
+        return held.join(which, F.col("id") == F.col("first")).select("grp", "block", "members", "rep", "k1", "text")
 
     small = texts_of(placed.where(F.col("members") <= block)).withColumn("pack", F.lit(False))
     links = checkpointed(confirmed(small, shingle, percent, recall))
@@ -349,21 +376,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = big.join(counts, (F.col("grp") == F.col("__g"))).withColumn("__pack", F.explode(F.sequence(F.lit(0), packs_of - 1))).withColumn("pack", F.lit(False))
             packs = big.join(others.select("__r"), F.col("rep") == F.col("__r")).join(counts, F.col("grp") == F.col("__g")).withColumn("__pack", F.pmod(F.xxhash64("rep", F.lit(3)), packs_of).cast("int"))
             packs = packs.withColumn("block", spread).withColumn("pack", F.lit(True))
-            rows = members.select("grp", "block", "__pack", "rep", "text", "pack", "members").unionByName(packs.select("grp", "block", "__pack", "rep", "text", "pack", "members"))
+            rows = members.select("grp", "block", "__pack", "rep", "k1", "text", "pack", "members").unionByName(packs.select("grp", "block", "__pack", "rep", "k1", "text", "pack", "members"))
             links = links.unionByName(checkpointed(confirmed(rows.withColumn("block", F.col("__pack") * blocks + F.col("block")), shingle, percent, recall)))
 
-    linked_reps = components(links)
-    final = checkpointed(sets.join(linked_reps, F.col("rep") == F.col("v"), "left").select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), F.col("n").alias("__n"), F.coalesce("label", "rep").alias("label")))
+    linked_sets = checkpointed(components(links).join(sets.select("rep", "first"), F.col("rep") == F.col("v")).select("rep", "first", "label"))
+    names = linked_sets.groupBy("label").agg(F.min("first").alias("component")).select(F.col("label").alias("__label"), F.xxhash64("label").alias("__k"), "component")
+    named = linked_sets.join(names, (F.xxhash64("label") == F.col("__k")) & (F.col("label") == F.col("__label"))).select(F.col("rep").alias("v"), "component")
+    final = checkpointed(sets.join(named, F.col("rep") == F.col("v"), "left").select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), F.col("n").alias("__n"), F.coalesce("component", "first").alias("label")))
     out = every.join(final, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2")) & (F.col("n") == F.col("__n")), "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     component = F.when(alone, F.col("id")).otherwise(F.col("label"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select("id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps; texts of rows that surely stay aren't shuffled."""
-    decided = near_duplicates(docs, id_col=id_col, **options)
-    gone = checkpointed(decided.where("not kept").select(F.col(id_col).alias("__gone")))
-    rows = marked(docs, F.xxhash64(F.col(id_col).cast("long")), checkpointed(bitmap_of(gone, F.xxhash64("__gone"))), "__held")
-    stay = rows.where(~F.col("__held"))
-    return stay.unionByName(rows.where("__held").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")).select(*docs.columns)
+    gone = checkpointed(decided(docs, id_col, text_col, **options).where("not kept").select("id", "t").distinct())
+    parts = parts_for(gone.count())
+    ids, texts = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    rows = marked(docs, F.xxhash64(ids), checkpointed(bitmap_of(gone, F.xxhash64("id"), parts)), "__held", parts)
+    gone = gone.select(F.col("id").alias("__gone"), F.col("t").alias("__t"))
+    return rows.where(~F.col("__held")).unionByName(rows.where("__held").join(gone, (ids == F.col("__gone")) & (texts == F.col("__t")), "left_anti")).select(*docs.columns)

@@ -167,6 +167,24 @@ def test_remove_repeats(spark, most):
     assert Counter(n > 0 for _, n, _ in got.values())[True] > 20
 
 
+def test_remove_repeats_of_rows_that_share_an_id(spark):
+    """Of one id's texts, the one with the lesser hash comes first; nulls are one id."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    w60 = " ".join(str(rnd.randrange(1000)) for _ in range(60))
+    rows = [(1, w60), (None, "x x x" + w60), (None, "x x x " + w60), (None, "short one"), (3, w60 + " end"), (3, "tiny text"), (3, "more " + w60), (3, "more " + w60), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    order = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    keyed = sorted({(i if i is not None else -1, order[t], t) for i, t in rows}, key=lambda x: x[:2])
+    want = clean_brute([(k, t) for k, (_, _, t) in enumerate(keyed)])
+    want = sorted((i, *want[next(k for k, y in enumerate(keyed) if y[0] == i and y[2] == t)]) for i, t in ((i if i is not None else -1, t) for i, t in rows))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df, digest=True).collect())
+    assert got == want
+    with pytest.raises(ValueError):
+        remove_repeats(df, window=300)
+
+
 def test_remove_repeats_edges(spark):
     text = " ".join(map(str, range(25)))
     rows = [(None, text), (1, text + " end"), (2, ""), (3, None), (4, "only a few words")]
@@ -176,3 +194,38 @@ def test_remove_repeats_edges(spark):
     assert remove_repeats(df.limit(0)).count() == 0
     same = spark.createDataFrame([(1, text), (1, text), (2, text)], DOCS)
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(same).collect()) == [(1, 0), (1, 0), (2, 25)]
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (2, c + " more"), (2, c + " more"), (None, a)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(df, shingle=4).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 2), (2, 2), (2, 2), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text[0]) for r in one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (None, "a")], key=str)
+
+
+def test_near_duplicate_recall_just_above_the_threshold(spark, capsys):
+    """Planted pairs with a similarity of 0.80 to 0.85, among a crowd that shares a passage and gets branched."""
+    rnd = random.Random(11)
+    word = lambda: f"v{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows, pairs = [], []
+    for i in range(700):
+        words = [word() for _ in range(240)] if i % 2 else passage + [word() for _ in range(180)]
+        other = list(words)
+        while True:
+            other[rnd.randrange(len(other))] = word()
+            s, t = shingles(" ".join(words), 5), shingles(" ".join(other), 5)
+            like = len(s & t) / len(s | t)
+            if like < 0.86:
+                break
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if 0.80 <= like <= 0.85:
+            pairs.append(2 * i + 1)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, DOCS), leaf=50).collect()}
+    recall = sum(got[i] == i - 1 for i in pairs) / len(pairs)
+    with capsys.disabled():
+        print(f" recall of {len(pairs)} pairs at 0.80 to 0.85: {recall:.4f}")
+    assert len(pairs) > 300 and recall >= 0.99
