@@ -4,10 +4,10 @@ Every row gets a random key, a hash of its id and a seed; the key's leading part
 is its bucket, so buckets are equal ranges of the sort order of each source.
 Sizes are summed by (source, bucket) with map-side combining; a running sum over
 the few buckets of a source gives the prefix sum at each bucket's start, and so
-the one bucket that holds the cut. Rows in buckets before the cut are taken
-whole, rows behind it are not, and only the rows of the cut bucket (a
-1/buckets share of the source) are sorted by key and summed one by one, up to
-the exact budget. No source, however large, meets in one task and no text is
+the one bucket that holds the cut. That bucket is divided again likewise. Rows in
+buckets before the cut are taken whole, rows behind it are not, and only the
+rows of the last cut bucket (a 1/buckets^2 share of the source) are sorted by
+key and summed one by one, up to the exact budget. No source, however large, meets in one task and no text is
 shuffled. Sources whose budget exceeds their size are taken in whole epochs
 first.
 
@@ -56,7 +56,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("long")
     skey = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in keep], F.col(id_col).alias("__id"), skey.alias("skey"), key.alias("key"), text_of(text_col).alias("__text"))
-    rows = rows.withColumn("bucket", F.floor(F.col("key") / F.lit(2**48 // buckets)).cast("int"))
+    # two levels of ranges of the keys: a bucket of the second is as many times smaller again
+    rows = rows.withColumns({"bucket": F.floor(F.col("key") / F.lit(2**48 // buckets)).cast("int"), "fine": F.floor(F.col("key") / F.lit(2**48 // buckets**2)).cast("long")})
 
     sums = rows.select("skey", "bucket", n_words(F.col("__text")).alias("size")).groupBy("skey", "bucket").agg(F.sum("size").alias("size"))
     sums = checkpointed(sums)  # at most `buckets` rows for each source
@@ -68,19 +69,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ends = sums.withColumn("end", F.sum("size").over(upto)).join(targets, "skey")
     # the cut lies in the first bucket whose end reaches what is left of the budget
     reached = F.col("end") >= F.col("left")
-    plan = ends.groupBy("skey").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("left").alias("left"), F.min(F.when(reached, F.struct("bucket", (F.col("end") - F.col("size")).alias("start")))).alias("cut"))
+    cut = F.min(F.when(reached, F.struct("bucket", (F.col("end") - F.col("size")).alias("start"))))
+    plan = ends.groupBy("skey").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("left").alias("left"), cut.alias("cut"))
     plan = checkpointed(plan.select(F.col("skey").alias("__s"), "source_size", "target", "epochs", "left", F.col("cut.bucket").alias("cut"), F.col("cut.start").alias("cut_start")))
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    small = plan.count() <= BROADCAST_SOURCES
+    spread = lambda df: F.broadcast(df) if small else df
+    # and there in the first of the second level
+    inner = rows.join(spread(plan.select("__s", "cut")), (F.col("skey") == F.col("__s")) & (F.col("bucket") == F.col("cut")))
+    inner = inner.select("skey", "fine", n_words(F.col("__text")).alias("size")).groupBy("skey", "fine").agg(F.sum("size").alias("size"))
+    upto = Window.partitionBy("skey").orderBy("fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = inner.withColumn("__upto", F.sum("size").over(upto)).join(plan.select("__s", "left", "cut_start"), F.col("skey") == F.col("__s")).withColumn("end", F.col("cut_start") + F.col("__upto"))
+    inner = inner.groupBy("__s").agg(F.min(F.when(reached, F.struct("fine", (F.col("end") - F.col("size")).alias("start")))).alias("in"))
+    plan = checkpointed(plan.drop("cut", "cut_start").join(inner, "__s", "left").select("__s", "source_size", "target", "epochs", "left", F.col("in.fine").alias("cut"), F.col("in.start").alias("cut_start")))
+    plan = spread(plan)
     rows = rows.join(plan, F.col("skey") == F.col("__s"))
 
     out = [*[F.col(f"c_{c}").alias(c) for c in keep], "size", "source_size", "target"]
     sized = lambda df: df.withColumn("size", n_words(F.col("__text")))
-    whole = F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0)
-    rest = sized(rows.where(F.col("bucket") != F.col("cut")))
+    whole = F.when(F.col("fine") < F.col("cut"), F.col("size")).otherwise(0)
+    rest = sized(rows.where(~F.col("fine").eqNullSafe(F.col("cut"))))
     rest = rest.select(*out, (F.col("epochs") * F.col("size") + whole).alias("taken"))
     before = Window.partitionBy("skey").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = sized(rows.where(F.col("bucket") == F.col("cut"))).withColumn("start", F.col("cut_start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    at_cut = sized(rows.where(F.col("fine") == F.col("cut"))).withColumn("start", F.col("cut_start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("start")))
     at_cut = at_cut.select(*out, (F.col("epochs") * F.col("size") + part).alias("taken"))
     return rest.unionByName(at_cut)
@@ -91,6 +101,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents aren't torn: of the one document that a source's budget cuts, the copy stays if half of it or more is taken.
     """
-    mixed = mix(docs, **options)
+    columns = [F.col(c).alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    names = {k: options.pop(k, k.replace("_col", "")) for k in ("text_col", "source_col")} | {"id_col": options.pop("id_col", "doc_id")}
+    at = {k: f"__c{docs.columns.index(c)}" for k, c in names.items()}
+    mixed = mix(docs.select(*columns), **at, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[c for c in docs.columns if c in mixed.columns])
+    mixed = mixed.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
+    return mixed.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])

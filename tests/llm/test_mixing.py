@@ -57,3 +57,12 @@ def test_edges(spark):
     assert mix(df.limit(0)).count() == 0
     only_empty = mix(df.where("doc_id = 2")).collect()
     assert [(r["size"], r.target, r.taken) for r in only_empty] == [(0, 0.0, 0)]
+
+
+def test_mixed_documents_keep_columns_named_like_results(spark):
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2], 100 + i, "keep", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, taken string, target double")
+    got = mixed_documents(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
+    assert mixed_documents(df.limit(0)).count() == 0
