@@ -28,9 +28,13 @@ them in shards of bounded size:
 Words and runs are compared by 64-bit hashes, windows of case 4 by 64-bit
 hashes of their words.
 
+Documents go by id and `tie`, which tells rows of one id apart by the hash of
+their texts and is 0 where no id has two texts.
+
 Defined results: a null text has no words; texts of fewer words than a window
 stay whole; a null id counts as the least; rows repeating an id and a text are
-one document and get equal results; an empty table gives no rows; input
+one document and get equal results; of one id's different texts, the one with
+the lesser hash comes first; an empty table gives no rows; input
 columns play no part but id and text.
 """
 
@@ -41,11 +45,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import bitmap_of, checkpointed, marked, parts_for, ship
-from stagewise.llm.near_dedup import FACTORS, U64, _batch, _groups, _mix, _with_last, _words
+from stagewise.llm.common import bitmap_of, byte_slices, checkpointed, marked, parts_for, ship, text_of
+from stagewise.llm.near_dedup import FACTORS, U64, _batch, _groups, _mix, _with_last
 
 BASE = U64(0x9E3779B97F4A7C15)
 UNBASE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -111,9 +116,42 @@ class SuffixAutomaton:
             yield n
 
 
-def hashed_words(text: str | None) -> np.ndarray:
-    words = (text or "").encode().split()  # at just the six separators
-    return np.fromiter(map(_words.__getitem__, words), U64, len(words))
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def hashed_words(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words, from the bytes of all texts at once; a null has none.
+
+    A word's hash takes in its bytes one by one; words of a length or more take the same step together.
+    """
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    size = int(at[-1] - at[0])
+    data = np.frombuffer(data, np.uint8, size, int(at[0])) if size else np.empty(0, np.uint8)
+    at -= at[0]
+    solid = ~SPACE[data]
+    # a word begins behind a space or at a text's start, and ends likewise
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = at[(at > 0) & (at < size)]
+    starts[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    first = np.flatnonzero(starts)
+    length = np.flatnonzero(ends) + 1 - first
+    counts = np.diff(np.searchsorted(first, at))
+    order = np.argsort(-np.minimum(length, 60_000).astype(np.int32), kind="stable")
+    if len(length) and length[order[0]] >= 60_000:
+        order = np.argsort(-length, kind="stable")
+    place, left = first[order], length[order]
+    live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0) - 0.5)
+    h = np.full(len(order), 0xCBF29CE484222325, U64)
+    for k, n in enumerate(live.tolist()):
+        h[:n] = (h[:n] ^ data[place[:n] + k]) * U64(0x100000001B3)
+    out = np.empty(len(h), U64)
+    out[order] = _mix(h + left.astype(U64) * FACTORS[12], 0x9FB21C651E98DF25)
+    return np.split(out, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -149,8 +187,8 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(anchor, n), counted within batches already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [fragments(h, window, gram)[0] for h in map(hashed_words, batch.column(1).to_pylist()) if len(h) >= window]
+        for batch in byte_slices(batches, 1):
+            held = [fragments(h, window, gram)[0] for h in hashed_words(batch.column(1)) if len(h) >= window]
             a, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U64), np.empty(0, np.int64))
             yield _batch(["anchor", "n"], _signed(a), pa.array(n.astype(np.int64)))
 
@@ -158,61 +196,71 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def placed_fragments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, frag, id, at) of every fragment."""
+    """(anchor, frag, id, tie, at) of every fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [(i, *fragments(h, window, gram)) for i, h in zip(batch.column(0).to_pylist(), map(hashed_words, batch.column(1).to_pylist()), strict=True) if len(h) >= window]
+        for batch in byte_slices(batches, 2):
+            held = [(k, *fragments(h, window, gram)) for k, h in enumerate(hashed_words(batch.column(2))) if len(h) >= window]
             if held:
                 at = [(start << 16) | (count << 8) | before for _, _, _, start, count, before in held]
-                yield _batch(["anchor", "frag", "id", "at"], _signed(np.concatenate([x[1] for x in held])), _signed(np.concatenate([x[2] for x in held])), pa.array(np.repeat(np.array([x[0] for x in held], np.int64), [len(x) for x in at])), pa.array(np.concatenate(at).astype(np.int64)))
+                row = pa.array(np.repeat([x[0] for x in held], [len(x) for x in at]))
+                yield _batch(["anchor", "frag", "id", "tie", "at"], _signed(np.concatenate([x[1] for x in held])), _signed(np.concatenate([x[2] for x in held])), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(at).astype(np.int64)))
+
+    return docs.select("id", "tie", "text").mapInArrow(run, "anchor long, frag long, id long, tie long, at long")
 
-    return docs.select("id", "text").mapInArrow(run, "anchor long, frag long, id long, at long")
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(sizes, values) of lists; a null is empty."""
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0)), column.flatten()
 
 
 def with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (anchor, hot, id, at) with the hashed words of each fragment."""
+    """wanted (anchor, hot, id, tie, at) with the hashed words of each fragment."""
     parts = parts_for(wanted.count())
-    texts = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(wanted, F.xxhash64("id"), parts)), "__held", parts).where("__held").select("id", "text")
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "hot", "at")).alias("list"))  # no more than a document's words
-    rows = texts.join(lists.select(F.col("id").alias("__i"), "list"), F.col("id") == F.col("__i")).select("id", "text", "list")
+    texts = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(wanted, F.xxhash64("id"), parts)), "__held", parts).where("__held").select("id", "tie", "text")
+    lists = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "hot", "at")).alias("list"))  # no more than a document's words
+    rows = texts.join(lists.select(F.col("id").alias("__i"), F.col("tie").alias("__t"), "list"), (F.col("id") == F.col("__i")) & (F.col("tie") == F.col("__t"))).select("id", "tie", "text", "list")
+    names = ["anchor", "hot", "id", "tie", "at", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = hashed_words(text)
-                for p in places:
-                    start, count = p["at"] >> 16, (p["at"] >> 8) & 255
-                    out.append((p["anchor"], p["hot"], i, p["at"], h[start : start + count + window - 1].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["anchor", "hot", "id", "at", "words"])
+        for batch in byte_slices(batches, 2, most_bytes=1 << 20):
+            sizes, places = _lists(batch.column(3))
+            at = np.asarray(places.field("at"))
+            done = 0
+            for k, h in enumerate(hashed_words(batch.column(2))):
+                for i in range(done, done + sizes[k], 2000):  # a long document's fragments in parts
+                    mine = slice(i, min(i + 2000, done + sizes[k]))
+                    start, stop = at[mine] >> 16, (at[mine] >> 16) + ((at[mine] >> 8) & 255) + window - 1
+                    words = pa.array([h[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
+                    part, n = places.slice(mine.start, mine.stop - mine.start), len(words)
+                    yield pa.RecordBatch.from_arrays([part.field("anchor"), part.field("hot"), pa.repeat(batch.column(0)[k], n), pa.repeat(batch.column(1)[k], n), part.field("at"), words], names=names)
+                done += sizes[k]
 
-    return rows.mapInArrow(run, "anchor long, hot boolean, id long, at long, words binary")
+    return rows.mapInArrow(run, "anchor long, hot boolean, id long, tie long, at long, words binary")
 
 
 def streamed(rows: DataFrame, window: int) -> DataFrame:
-    """(id, a, b): words a to b of documents that the anchors' automata find repeated; rows: (anchor, id, at, words)."""
+    """(id, tie, a, b): words a to b of documents that the anchors' automata find repeated; rows: (anchor, id, tie, at, words)."""
 
-    def spans(part: pa.Table) -> Iterator[tuple[int, int, int]]:
+    def spans(part: pa.Table) -> Iterator[tuple[int, int, int, int]]:
         automaton = SuffixAutomaton()
-        ids, places, words = (part.column(c).to_pylist() for c in ("id", "at", "words"))
+        ids, ties, places, words = (part.column(c).to_pylist() for c in ("id", "tie", "at", "words"))
         before = None
-        for i, at, w in zip(ids, places, words, strict=True):
-            if (i, at) == before:  # rows that repeat an id count once
+        for i, tie, at, w in zip(ids, ties, places, words, strict=True):
+            if (i, tie, at) == before:  # rows that repeat an id and a text count once
                 continue
-            before = (i, at)
+            before = (i, tie, at)
             sequence = np.frombuffer(w, np.uint64).tolist()
             a, b = -1, -1
             for k, n in enumerate(automaton.matches(sequence)):
                 if n >= window:
                     if k - window + 1 > b:
                         if b > a:
-                            yield i, (at >> 16) + a, (at >> 16) + b
+                            yield i, tie, (at >> 16) + a, (at >> 16) + b
                         a = k - window + 1
                     b = k + 1
             if b > a:
-                yield i, (at >> 16) + a, (at >> 16) + b
+                yield i, tie, (at >> 16) + a, (at >> 16) + b
             automaton.add(sequence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,58 +268,55 @@ def streamed(rows: DataFrame, window: int) -> DataFrame:
         for batch, last in _with_last(batches):
             t = pa.Table.from_batches([*held, batch])
             anchor = np.array(t.column("anchor").to_pylist(), np.int64)
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
             done = 0
             for i, j in _groups(anchor):
                 if j < len(anchor) or last:
                     out += spans(t.slice(i, j - i))
                     done = j
             held = t.slice(done).to_batches()
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield _batch(["id", "a", "b"], *[pa.array(c, pa.int64()) for c in cols])
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield _batch(["id", "tie", "a", "b"], *[pa.array(c, pa.int64()) for c in cols])
 
-    return rows.select("anchor", "id", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "id", "at").mapInArrow(run, "id long, a long, b long")
+    return rows.select("anchor", "id", "tie", "at", "words").repartition("anchor").sortWithinPartitions("anchor", "id", "tie", "at").mapInArrow(run, "id long, tie long, a long, b long")
 
 
 def split_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(id, a, b): the same for rows of anchors with many classes, by the hash of each window."""
+    """(id, tie, a, b): the same for rows of anchors with many classes, by the hash of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, starts = [], [], []
-            for i, at, w in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "words")), strict=True):
-                g = _grams(np.frombuffer(w, np.uint64), window)
-                keys.append(g)
-                ids += [i] * len(g)
-                starts.append((at >> 16) + np.arange(len(g)))
-            if keys:
-                yield _batch(["key", "id", "a"], _signed(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts)))
-
-    windows = checkpointed(rows.select("id", "at", "words").mapInArrow(run, "key long, id long, a long"))
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        for batch in byte_slices(batches, 3, most_bytes=1 << 20):
+            keys = [_grams(np.frombuffer(w, np.uint64), window) for w in batch.column(3).to_pylist()]
+            n = np.array([len(k) for k in keys])
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            start = np.repeat((np.asarray(batch.column(2)) >> 16) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield _batch(["key", "id", "tie", "a"], _signed(np.concatenate(keys)), batch.column(0).take(row), batch.column(1).take(row), pa.array(start))
+
+    windows = checkpointed(rows.select("id", "tie", "at", "words").mapInArrow(run, "key long, id long, tie long, a long"))
+    first = windows.groupBy("key").agg(F.min(F.struct("id", "tie", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select(F.col("key").alias("__key"), F.xxhash64("key").alias("__k"), "first")
-    later = windows.join(first, (F.xxhash64("key") == F.col("__k")) & (F.col("key") == F.col("__key"))).where(F.struct("id", "a") != F.col("first"))
-    return later.select("id", "a", (F.col("a") + window).alias("b"))
+    later = windows.join(first, (F.xxhash64("key") == F.col("__k")) & (F.col("key") == F.col("__key"))).where(F.struct("id", "tie", "a") != F.col("first"))
+    return later.select("id", "tie", "a", (F.col("a") + window).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, window: int, gram: int, most: int) -> DataFrame:
-    """(id, a, b): words a to b of each document (id, text) that are repeats."""
+    """(id, tie, a, b): words a to b of each document (id, tie, text) that are repeats."""
     counts = checkpointed(anchor_counts(docs, window, gram).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     parts = parts_for(counts.count())
     bitmap = checkpointed(bitmap_of(counts, F.xxhash64("anchor"), parts))
     rows = marked(placed_fragments(docs, window, gram), F.xxhash64("anchor"), bitmap, "__held", parts).where("__held").drop("__held")
     rows = checkpointed(rows.join(counts.select(F.col("anchor").alias("__a")), F.col("anchor") == F.col("__a")).drop("__a"))
 
-    classes = rows.groupBy("anchor", "frag").agg(F.min(F.struct("id", "at")).alias("first"))
-    classes = checkpointed(classes)
+    place = F.struct("id", "tie", "at")
+    classes = checkpointed(rows.groupBy("anchor", "frag").agg(F.min(place).alias("first")))
     key = F.xxhash64("anchor", "frag")
     later = rows.join(classes.select(F.col("anchor").alias("__a"), F.col("frag").alias("__f"), "first", key.alias("__k")), (key == F.col("__k")) & (F.col("anchor") == F.col("__a")) & (F.col("frag") == F.col("__f")))
-    later = later.where(F.struct("id", "at") != F.col("first"))
+    later = later.where(place != F.col("first"))
     start, count = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    whole = later.select("id", start.alias("a"), (start + count + window - 1).alias("b"))
+    whole = later.select("id", "tie", start.alias("a"), (start + count + window - 1).alias("b"))
 
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("anchor").alias("__a"), F.xxhash64("anchor").alias("__k"), (F.col("__n") > most).alias("hot"))
-    wanted = classes.join(several, (F.xxhash64("anchor") == F.col("__k")) & (F.col("anchor") == F.col("__a"))).select("anchor", "hot", F.col("first.id").alias("id"), F.col("first.at").alias("at"))
+    wanted = classes.join(several, (F.xxhash64("anchor") == F.col("__k")) & (F.col("anchor") == F.col("__a"))).select("anchor", "hot", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"), F.col("first.at").alias("at"))
     pieces = checkpointed(with_words(docs, checkpointed(wanted), window))
     return whole.unionByName(streamed(pieces.where("not hot"), window)).unionByName(split_windows(pieces.where("hot"), window))
 
@@ -280,24 +325,30 @@ def clean_texts(docs: DataFrame, digest: bool, window: int, gram: int, most: int
     """id, n_words, n_removed and kept (the words that stay, joined by spaces, or with digest their SHA-256) of docs (id, text)."""
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    spans = checkpointed(repeated_spans(docs, window, gram, most).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    tie = F.xxhash64(text_of("text"))
+    shared = docs.groupBy("id").agg(F.min(tie).alias("low"), F.max(tie).alias("high")).where("low != high").isEmpty()
+    docs = docs.select("id", (F.lit(0).cast("long") if shared else tie).alias("tie"), "text")
+    # a span as one number; spans of a document are no more than its words
+    packed = (F.shiftleft("a", 32) + F.col("b")).alias("span")
+    spans = checkpointed(repeated_spans(docs, window, gram, most).select("id", "tie", packed).groupBy("id", "tie").agg(F.collect_set("span").alias("spans")))
     parts = parts_for(spans.count())
     rows = marked(docs, F.xxhash64("id"), checkpointed(bitmap_of(spans, F.xxhash64("id"), parts)), "__held", parts)
-    clean = rows.where(~F.col("__held")).select("id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
-    held = rows.where("__held").join(spans.select(F.col("id").alias("__i"), "spans"), F.col("id") == F.col("__i"), "left").select("id", "text", "spans")
+    clean = rows.where(~F.col("__held")).select("id", "text", F.lit(None).cast("array<long>").alias("spans"))
+    held = rows.where("__held").join(spans.select(F.col("id").alias("__i"), F.col("tie").alias("__t"), "spans"), (F.col("id") == F.col("__i")) & (F.col("tie") == F.col("__t")), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1, most_bytes=1 << 20):
             n, removed, kept, ids = [], [], [], []
-            for i, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (text or "").encode().split()
+            sizes, values = _lists(batch.column(2))
+            flat, done = np.asarray(values), 0
+            for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                words = (text.as_py() or "").encode().split()
                 n.append(len(words))
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["a"] for s in spans], 1)
-                    np.add.at(edge, [s["b"] for s in spans], -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
+                if sizes[k]:
+                    mine = flat[done : done + sizes[k]]
+                    edge = np.bincount(mine >> 32, minlength=len(words) + 1) - np.bincount(mine & 0xFFFFFFFF, minlength=len(words) + 1)
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                    done += sizes[k]
                 removed.append(n[-1] - len(words))
                 joined = b" ".join(words)
                 kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
@@ -308,6 +359,8 @@ def clean_texts(docs: DataFrame, digest: bool, window: int, gram: int, most: int
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 6, most: int = 1000, digest: bool = False) -> DataFrame:
-    """id, n_words, n_removed and the text that stays (kept_text, or with digest kept_sha256) of every row; window: at most 255 words."""
+    """id, n_words, n_removed and the text that stays (kept_text, or with digest kept_sha256) of every row; window: at most 255 words, gram: at most window."""
+    if not 0 < gram <= window <= 255:
+        raise ValueError("0 < gram <= window <= 255 is needed: places hold counts in a byte")
     out = clean_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), digest, window, gram, most)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept_text"))
