@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stagewise.functions.titles import ALIASES, DIFFERENT, FILLER, PLACE_SHORT, PLACE_SKIPPED
+
 #: Words that name the kind of a source, tried in this order.
 LINEAGE = [("matrix", "matrix"), ("sbd", r"\bsbd\b|soundboard"), ("aud", r"\baud\b|audience|schoeps|neumann|akg")]
 #: Base score of each kind.
@@ -51,19 +53,62 @@ def slug(c: str | Column) -> Column:
     return F.coalesce(nullif_empty(F.regexp_replace(s, "^-+|-+$", "")), F.lit("unknown"))
 
 
+def looked_up(c: Column, table: dict[str, str] | None) -> Column:
+    """The table's value, or the text itself."""
+    if not table:
+        return c
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
+
+
 def normalize_title(c: str | Column, aliases: dict[str, str] | None = None) -> Column:
-    """Lower case, apostrophes deleted, other signs to spaces, squeezed; then an alias, if there is one."""
-    s = F.regexp_replace(F.lower(col(c)), "['’]", "")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]+", " "), " +", " "))
-    if aliases:
-        s = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), s), s)
-    return s
+    """Lower case, straight apostrophes deleted, other signs to spaces, squeezed; then an alias, if there is one."""
+    s = F.replace(F.lower(col(c)), F.lit("'"), F.lit(""))
+    return looked_up(F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]+", " "), " +", " ")), aliases)
+
+
+def fuzzy_title(c: str | Column, aliases: dict[str, str] | None = ALIASES, shorthand: dict[str, str] | None = None) -> Column:
+    """normalize_title() without a leading encore mark, with & read as and; then a short name of the family's, if given."""
+    s = F.regexp_replace(F.replace(col(c), F.lit("&"), F.lit(" and ")), r"(?i)^\s*(?:encore|e)\s*:\s*", "")
+    return looked_up(normalize_title(s, aliases), shorthand)
+
 
+def title_parts(c: str | Column, shorthand: dict[str, str] | None = None) -> Column:
+    """Normal forms of the songs of a merged title, in order, each without a closing parenthesis; the whole title's if nothing is left."""
+    names = F.transform(F.split(col(c), "->|>|→"), lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)\s*$", "")))
+    found = F.filter(F.transform(F.filter(names, lambda x: x != ""), lambda x: fuzzy_title(x, shorthand=shorthand)), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(fuzzy_title(c, shorthand=shorthand)))
 
-def fuzzy_title(c: str | Column, aliases: dict[str, str] | None = None) -> Column:
-    """normalize_title() without a leading encore mark, with & read as and."""
-    s = F.regexp_replace(F.lower(col(c)), r"^\s*(?:e|encore)\s*:\s*", "")
-    return normalize_title(F.replace(s, F.lit("&"), F.lit(" and ")), aliases)
+
+def within_words(short: Column, long: Column) -> Column:
+    """Whether the words of one normal form are a run of the other's."""
+    return (short != "") & F.contains(F.concat(F.lit(" "), long, F.lit(" ")), F.concat(F.lit(" "), short, F.lit(" ")))
+
+
+def same_song(a: Column, b: Column) -> Column:
+    """Whether two normal forms are one song: equal, equal but for blanks, or one a run of two words at least of the other."""
+    different = a.isin(*DIFFERENT) & b.isin(*DIFFERENT)
+    part = lambda x, y: F.contains(x, F.lit(" ")) & (x != y) & within_words(x, y)
+    closed = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    return (a == b) | (~different & (part(a, b) | part(b, a) | (closed(a) == closed(b))))
+
+
+def known_song(c: Column, known: Column) -> Column:
+    """Whether a song that prose names is among known normal forms.
+
+    A whole name must be one of them; else a chain of songs is known if every part is, and so is a list with commas;
+    a single title may also be a run of a known one's words, or the other way round.
+    """
+    name = lambda x: normalize_title(x, ALIASES)
+    whole = lambda x: F.array_contains(known, name(x))
+    loose = lambda x: F.exists(known, lambda k: within_words(name(x), k) | within_words(k, name(x)))
+    pieces = lambda x, sign: F.filter(F.split(x, sign), lambda y: F.trim(y) != "")
+    listed = lambda x: whole(x) | F.when(F.size(pieces(x, ",")) > 1, F.forall(pieces(x, ","), lambda y: whole(y) | loose(y))).otherwise(loose(x))
+    return whole(c) | F.when(F.size(pieces(c, "->|>|→")) > 1, F.forall(pieces(c, "->|>|→"), listed)).otherwise(listed(c))
+
+
+def is_filler(c: str | Column) -> Column:
+    """Whether a title says tuning, talk, applause or the like anywhere: no song of a setlist."""
+    return F.coalesce(F.lower(col(c)).rlike(FILLER), F.lit(False))
 
 
 def artist_key(c: str | Column) -> Column:
@@ -76,9 +121,11 @@ def ascii_key(c: str | Column) -> Column:
 
 
 def clean_tag(c: str | Column) -> Column:
-    """A tag's title without a leading number, an audio extension, and blanks or signs at the edges."""
-    s = F.regexp_replace(F.trim(col(c)), r"(?i)\.(mp3|flac|shn|ogg|wav|m4a)$", "")
-    return F.regexp_replace(F.regexp_replace(s, r"^[\s\-_.]+", ""), r"[\s\-_.]+$", "")
+    """A tag's title without an item's identifier before it, an audio extension, and blanks or signs at the edges; "unknown" is empty."""
+    s = F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"^[A-Za-z]{2,5}_*\d\d(?:\d\d)?[-.]\d\d[-.]\d\d\s*(?:[td]\d+)*", "")
+    s = F.regexp_replace(s, r"(?i)\.(?:mp3|flac|ogg|shn)\s*$", "")
+    s = F.regexp_replace(s, r"^[ \t\-–—_.|]+|[ \t\-–—_.|]+$", "")
+    return F.when(F.lower(s) == "unknown", F.lit("")).otherwise(s)
 
 
 def is_real_title(c: str | Column) -> Column:
@@ -158,6 +205,30 @@ def packaged_filename(index: Column, title: Column, extension: Column) -> Column
     return F.format_string("%02d - %s%s", index, F.coalesce(nullif_empty(safe), F.lit("untitled")), extension)
 
 
+def place_words(c: str | Column) -> Column:
+    """Words of a place's name, without those that say nothing."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+", " "), " ")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*sorted(PLACE_SKIPPED)))
+
+
+def same_place(a: str | Column, b: str | Column) -> Column:
+    """Whether two names may be one place: all words of one among the other's, or words and initials of one that spell the other."""
+    spelled = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, sorted(x))) for kv in PLACE_SHORT.items() for x in kv])
+    means = lambda w: F.coalesce(F.try_element_at(spelled, w), F.array(w))
+    same = lambda v, w: (v == w) | F.arrays_overlap(means(v), means(w))
+    x, y = place_words(a), place_words(b)
+    among = lambda p, q: F.forall(p, lambda v: F.exists(q, lambda w: same(v, w)))
+
+    def spells(short: Column, long: Column) -> Column:
+        """How far into long the words of short have come, one by one; null where one doesn't fit."""
+        initials = F.array_join(F.transform(long, lambda w: F.substring(w, 1, 1)), "")
+        step = lambda at, v: F.when(same(v, F.get(long, at)), at + 1).when(v.rlike("^[a-z]{2,}$") & (F.substr(initials, at + 1, F.length(v)) == v), at + F.length(v))
+        return F.coalesce(F.aggregate(short, F.lit(0), step) == F.size(long), F.lit(False))
+
+    both = (F.size(x) > 0) & (F.size(y) > 0)
+    return F.when(both, among(x, y) | among(y, x) | spells(x, y) | spells(y, x)).otherwise((F.size(x) == 0) & (F.size(y) == 0))
+
+
 def normalize_date(c: str | Column) -> Column:
     """YYYY-MM-DD of ISO, m/d/yy[yy], 'Month D[, YYYY]' and 'D Month [YYYY]' dates; --MM-DD without a year; null otherwise.
 

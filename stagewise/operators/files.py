@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions.text import LINEAGE_SCORES, is_real_title
+from stagewise.functions.text import LINEAGE_SCORES, is_real_title, try_int
 
 #: The floor on durations is a share of the median, or absolute where the sample is small.
 SHARE_OF_MEDIAN, LEAST_SAMPLE, ABSOLUTE_FLOOR = 0.25, 5, 90.0
@@ -60,6 +60,14 @@ def play_order(files: DataFrame, item: str, track: str, name: str) -> DataFrame:
     return rows.drop("__all", "__with", "__kinds", "__tagged", "__name")
 
 
+def track_numbers(files: DataFrame, item: str, *, name: str, source: str, original: str, track: str) -> DataFrame:
+    """files with number: the leading integer of an original's track tag; of any other file, that of the original it is made from."""
+    first = try_int(F.regexp_extract(F.col(track).cast("string"), r"^\s*(\d+)", 1))
+    of = files.where(F.col(source) == "original").groupBy(F.col(item).alias("__i"), F.col(name).alias("__o")).agg(F.min_by(first, F.coalesce(track, F.lit("")).cast("string")).alias("__number"))
+    rows = files.join(of, (F.col(item) == F.col("__i")) & (F.col(original) == F.col("__o")), "left")
+    return rows.withColumn("number", F.when(F.col(source) == "original", first).otherwise(F.col("__number"))).drop("__i", "__o", "__number")
+
+
 def title_fraction(titles: DataFrame, item: str, title: str) -> DataFrame:
     """Share of titles that are real (three letters at least)."""
     return titles.groupBy(item).agg(F.count_if(is_real_title(title)).alias("n_real"), F.count(F.lit(1)).alias("n"), F.avg(is_real_title(title).cast("double")).alias("fraction"))
@@ -82,11 +90,12 @@ def resolve_titles(rows: DataFrame, candidates: Sequence[tuple[str, Column]], fa
 
 
 def strip_numbering(rows: DataFrame, item: str, title: str) -> DataFrame:
-    """Leading numbers go where at least three titles of the item, and 80 percent, have one."""
-    numbered = F.col(title).rlike(r"^\d{1,2}[\s.\-_]+\S")
+    """A leading number (three digits at most, maybe a sign, a blank) goes where at least three titles of the item, and 80 percent, have one."""
+    mark = r"^\d{1,3}[.)\-:]?\s+(?=\S)"
+    numbered = F.col(title).rlike(mark)
     whole = Window.partitionBy(item)
     gate = (F.count_if(numbered).over(whole) >= 3) & (F.count_if(numbered).over(whole) >= 0.8 * F.count(F.lit(1)).over(whole))
-    return rows.withColumn(title, F.when(gate & numbered, F.regexp_replace(title, r"^\d{1,2}[\s.\-_]+", "")).otherwise(F.col(title)))
+    return rows.withColumn(title, F.when(gate & numbered, F.regexp_replace(title, mark, "")).otherwise(F.col(title)))
 
 
 def pattern_bonus(rows: DataFrame, group: str, name: str, newness: Sequence[Column], patterns: dict[str, float]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagewise.functions.text import artist_key, fuzzy_title, is_filler, normalize_title, same_song, title_parts, try_int
+from stagewise.functions.titles import ALIASES, SHORTHAND
 from stagewise.operators.ranking import argfirst
 
 
@@ -33,12 +35,52 @@ def invalid_overrides(overrides: DataFrame, n_tracks: str, breaks: str, encore_a
     return F.array_compact(F.array(F.when(F.size(bad) > 0, F.lit("set break out of range")), F.when((e < 1) | (e >= n), F.lit("encore out of range")), F.when((F.size(breaks) > 0) & (e <= F.array_max(breaks)), F.lit("encore not past the last set break"))))
 
 
+#: The words of set numbers in evidence, and labels that mean the one set there is.
+SET_NUMBERS = {"one": "1", "i": "1", "1": "1", "two": "2", "ii": "2", "2": "2", "three": "3", "iii": "3", "3": "3"}
+SET_ORDINALS = {"first": "1", "second": "2", "third": "3"}
+ONLY_SET = ("show", "set")
+
+
 def set_label(c: str) -> Column:
-    """1, 2, 3 or encore of an evidence label; null if it names none."""
-    s = F.lower(F.trim(F.col(c)))
-    number = F.regexp_extract(s, r"^set\s*(\d)$|^(\d)$", 0)
-    digit = F.regexp_extract(number, r"(\d)", 1)
-    return F.when(s.rlike(r"^(?:encore|e)\b"), "encore").when(digit.isin("1", "2", "3"), digit)
+    """1, 2, 3 or encore of an evidence label: 'Encore 2', 'Set: Two', 'First Set', 'ii', 'show'; null if it names none."""
+    s = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"^\s+|\s+$", "")
+    table = F.create_map(*[F.lit(x) for kv in (SET_NUMBERS | SET_ORDINALS).items() for x in kv])
+    # the word behind 'set', or the whole label; an ordinal also before 'set'
+    behind = F.regexp_extract(s, r"^set\s*:?\s*(\w+)", 1)
+    before = F.regexp_extract(s, r"^(first|second|third)\s+set\b", 1)
+    numbered = F.when(~behind.isin(*SET_ORDINALS), F.try_element_at(table, behind))
+    return F.when(s.startswith("encore"), "encore").when(s.isin(*ONLY_SET), "1").otherwise(F.coalesce(numbered, F.try_element_at(table, before), F.try_element_at(table, s)))
+
+
+def events_of(rows: DataFrame, artist: str, date: str, event: str, label: str, position: str, closer: str, number: str) -> DataFrame:
+    """(artist_key, date, event, place, k, name, closer, song_count): evidence rows with a readable label and position.
+
+    place: of the event among the date's, by its number (0 if unreadable); k: of the set in its event; song_count: since
+    the set before, null for the first.
+    """
+    rows = rows.withColumns({"artist_key": artist_key(artist), "name": set_label(label), "__at": try_int(position)}).where("name is not null and __at is not null")
+    by = Window.partitionBy("artist_key", date, event)
+    order = by.orderBy("__at", F.col(closer))
+    rows = rows.withColumns({"k": F.row_number().over(order), "song_count": F.col("__at") - F.lag("__at").over(order), "__number": F.coalesce(F.first(try_int(number)).over(order), F.lit(0))})
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("artist_key", date).orderBy("__number", event)))
+    return rows.select("artist_key", F.col(date).alias("date"), F.col(event).alias("event"), "place", "k", "name", F.col(closer).alias("closer"), "song_count")
+
+
+def events_of_recordings(recordings: DataFrame, events: DataFrame, recording: str, artist: str, date: str, text: str, description: str) -> DataFrame:
+    """recordings with hits: places of the date's events that a recording belongs to; empty if none can be told.
+
+    Early and late in its words decide where a date has two events; else the events with a closer among the words of the description.
+    """
+    said = F.concat(F.lit(" "), normalize_title(F.coalesce(F.col(description), F.lit("")), ALIASES), F.lit(" "))
+    closer = F.concat(F.lit(" "), fuzzy_title("closer", ALIASES), F.lit(" "))
+    e = events.select(F.col("artist_key").alias("__a"), F.col("date").alias("__d"), "place", closer.alias("__closer"))
+    keys = recordings.withColumns({"__key": artist_key(artist), "__said": said})
+    joined = keys.join(e, (F.col("__key") == F.col("__a")) & (F.col(date) == F.col("__d")), "left")
+    joined = joined.groupBy(recording).agg(F.array_sort(F.collect_set(F.when((F.trim("__closer") != "") & F.contains("__said", "__closer"), F.col("place")))).alias("__heard"), F.coalesce(F.max("place"), F.lit(0)).alias("n_events"))
+    rows = recordings.join(joined.withColumnRenamed(recording, "__r"), F.col(recording).eqNullSafe(F.col("__r"))).drop("__r")
+    early, late = F.lower(F.col(text)).rlike(r"\bearly\b"), F.lower(F.col(text)).rlike(r"\blate\b")
+    told = F.when(early & late, F.array(F.lit(1), F.lit(2))).when(early, F.array(F.lit(1))).when(late, F.array(F.lit(2)))
+    return rows.withColumn("hits", F.coalesce(F.when(F.col("n_events") == 2, told), "__heard")).drop("__heard")
 
 
 def evidence_index(rows: DataFrame, event: Sequence[str], position: str, value: str) -> DataFrame:
@@ -55,15 +97,31 @@ def segue_blend(winner: DataFrame, other: DataFrame, show: str, title: str, posi
     return joined.withColumn("blended", F.col(segue) | F.coalesce("__segue", F.lit(False))).drop("__s", "__t", "__n", "__m", "__segue")
 
 
-def closer_contradictions(tracks: DataFrame, closers: DataFrame, show: str, index: str, label: str, title: str, closer: str) -> DataFrame:
-    """Each closer with hits and verdict: missing (soft), not at a set break (hard; only where it hits one track), ambiguous or ok."""
+def closer_candidates(tracks: DataFrame, closers: DataFrame, show: str, index: str, title: str, closer: str, position: str, name: str) -> DataFrame:
+    """(show, position, name, closer, options, tier): the tracks that may be each set's closer, in order.
+
+    A merged track closes on its last song, and so does a merged closer. Where a track has just the closer's
+    name (tier exact), tracks with a similar one (tier fuzzy) don't count. A show's tracks and closers meet in one row.
+    """
+    last = lambda c: F.element_at(title_parts(c, SHORTHAND), -1)
+    songs = tracks.groupBy(F.col(show).alias("__s")).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), last(title).alias("song")))).alias("__songs"))
+    rows = closers.join(songs, F.col(show) == F.col("__s"), "left").withColumn("__want", last(closer))
+    hits = lambda test: F.transform(F.filter("__songs", test), lambda x: x["i"])
+    rows = rows.withColumns({"__exact": hits(lambda x: x["song"] == F.col("__want")), "__near": hits(lambda x: same_song(x["song"], F.col("__want")))})
+    tier = F.when(F.size("__exact") > 0, "exact").when(F.size("__near") > 0, "fuzzy")
+    options = F.when(tier == "exact", F.col("__exact")).when(tier == "fuzzy", F.col("__near")).otherwise(F.array().cast("array<int>"))
+    return rows.select(show, position, name, closer, options.alias("options"), tier.alias("tier"))
+
+
+def closer_contradictions(tracks: DataFrame, closers: DataFrame, show: str, index: str, label: str, title: str, closer: str, position: str, name: str) -> DataFrame:
+    """Each closer with hits and verdict: missing (soft), not at a set break (hard; only where it hits one track), ambiguous or ok. Only of shows with tracks."""
     by = Window.partitionBy(show).orderBy(index)
-    nxt = F.lead(label).over(by)
-    placed = tracks.withColumn("__end", F.lead(index).over(by).isNull() | (nxt != F.col(label))).select(F.col(show).alias("__s"), F.col(title).alias("__t"), "__end")
-    joined = closers.join(placed, (F.col(show) == F.col("__s")) & (F.col(closer) == F.col("__t")), "left")
-    agg = joined.groupBy(show, closer).agg(F.count("__t").alias("hits"), F.bool_or("__end").alias("__at"))
-    verdict = F.when(F.col("hits") == 0, "missing").when(F.col("hits") > 1, "ambiguous").when(F.col("__at"), "ok").otherwise("not at a set break")
-    return agg.select(show, closer, "hits", verdict.alias("verdict"))
+    ends = tracks.withColumn("__next", F.lead(label).over(by)).where(F.col("__next").isNull() | (F.col("__next") != F.col(label)))
+    ends = ends.groupBy(F.col(show).alias("__s")).agg(F.collect_set(F.col(index).cast("int")).alias("__ends"))
+    found = closer_candidates(tracks, closers, show, index, title, closer, position, name).join(ends, F.col(show) == F.col("__s"))
+    hits = F.size("options")
+    verdict = F.when(hits == 0, "missing").when(hits > 1, "ambiguous").when(F.array_contains("__ends", F.get("options", F.lit(0))), "ok").otherwise("not at a set break")
+    return found.select(show, position, closer, hits.cast("long").alias("hits"), verdict.alias("verdict"))
 
 
 def resolve_positions(candidates: Column) -> Column:
@@ -78,20 +136,27 @@ def resolve_positions(candidates: Column) -> Column:
     return F.when((F.size(candidates) > 0) & ~F.exists(found, lambda p: p.isNull()), found)
 
 
-def anchor_breaks(tracks: DataFrame, closers: DataFrame, show: str, index: str, title: str, closer: str, position: str, name: str) -> DataFrame:
+def anchor_breaks(tracks: DataFrame, closers: DataFrame, show: str, index: str, title: str, closer: str, position: str, name: str, aligned: str | None = None) -> DataFrame:
     """tracks with anchored: the set's name, from the tracks that close the sets; only of shows where every set finds its closer in order.
 
-    Tracks up to a set's closer belong to it, tracks behind the last one to the last set.
+    Tracks up to a set's closer belong to it, tracks behind the last one to the last set. Evidence often leaves the
+    encore out or counts it to the last set: where no set is an encore, the tracks at the end that `aligned` calls so
+    keep that, but for the last set's first track.
     """
-    hits = tracks.select(F.col(show).alias("__s"), F.col(title).alias("__t"), F.col(index).cast("int").alias("__i"))
-    found = closers.join(hits, (F.col(show) == F.col("__s")) & (F.col(closer) == F.col("__t")), "left")
-    lists = found.groupBy(show, position, name).agg(F.collect_list("__i").alias("options"))
+    lists = closer_candidates(tracks, closers, show, index, title, closer, position, name)
     shows = lists.groupBy(show).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("k"), F.col(name).alias("set"), "options"))).alias("sets"))
     shows = shows.where(F.exists("sets", lambda s: s["set"] != "encore"))
     shows = shows.select(F.col(show).alias("__s"), F.transform("sets", lambda s: s["set"]).alias("__names"), resolve_positions(F.transform("sets", lambda s: s["options"])).alias("__ends")).where("__ends is not null")
     out = tracks.join(shows, F.col(show) == F.col("__s"))
     k = F.least(F.size(F.filter("__ends", lambda e: e < F.col(index))), F.size("__names") - 1)
-    return out.withColumn("anchored", F.get("__names", k)).drop("__s", "__names", "__ends")
+    named = F.get("__names", k)
+    if aligned is not None:
+        whole = Window.partitionBy(show)
+        # the last track that isn't an encore, and the first track of the last set
+        out = out.withColumns({"__music": F.max(F.when(F.coalesce(F.col(aligned), F.lit("")) != "encore", F.col(index))).over(whole), "__from": F.min(F.when(F.col(index) > F.coalesce(F.get("__ends", F.size("__ends") - 2), F.lit(-1)), F.col(index))).over(whole)})
+        restored = (F.col(index) > F.coalesce("__music", F.lit(-1))) & (F.col(index) > F.col("__from")) & ~F.array_contains("__names", "encore")
+        named = F.when(restored, "encore").otherwise(named)
+    return out.withColumn("anchored", named).drop("__s", "__names", "__ends", "__music", "__from")
 
 
 def structure_guard(shows: DataFrame, *, sets: str, breaks: str, seconds: str, expected: str, evidence_sets: str, most_minutes: int = 150) -> Column:
@@ -132,3 +197,18 @@ def from_setlist_service(raw: DataFrame, show: str, sets: str) -> DataFrame:
     songs = each.select(show, "k", "set_label", F.posexplode("s.song").alias("j", "song")).where((F.trim("song.name") != "") & ~F.coalesce("song.tape", F.lit(False)))
     by = Window.partitionBy(show)
     return songs.withColumns({"pos": F.row_number().over(by.orderBy("k", "j")), "__n": F.count(F.lit(1)).over(by)}).where("__n >= 5").select(show, "pos", F.col("song.name").alias("title"), "set_label")
+
+
+def applied_alignment(tracks: DataFrame, answers: DataFrame, show: str, index: str, title: str, label: str, segue: str, matched_title: str) -> DataFrame:
+    """tracks with set_label, segue, matched and the show's coverage, as a model's answer says; only of shows whose answer names each track once, with known sets.
+
+    answers: (show, index, label, segue, matched_title).
+    """
+    a = answers.select(F.col(show).alias("__s"), F.col(index).alias("__i"), F.col(label).alias("set_label"), F.coalesce(segue, F.lit(False)).alias("segue"), (F.coalesce(matched_title, F.lit("")) != "").alias("matched"))
+    sizes = tracks.groupBy(F.col(show).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    said = a.groupBy("__s").agg(F.count(F.lit(1)).alias("__rows"), F.array_sort(F.collect_set("__i")).alias("__all"), F.bool_and(F.coalesce(F.col("set_label").isin("1", "2", "3", "encore"), F.lit(False))).alias("__valid"))
+    whole = sizes.join(said, F.col("__t") == F.col("__s")).where("__rows = __n and __valid").where(F.size("__all") == F.col("__n")).where((F.array_min("__all") == 1) & (F.array_max("__all") == F.col("__n"))).select(F.col("__t").alias("__ok"))
+    rows = tracks.join(whole, F.col(show) == F.col("__ok")).join(a, (F.col(show) == F.col("__s")) & (F.col(index) == F.col("__i")))
+    song = ~is_filler(title)
+    share = F.coalesce(F.avg(F.when(song, F.col("matched").cast("double"))).over(Window.partitionBy(show)), F.lit(0.0))
+    return rows.withColumn("coverage", share).drop("__s", "__i", "__ok")

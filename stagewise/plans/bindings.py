@@ -6,30 +6,12 @@ month, the ledger the events, tracks the turns of conversations, reviews and des
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
-from stagewise.operators import catalog, census, files, guards, manifest, ranking, recovery, structure
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from stagewise.operators import catalog, census, files, guards, manifest, ranking, structure
+from stagewise.plans.registry import query, t
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +122,7 @@ def history_anti_join(spark, d):
     return catalog.not_in_history(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", *[e.where(F.col("event_type") == k).select("user_id") for k in ("purchase", "click")])
 
 
-NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[''’]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+NORM = "trim(regexp_replace(regexp_replace(replace(lower({0}), '''', ''), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 # tails behind each hit, by position
 SEQ = f"n AS (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS h FROM documents WHERE text IS NOT NULL), s1 AS (SELECT doc_id, CASE WHEN strpos(h, ' the ') > 0 THEN substr(h, strpos(h, ' the ') + 4) END AS h FROM n), s2 AS (SELECT doc_id, CASE WHEN strpos(h, ' of ') > 0 THEN substr(h, strpos(h, ' of ') + 3) END AS h FROM s1), s3 AS (SELECT doc_id, CASE WHEN strpos(h, ' that ') > 0 THEN substr(h, strpos(h, ' that ') + 5) END AS h FROM s2)"
 
@@ -184,9 +166,9 @@ def review_batches(spark, d):
     return ranking.batches(t(spark, d, "labels").select("doc_id", "toxic"), ["toxic"], [F.col("doc_id")], 5)
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, coalesce(string_agg(substr(text, 1, 80), chr(10) || chr(10) ORDER BY n), '') AS digest FROM r WHERE n <= 5 GROUP BY conv_id")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, coalesce(string_agg(substr(text, 1, 800), chr(10) || chr(10) ORDER BY n), '') AS digest FROM r WHERE n <= 5 GROUP BY conv_id")
 def review_digest(spark, d):
-    return manifest.review_digest(t(spark, d, "conversations"), "conv_id", "turn", "text", 5, 80)
+    return manifest.review_digest(t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(s, 'matrix') THEN 'matrix' WHEN regexp_matches(s, '\\bsbd\\b|soundboard') THEN 'sbd' WHEN regexp_matches(s, '\\baud\\b|audience|schoeps|neumann|akg') THEN 'aud' ELSE 'unknown' END AS lineage FROM (SELECT doc_id, lower(concat_ws(' ', source, text)) AS s FROM documents)")
@@ -317,32 +299,6 @@ def event_partition(spark, d):
     return docs.select("doc_id", structure.event_partition(docs, F.col("source"), F.col("lang"), n, said, hit).alias("performance_id"))
 
 
-CLOSERS = "q AS (SELECT conv_id, max(turn) AS last, min(turn) AS first FROM conversations GROUP BY 1), cl AS (SELECT conv_id, 1 AS k, 'r' || (last // 2) AS closer FROM q UNION ALL SELECT conv_id, 2, 'r' || last FROM q UNION ALL SELECT conv_id, 3, 'r999' FROM q WHERE conv_id % 3 = 0)"
-
-
-def closers(spark, d):
-    q = t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    r = lambda c: F.concat(F.lit("r"), c.cast("string"))
-    a = q.select("conv_id", F.lit(1).alias("k"), r(F.floor(F.col("last") / 2)).alias("closer"))
-    b = q.select("conv_id", F.lit(2).alias("k"), r(F.col("last")).alias("closer"))
-    return a.unionByName(b).unionByName(q.where("conv_id % 3 = 0").select("conv_id", F.lit(3).alias("k"), F.lit("r999").alias("closer")))
-
-
-def tracks(spark, d):
-    return t(spark, d, "conversations").withColumn("title", F.concat(F.lit("r"), F.col("turn").cast("string")))
-
-
-@query(f"WITH {CLOSERS}, tr AS (SELECT conv_id, 'r' || turn AS title, coalesce(lead(role) OVER w <> role, true) AS e FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), a AS (SELECT cl.conv_id, closer, count(title) AS hits, bool_or(e) AS fits FROM cl LEFT JOIN tr ON tr.conv_id = cl.conv_id AND title = closer GROUP BY 1, 2) SELECT conv_id, closer, hits, CASE WHEN hits = 0 THEN 'missing' WHEN hits > 1 THEN 'ambiguous' WHEN fits THEN 'ok' ELSE 'not at a set break' END AS verdict FROM a")
-def closer_contradictions(spark, d):
-    return structure.closer_contradictions(tracks(spark, d), closers(spark, d), "conv_id", "turn", "role", "title", "closer")
-
-
-@query("WITH q AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1 HAVING max(turn) > 0 AND conv_id % 3 <> 0) SELECT c.conv_id, c.turn, CASE WHEN c.turn <= last // 2 THEN '1' ELSE '2' END AS anchored FROM conversations c JOIN q USING (conv_id) WHERE last // 2 < last")
-def anchor_breaks(spark, d):
-    c = closers(spark, d).withColumn("name", F.col("k").cast("string"))
-    return structure.anchor_breaks(tracks(spark, d), c, "conv_id", "turn", "title", "closer", "k", "name").select("conv_id", "turn", "anchored")
-
-
 @query("WITH p AS (SELECT doc_id, source, n_chars // 400 AS len, CASE WHEN n_chars > 4000 THEN 'high' WHEN n_chars > 1000 THEN 'medium' ELSE 'low' END AS conf, lang = 'en' AS off, n_chars % 2 = 0 AS multi, 12 AS target FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off DESC, len >= least(target, greatest(5, target // 2)) DESC, CASE conf WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, multi DESC, abs(len - target), doc_id) AS k FROM p) SELECT source, doc_id, len FROM r WHERE k = 1")
 def parse_rank(spark, d):
     conf = F.when(F.col("n_chars") > 4000, "high").when(F.col("n_chars") > 1000, "medium").otherwise("low")
@@ -357,13 +313,6 @@ def structure_guard(spark, d):
     return s.select("conv_id", structure.structure_guard(s, sets="sets", breaks="br", seconds="secs", expected="ex", evidence_sets="ev", most_minutes=60).alias("flag"))
 
 
-@query("WITH a AS (SELECT l_orderkey AS k, l_suppkey AS s FROM lineitem), f AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 3), g AS (SELECT a.k AS show, count(*) AS asserted, count(*) FILTER (WHERE f.s IS NULL) AS unknown FROM a LEFT JOIN f ON a.k = f.k AND a.s = f.s GROUP BY 1) SELECT *, unknown >= 2 AND unknown * 3 > asserted AS flagged FROM g")
-def grounding_flags(spark, d):
-    a = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("show"), F.col("l_suppkey").alias("song"))
-    f = t(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("show"), F.col("l_suppkey").alias("known"))
-    return guards.grounding_flags(a, f, "show", "song", "known")
-
-
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN '--' || strftime(o_orderdate, '%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders")
 def normalize_dates(spark, d):
     o = t(spark, d, "orders")
@@ -372,12 +321,6 @@ def normalize_dates(spark, d):
     return o.select("o_orderkey", X.normalize_date(written).alias("date"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\\b(?:the|la|de) ', 'two sets '), '\\b(\\d|one|two|three|four|single|both)[ -]sets?\\b', 1), lambda x: CASE x WHEN 'one' THEN '1' WHEN 'single' THEN '1' WHEN 'two' THEN '2' WHEN 'both' THEN '2' WHEN 'three' THEN '3' WHEN 'four' THEN '4' ELSE x END), ',') AS claims FROM documents")
-def set_count_claims(spark, d):
-    said = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?s)^(.*?)\b(?:the|la|de) (.*)$", "$1two sets $2")
-    return t(spark, d, "documents").select("doc_id", F.array_join(guards.set_count_claims(said).cast("array<string>"), ",").alias("claims"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'P' THEN 'held' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_totalprice > 200000 THEN 'packaged' WHEN o_orderpriority LIKE '2%' THEN 'briefed' WHEN o_orderpriority LIKE '3%' THEN 'vetted' ELSE 'selected' END AS state FROM orders")
 def derive_state(spark, d):
     p = F.col("o_orderpriority")
@@ -426,6 +369,10 @@ def set_durations(spark, d):
     return manifest.set_durations(t(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity")
 
 
+def tracks(spark, d):
+    return t(spark, d, "conversations").withColumn("title", F.concat(F.lit("r"), F.col("turn").cast("string")))
+
+
 @query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations), e AS (SELECT conv_id, turn AS i, 0 AS o, 'intro' AS kind, 'intro-' || role AS entry FROM r WHERE k = 1 UNION ALL SELECT conv_id, turn, 1, 'track', 'r' || turn FROM r UNION ALL SELECT conv_id, max(turn), 2, 'outro', 'outro' FROM r GROUP BY 1) SELECT conv_id, kind, entry, row_number() OVER (PARTITION BY conv_id ORDER BY i, o) AS seq FROM e")
 def interleave_playlist(spark, d):
     return manifest.interleave(tracks(spark, d), "conv_id", "turn", "role", "title").select("conv_id", "kind", "entry", "seq")
@@ -472,21 +419,3 @@ def census_formats(spark, d):
 def census_interval(spark, d):
     out = census.mean_interval(t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
     return out.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
-
-
-@query()
-def parse_setlist(spark, d):
-    got = recovery.parse_setlists(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    return got.select("doc_id", F.size("items").alias("n_items"), F.array_join(F.transform("items", lambda x: x["set"]), ",").alias("sets"), "confidence")
-
-
-@query()
-def align_tracks(spark, d):
-    a = tracks(spark, d)
-    b = t(spark, d, "conversations").where("turn % 3 <> 1").select((F.col("conv_id")).alias("conv_id"), "turn", F.concat(F.lit("r"), F.col("turn").cast("string")).alias("item"), "role", (F.col("turn") % 2 == 0).alias("segue"))
-    return recovery.align_tracks(a, b, "conv_id", "turn", "title", "turn", "item", "role", "segue").select("conv_id", "turn", "set_label", "segue", "matched", "coverage")
-
-
-@query()
-def venue_equivalence(spark, d):
-    return recovery.venue_mismatches(t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type")
