@@ -15,7 +15,12 @@ STATES = ["selected", "gathered", "researched", "vetted", "briefed", "packaged",
 
 
 def artist_index(artists: DataFrame, items: DataFrame, artist_id: str, item_artist: str, year: str, amount: str) -> DataFrame:
-    """Each artist with recordings, downloads, year_min and year_max; artists without items stay; items of unknown artists don't count."""
+    """Each artist with recordings, downloads, year_min and year_max; artists without items stay; items of unknown artists don't count.
+
+    item_artist may be an array (an item's collections): the item counts for each artist in it.
+    """
+    if items.schema[item_artist].dataType.typeName() == "array":
+        items = items.withColumn(item_artist, F.explode(F.array_distinct(item_artist)))
     of = items.groupBy(F.col(item_artist).alias(artist_id)).agg(F.count(F.lit(1)).alias("recordings"), F.sum(amount).alias("downloads"), F.min(year).alias("year_min"), F.max(year).alias("year_max"))
     return artists.join(of, artist_id, "left").na.fill(0, ["recordings", "downloads"])
 
@@ -35,7 +40,7 @@ def resolve_names(asked: DataFrame, candidates: DataFrame, name: str, candidate:
         raise ValueError("at most 1000 names can be resolved at once")
     q = F.broadcast(asked.sparkSession.createDataFrame(few, "asked string, __q string"))
     pool = candidates.select(F.col(candidate).alias("found"), ascii_key(candidate).alias("__c"))
-    hits = q.join(pool, F.col("__c").contains(F.col("__q")))
+    hits = q.where("__q <> ''").join(pool, F.col("__c").contains(F.col("__q")))
     got = hits.groupBy("asked").agg(F.count(F.lit(1)).alias("n_options"), F.min(F.when(F.col("__c") == F.col("__q"), F.col("found"))).alias("__exact"), F.min("found").alias("__any"))
     got = q.select("asked").join(got, "asked", "left")
     return got.select("asked", F.coalesce(F.col("__exact"), F.when(F.col("n_options") == 1, F.col("__any"))).alias("resolved"), F.coalesce("n_options", F.lit(0)).alias("n_options"))

@@ -73,12 +73,13 @@ def capped_pick_two_axes(df: DataFrame, artist: str, year: str, order: Sequence[
 
 def choose_entries(df: DataFrame, approved: str, rank: str, bucket: str, n: int, human_gate: bool, cap: float) -> DataFrame:
     """Approved entries, first n, uncapped; without any and with the gate, none; else a capped pick of those not rejected; by rank."""
-    yes = df.where(F.col(approved))
-    if not yes.isEmpty():
-        return yes.orderBy(rank).limit(n)
+    any_yes = F.broadcast(df.agg(F.coalesce(F.bool_or(approved), F.lit(False)).alias("__any")))  # one row
+    rows = df.join(any_yes)
+    yes = rows.where(F.col("__any") & F.col(approved)).orderBy(rank).limit(n).select(*df.columns)
     if human_gate:
-        return df.limit(0)
-    return capped_pick(df.where(F.coalesce(F.col(approved), F.lit(True))), bucket, [F.col(rank)], n, cap).drop("pick").orderBy(rank)
+        return yes
+    open_ones = rows.where(~F.col("__any") & F.coalesce(F.col(approved), F.lit(True))).select(*df.columns)
+    return yes.unionByName(capped_pick(open_ones, bucket, [F.col(rank)], n, cap).drop("pick")).orderBy(rank)
 
 
 def batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.operators.catalog import append_once
@@ -25,40 +28,120 @@ def _replace(spark, staged: str, path: str) -> None:
 
 
 def write_artifact(df: DataFrame, path: str) -> None:
-    """df as Parquet, complete or not at all: staged beside the path, then renamed."""
+    """df as Parquet, complete or not at all: staged beside the path, then renamed under the path's lock."""
     staged = f"{path}-new-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    _replace(df.sparkSession, staged, path)
+    with locked(df.sparkSession, path):
+        _replace(df.sparkSession, staged, path)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, patience: float = 60.0, stale: float = 3600.0) -> Iterator[None]:
+    """Holds the path's lock: a file that only one writer can create, on any of Hadoop's file systems that create atomically.
+
+    Waits while another holds it, then raises TimeoutError; a lock older than `stale` seconds is of a writer that died, and goes.
+    """
+    jvm = spark._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    end = time.monotonic() + patience
+    while True:
+        try:
+            fs.create(lock, False).close()
+            break
+        except Exception as e:
+            try:
+                old = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale
+            except Exception:
+                old = False  # it is gone by now
+            if old:
+                fs.delete(lock, False)
+            elif time.monotonic() > end:
+                raise TimeoutError(f"{path} is locked") from e
+            else:
+                time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def record(ledger_path: str, new: DataFrame, keys: list[str], position: str) -> None:
-    """Append the rows of new whose keys the ledger lacks; a second call adds nothing."""
+    """Append the rows of new whose keys the ledger lacks; a second call, at the same time or later, adds nothing."""
     spark = new.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    old = spark.read.schema(new.schema).json(ledger_path) if there else new.limit(0)
-    append_once(old, new, keys, position).write.mode("append").json(ledger_path)
+    with locked(spark, ledger_path):
+        old = spark.read.schema(new.schema).json(ledger_path) if _exists(spark, ledger_path) else new.limit(0)
+        append_once(old, new, keys, position).write.mode("append").json(ledger_path)
 
 
 def remove(ledger_path: str, schema: str, which: Column) -> int:
     """Delete the rows of a JSON ledger that `which` holds for; returns how many."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
-    rows = spark.read.schema(schema).json(ledger_path)
-    gone = rows.where(which).count()
-    if gone:
-        staged = f"{ledger_path}-new-{uuid.uuid4().hex}"
-        rows.where(~F.coalesce(which, F.lit(False))).write.json(staged)
-        _replace(spark, staged, ledger_path)
+    with locked(spark, ledger_path):
+        rows = spark.read.schema(schema).json(ledger_path)
+        gone = rows.where(which).count()
+        if gone:
+            staged = f"{ledger_path}-new-{uuid.uuid4().hex}"
+            rows.where(~F.coalesce(which, F.lit(False))).write.json(staged)
+            _replace(spark, staged, ledger_path)
     return gone
 
 
+#: The dispositions of a performance in the ledger.
+PLAYED, REJECTED = ("selected", "delivered"), "rejected"
+
+
+def forget(ledger_path: str, schema: str, key: str, value: str) -> int:
+    """Delete every row of a performance: it may be found again."""
+    return remove(ledger_path, schema, F.col(key) == value)
+
+
+def suppress(ledger_path: str, rows: DataFrame, keys: list[str], position: str, status: str = "status") -> None:
+    """Record performances as rejected: they aren't found again."""
+    record(ledger_path, rows.withColumn(status, F.lit(REJECTED)), [*keys, status], position)
+
+
+def unsuppress(ledger_path: str, schema: str, key: str, value: str, status: str = "status") -> int:
+    """Delete a performance's rejection; what was played stays."""
+    return remove(ledger_path, schema, (F.col(key) == value) & (F.col(status) == REJECTED))
+
+
 def rewrite_blocks(document: str, **blocks) -> str:
-    """A JSON document with exactly these keys replaced; all else, unknown keys too, stays as it is."""
-    doc = json.loads(document)
-    doc.update(blocks)
-    return json.dumps(doc, ensure_ascii=False, indent=2)
+    """A JSON object with exactly these keys replaced, and new ones added at its end; every other character stays as it is."""
+    read, blank = json.JSONDecoder(), " \t\r\n"
+
+    def past_blanks(at: int) -> int:
+        while document[at] in blank:
+            at += 1
+        return at
+
+    at = past_blanks(0)
+    if document[at] != "{":
+        raise ValueError("not a JSON object")
+    spans: dict[str, tuple[int, int]] = {}
+    last, indent = at + 1, ""
+    at = past_blanks(at + 1)
+    while document[at] != "}":
+        if not spans:
+            indent = document[last:at]
+        key, at = read.raw_decode(document, at)
+        at = past_blanks(past_blanks(at) + 1)
+        _, end = read.raw_decode(document, at)
+        spans[key] = (at, end)
+        last, at = end, past_blanks(end)
+        at = past_blanks(at + 1) if document[at] == "," else at
+    edits = [(*spans.get(k, (last, last)), k, json.dumps(v, ensure_ascii=False)) for k, v in blocks.items()]
+    new = [(k, v) for i, j, k, v in edits if k not in spans]
+    added = ",".join(f"{indent}{json.dumps(k, ensure_ascii=False)}: {v}" for k, v in new)
+    out = document[:last] + ("," if spans and added else "") + added + document[last:]
+    for i, j, k, v in sorted((e for e in edits if e[2] in spans), reverse=True):
+        out = out[:i] + v + out[j:]
+    return out
 
 
 def delivery(df: DataFrame, legs: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,8 @@
 
 The transport is a function (query, cursor) -> (rows, next cursor), named by its import
 path, so that readers on executors can load it. Each query is a partition. Pages are
-fetched with a pause between requests; failures that may pass are tried again with
+fetched with a pause between requests, as many times longer as partitions may run at
+once (option readers, all of them by default), so the service sees one rate; failures that may pass are tried again with
 doubling waits; refusals end the scan.
 """
 
@@ -13,8 +14,13 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stagewise.sources.scans import missing_from_cache
+
 
 class Refused(Exception):
     """The request itself is wrong: trying again won't help."""
@@ -44,6 +50,7 @@ class CatalogReader(DataSourceReader):
         self.queries = json.loads(options.get("queries", '[""]'))
         self.transport = options["transport"]
         self.pause, self.tries, self.wait = float(options.get("pause", 0.5)), int(options.get("tries", 5)), float(options.get("wait", 2))
+        self.pause *= max(1, min(len(self.queries), int(options.get("readers", len(self.queries)))))
 
     def partitions(self) -> list[InputPartition]:
         return [QueryPartition(q) for q in self.queries]
@@ -72,3 +79,42 @@ class CatalogSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return CatalogReader(self.options)
+
+
+def search(spark: SparkSession, transport: Callable, query: str, rows: int = 500, **options) -> DataFrame:
+    """(query, record) of the first page that a query finds, `rows` at most."""
+    found, _ = fetch(transport, query, None, **options)
+    return spark.createDataFrame([(query, json.dumps(x)) for x in found[:rows]], "query string, record string")
+
+
+def read_through(wanted: DataFrame, cache_path: str, key: str, transport: str, tries: int = 3, wait: float = 1.0, pause: float = 0.5, readers: int = 4) -> DataFrame:
+    """key, record of every wanted key: from the cache at the path, else fetched by transport(key), at most `readers` at once, and added to it.
+
+    Keys that are refused or go on failing are left out, and aren't cached: the next call asks again.
+    """
+    spark = wanted.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    schema = f"`{key}` string, record string"
+    cached = spark.read.schema(schema).parquet(cache_path) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], schema)
+    missing = missing_from_cache(wanted.select(F.col(key).cast("string").alias(key)), cached, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        module, _, name = transport.rpartition(".")
+        call = getattr(importlib.import_module(module), name)
+        for batch in batches:
+            got = []
+            for k in batch.column(0).to_pylist():
+                try:
+                    got.append((k, json.dumps(fetch(call, k, tries=tries, wait=wait, pause=pause * readers))))
+                except Exception:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in got], pa.string()) for n in (0, 1)], names=[key, "record"])
+
+    missing.where(F.col(key).isNotNull()).repartition(readers).mapInArrow(run, schema).write.mode("append").parquet(cache_path)
+    return spark.read.schema(schema).parquet(cache_path).join(wanted.select(F.col(key).cast("string").alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_semi")
+
+
+def verified(files: DataFrame, content: str, md5: str) -> tuple[DataFrame, DataFrame]:
+    """(files whose bytes have the md5 that is said of them, or of which none is said; the others)."""
+    bad = F.coalesce(F.md5(content) != F.lower(F.col(md5)), F.lit(False))
+    return files.where(~bad), files.where(bad)

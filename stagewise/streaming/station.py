@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,15 +35,14 @@ def poll(pending: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, d
         try:
             work(batch).write.mode("overwrite").parquet(f"{done}/batch={number}")
         except Exception:
-            good, bad = [], []
+            # each key by itself: its rows go out from the executors, only errors come to the driver
+            work(batch.limit(0)).write.mode("overwrite").parquet(f"{done}/batch={number}")
+            bad = []
             for row in batch.select(key).distinct().toLocalIterator():  # a batch is maxFilesPerTrigger files
-                part = batch.where(F.col(key).eqNullSafe(F.lit(row[0])))
                 try:
-                    good += work(part).collect()
+                    work(batch.where(F.col(key).eqNullSafe(F.lit(row[0])))).write.mode("append").parquet(f"{done}/batch={number}")
                 except Exception as e:
                     bad.append((str(row[0]), f"{type(e).__name__}: {e}"[:500]))
-            if good:
-                batch.sparkSession.createDataFrame(good, work(batch).schema).write.mode("overwrite").parquet(f"{done}/batch={number}")
             batch.sparkSession.createDataFrame(bad, "key string, error string").write.mode("overwrite").parquet(f"{failed}/batch={number}")
         finally:
             batch.unpersist()
@@ -54,7 +53,3 @@ def poll(pending: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, d
 def latest_by_key(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     """The latest value of each key, in a streaming aggregation whose state is one row a key (output mode complete or update)."""
     return rows.groupBy(key).agg(F.max(F.struct(*order, value)).alias("b")).select(key, F.col(f"b.{value}").alias(value))
-
-
-def states(rows: DataFrame, state: Column) -> DataFrame:
-    return rows.withColumn("state", state)

@@ -23,13 +23,13 @@ def test_texts(spark):
     assert one(spark, render.discovery_query(F.lit("q"), F.lit("1970"), null)) == "q\nEra: 1970 to any"
     assert one(spark, render.discovery_query(F.lit("q"), null, null)) == "q"
     assert one(spark, render.vetting_text(F.array(F.lit("a"), F.lit("b")), null, F.lit("c"))) == "Flags: a; b\nContext: c"
-    assert one(spark, render.escaped_metadata(F.lit("a=b;c#d\\e"))) == "a\\=b\;c\\#d\\\\e"
+    assert one(spark, render.escaped_metadata(F.lit("a=b;c#d\\e"))) == "a\\=b\\;c\\#d\\\\e"
     assert one(spark, render.artist_line(F.lit("x"), F.lit("X"), F.lit(3), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1500))) == "x | X | 3 recordings | ? | 1.5k downloads"
 
 
 def test_files(spark):
     df = spark.createDataFrame([("a", 1, "it's; one", 0, 1000), ("a", 2, "two", 1000, 1500)], "show string, i int, t string, s long, e long")
-    assert render.chapters(df, "show", "i", "t", "s", "e").first().text == ";FFMETADATA1\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=1000\ntitle=it's\; one\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=1000\nEND=1500\ntitle=two\n"
+    assert render.chapters(df, "show", "i", "t", "s", "e").first().text == ";FFMETADATA1\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=1000\ntitle=it's\\; one\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=1000\nEND=1500\ntitle=two\n"
     assert render.concat_list(df, "show", "i", "t").first().text == "file 'it'\\''s; one'\nfile 'two'\n"
     got = render.with_neighbours(df, "show", "i", "t").orderBy("i").collect()
     assert (got[0].previous_text, got[0].next_text, got[1].previous_text) == (None, "two", "it's; one")

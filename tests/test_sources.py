@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stagewise.operators import recovery, sinks, tasks
 from stagewise.sources import scans
-from stagewise.sources.remote import CatalogSource, Refused, fetch
+from stagewise.sources.remote import CatalogSource, Refused, fetch, read_through, search, verified
 from stagewise.streaming import station
 
 
@@ -59,6 +59,59 @@ def test_ledger_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "art")).count() == 1
 
 
+def test_ledger_dispositions_and_lock(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "ledger")
+    schema = "performance_id string, status string, run string, pos int"
+    new = spark.createDataFrame([("p1", "selected", "r1", 1), ("p2", "delivered", "r1", 2)], schema)
+    keys = ["performance_id", "status", "run"]
+    with ThreadPoolExecutor(4) as pool:  # writers at the same time add the rows once
+        list(pool.map(lambda _: sinks.record(path, new, keys, "pos"), range(4)))
+    rows = lambda: sorted((r.performance_id, r.status) for r in scans.ledger(spark, path).collect())
+    assert rows() == [("p1", "selected"), ("p2", "delivered")]
+    sinks.suppress(path, new.where("pos = 1"), keys[:1] + ["run"], "pos")
+    assert rows() == [("p1", "rejected"), ("p1", "selected"), ("p2", "delivered")]
+    assert sinks.unsuppress(path, schema, "performance_id", "p1") == 1 and sinks.forget(path, schema, "performance_id", "p2") == 1
+    assert rows() == [("p1", "selected")]
+    with sinks.locked(spark, path), pytest.raises(TimeoutError), sinks.locked(spark, path, patience=0.1):
+        pass
+    (tmp_path / "ledger.lock").write_text("")
+    os.utime(tmp_path / "ledger.lock", (0, 0))
+    with sinks.locked(spark, path, patience=1):  # its writer died long ago
+        pass
+
+
+def test_rewriting_keeps_all_else(spark):
+    doc = '{\n  "a": 1.50,\n  "dj" : {"v": [1, 2]} ,\n  "é": "\\u00e9"\n}\n'
+    assert sinks.rewrite_blocks(doc, dj=None) == doc.replace('{"v": [1, 2]}', "null")
+    assert sinks.rewrite_blocks(doc, new="x") == doc.replace('"\\u00e9"\n', '"\\u00e9",\n  "new": "x"\n')
+    assert json.loads(sinks.rewrite_blocks("{}", a=1, b=2)) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        sinks.rewrite_blocks("[1]", a=1)
+
+
+def fake_item(key):
+    if key == "bad":
+        raise Refused("no such item")
+    return {"id": key}
+
+
+def test_read_through(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",), ("bad",), (None,)], "id string")
+    for _ in range(2):
+        got = read_through(wanted, cache, "id", "tests.test_sources.fake_item", wait=0, pause=0)
+        assert sorted((r.id, json.loads(r.record)["id"]) for r in got.collect()) == [("a", "a"), ("b", "b")]
+    more = spark.createDataFrame([("c",)], "id string")
+    assert [r.id for r in read_through(more, cache, "id", "tests.test_sources.fake_item", wait=0, pause=0).collect()] == ["c"]
+    assert spark.read.parquet(cache).count() == 3
+    assert [json.loads(r.record)["n"] for r in search(spark, fake_pages, "q", rows=1).collect()] == [0]
+    files = spark.createDataFrame([("x", bytearray(b"abc"), "900150983CD24FB0D6963F7D28E17F72"), ("y", bytearray(b"abd"), "900150983cd24fb0d6963f7d28e17f72"), ("z", bytearray(b""), None)], "n string, content binary, md5 string")
+    good, bad = verified(files, "content", "md5")
+    assert sorted(r.n for r in good.collect()) == ["x", "z"] and [r.n for r in bad.collect()] == ["y"]
+
+
 def test_playlists(spark, tmp_path):
     (tmp_path / "a.m3u").write_text("﻿#EXTM3U\n#EXTINF:12,One\n\na.mp3\nb.mp3\n#EXTINF:3,Web\nhttp://x/y.mp3\n")
     (tmp_path / "b.m3u").write_text("#EXTM3U\n")
