@@ -40,55 +40,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import Union, bitmap_of, checkpointed, components, marked, parts_for, ship
+from stagewise.llm.common import Union, bitmap_of, byte_slices, checkpointed, components, marked, parts_for, ship
+from stagewise.llm.words import FACTORS, U64, hashed_words, mixed, odd_numbers
 
 COORDINATES = 64
-U64 = np.uint64
+SIGN_A, SIGN_B = odd_numbers(b"sign a", COORDINATES), odd_numbers(b"sign b", COORDINATES)
 
 
-class WordHashes(dict):
-    """Hashes of words seen by this worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = WordHashes()
-
-
-def _mix(x: np.ndarray, k: int) -> np.ndarray:
-    x = (x ^ (x >> U64(33))) * U64(k)
-    return x ^ (x >> U64(29))
-
-
-def _odd(seed: bytes, n: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(seed + str(i).encode()) | 1 for i in range(n)], U64)
-
-
-FACTORS = _odd(b"shingle", 64)
-SIGN_A, SIGN_B = _odd(b"sign a", COORDINATES), _odd(b"sign b", COORDINATES)
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; A-Z lower-cased; bytes.split() knows just the six separators."""
-    words = text.encode().lower().split()
-    if not words:
+def shingle_set(h: np.ndarray, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of hashed words."""
+    k = min(shingle, len(h))
+    if not k:
         return np.empty(0, U64)
-    if len(words) < shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], U64)
-    h = np.fromiter(map(_words.__getitem__, words), U64, len(words))
-    n = len(words) - shingle + 1
-    total = np.zeros(n, U64)
-    for k in range(shingle):
-        total += h[k : k + n] * FACTORS[k]
-    return np.unique(_mix(total, 0xC2B2AE3D27D4EB4F))
+    n = len(h) - k + 1
+    total = np.full(n, k * int(FACTORS[40]) % 2**64, U64)
+    for j in range(k):
+        total += h[j : j + n] * FACTORS[j]
+    return np.unique(mixed(total, 0xC2B2AE3D27D4EB4F))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -100,7 +71,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def set_key(s: np.ndarray, factor: int = 0x9FB21C651E98DF25) -> int:
     """A hash of the set."""
-    return int(_mix(s, factor).sum(dtype=U64).astype(np.int64))
+    return int(mixed(s, factor).sum(dtype=U64).astype(np.int64))
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -113,10 +84,10 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     names = ["id", "t", "n", "k1", "k2", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             n, k1, k2, sig = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text or "", shingle)
+            for h in hashed_words(batch.column(2), lower=True):
+                s = shingle_set(h, shingle)
                 n.append(len(s))
                 k1.append(set_key(s))
                 k2.append(set_key(s, 0xD6E8FEB86659FD93))
@@ -165,8 +136,8 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def children(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
     """(node, rep) of the children of rows (node, rep, sig); trees: start that many trees from rows (rep, sig) instead."""
     odds = int(2**64 / (threshold * COORDINATES))
-    salts = _odd(b"select", COORDINATES)
-    start = _odd(b"tree", trees) if trees else None
+    salts = odd_numbers(b"select", COORDINATES)
+    start = odd_numbers(b"tree", trees) if trees else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +152,10 @@ def children(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
                 node = np.array(batch.column("node").to_pylist(), np.int64).astype(U64)
             for k in range(0, len(node), 20_000):
                 now = node[k : k + 20_000]
-                chosen = _mix(_mix(now[:, None] + salts[None, :], 0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F) < U64(odds)
+                chosen = mixed(mixed(now[:, None] + salts[None, :], 0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F) < U64(odds)
                 row, coordinate = np.nonzero(chosen)
                 of = at[k : k + 20_000][row]
-                child = _mix(_mix(now[row] + salts[coordinate], 0xD6E8FEB86659FD93) + values[of, coordinate].astype(U64) * FACTORS[9], 0xC2B2AE3D27D4EB4F)
+                child = mixed(mixed(now[row] + salts[coordinate], 0xD6E8FEB86659FD93) + values[of, coordinate].astype(U64) * FACTORS[9], 0xC2B2AE3D27D4EB4F)
                 yield _batch(["node", "rep"], pa.array(child.astype(np.int64)), pa.array(rep[of]))
 
     return rows.mapInArrow(run, "node long, rep long")
@@ -299,16 +270,16 @@ def confirmed(rows: DataFrame, shingle: int, percent: int, recall: float) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
+        for batch in byte_slices(batches, 5):
             out: list[tuple[int, int]] = []
-            for grp, block, pack, rep, k1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, block, pack, rep, k1, h in zip(*(c.to_pylist() for c in batch.columns[:5]), hashed_words(batch.column(5), lower=True), strict=True):
                 if (grp, block) != now:
                     if len(held) > 1:
                         out += links(*zip(*held, strict=True))
                     now, held = (grp, block), []
                 if held and held[-1][:2] == (rep, pack):  # rows that repeat an id and a set count once
                     continue
-                s = shingle_set(text or "", shingle)
+                s = shingle_set(h, shingle)
                 if set_key(s) == k1:
                     held.append((rep, pack, s))
             a, b = zip(*out, strict=True) if out else ((), ())

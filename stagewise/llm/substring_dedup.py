@@ -50,7 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import bitmap_of, byte_slices, checkpointed, marked, parts_for, ship, text_of
-from stagewise.llm.near_dedup import FACTORS, U64, _batch, _groups, _mix, _with_last
+from stagewise.llm.near_dedup import _batch, _groups, _with_last
+from stagewise.llm.words import FACTORS, U64, hashed_words, mixed
 
 BASE = U64(0x9E3779B97F4A7C15)
 UNBASE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -116,50 +117,12 @@ class SuffixAutomaton:
             yield n
 
 
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-
-
-def hashed_words(texts: pa.Array) -> list[np.ndarray]:
-    """The hashes of each text's words, from the bytes of all texts at once; a null has none.
-
-    A word's hash takes in its bytes one by one; words of a length or more take the same step together.
-    """
-    texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
-    size = int(at[-1] - at[0])
-    data = np.frombuffer(data, np.uint8, size, int(at[0])) if size else np.empty(0, np.uint8)
-    at -= at[0]
-    solid = ~SPACE[data]
-    # a word begins behind a space or at a text's start, and ends likewise
-    starts, ends = solid.copy(), solid.copy()
-    starts[1:] &= ~solid[:-1]
-    ends[:-1] &= ~solid[1:]
-    inner = at[(at > 0) & (at < size)]
-    starts[inner] = solid[inner]
-    ends[inner - 1] = solid[inner - 1]
-    first = np.flatnonzero(starts)
-    length = np.flatnonzero(ends) + 1 - first
-    counts = np.diff(np.searchsorted(first, at))
-    order = np.argsort(-np.minimum(length, 60_000).astype(np.int32), kind="stable")
-    if len(length) and length[order[0]] >= 60_000:
-        order = np.argsort(-length, kind="stable")
-    place, left = first[order], length[order]
-    live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0) - 0.5)
-    h = np.full(len(order), 0xCBF29CE484222325, U64)
-    for k, n in enumerate(live.tolist()):
-        h[:n] = (h[:n] ^ data[place[:n] + k]) * U64(0x100000001B3)
-    out = np.empty(len(h), U64)
-    out[order] = _mix(h + left.astype(U64) * FACTORS[12], 0x9FB21C651E98DF25)
-    return np.split(out, np.cumsum(counts)[:-1]) if len(counts) else []
-
-
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     total = np.zeros(n, U64)
     for j in range(k):
         total += h[j : j + n] * FACTORS[j]
-    return _mix(total, 0xC2B2AE3D27D4EB4F)
+    return mixed(total, 0xC2B2AE3D27D4EB4F)
 
 
 def fragments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +139,7 @@ def fragments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nda
     body = (sums[start + count + window - 1] - sums[start]) * np.multiply.accumulate(back)[start]
     before = at[start] - start
     place = (count * 256 + before).astype(U64)
-    return g[at[start]], _mix(body + place * FACTORS[11], 0x9FB21C651E98DF25), start, count, before
+    return g[at[start]], mixed(body + place * FACTORS[11], 0x9FB21C651E98DF25), start, count, before
 
 
 def _signed(x: np.ndarray) -> pa.Array:
