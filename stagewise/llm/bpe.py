@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from stagewise.llm import presplit
 from stagewise.llm.common import byte_slices, ship, text_of
 
-#: Parts of a generation that a worker remembers (two generations: about 60 MB), and cells of the table of transitions (9 MB).
-PARTS, CELLS = 150_000, 1 << 20
+#: Parts of a generation that a worker remembers (two generations: about 40 MB), and cells of the table of transitions (9 MB).
+PARTS, CELLS = 60_000, 1 << 20
 NEVER = 1 << 40
 
 

@@ -88,7 +88,7 @@ def marked(rows: DataFrame, hashed: Column, bitmap: DataFrame, flag: str, parts:
     return rows.withColumn(flag, F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1") == 1, F.lit(False))).drop("__bit", "__part", "__bitmap", "__byte")
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 2 << 20, most_rows: int = 500) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 20, most_rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column `text` of one has most_bytes at most (or is one row)."""
     for batch in batches:
         k = 0
