@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -37,17 +38,21 @@ def write_artifact(df: DataFrame, path: str) -> None:
 
 @contextmanager
 def locked(spark: SparkSession, path: str, patience: float = 60.0, stale: float = 3600.0) -> Iterator[None]:
-    """Holds the path's lock: a file that only one writer can create, on any of Hadoop's file systems that create atomically.
+    """Holds the path's lock: a file that only one writer can create, on HDFS, any other of Hadoop's file systems that create atomically, or one machine's disk.
 
     Waits while another holds it, then raises TimeoutError; a lock older than `stale` seconds is of a writer that died, and goes.
     """
     jvm = spark._jvm
     lock = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
     fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(lock.getParent())
     end = time.monotonic() + patience
     while True:
         try:
-            fs.create(lock, False).close()
+            if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+                os.close(os.open(lock.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            else:
+                fs.create(lock, False).close()
             break
         except Exception as e:
             try:

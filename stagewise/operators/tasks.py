@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,31 +57,67 @@ def sections(*names: str) -> Callable[[str], None]:
     return check
 
 
-def ladder(tiers: dict[str, str], model: str | None = None, tier: str | None = None, default: str = "medium", order: tuple[str, ...] = ("low", "medium", "high")) -> list[str]:
-    """Models for the attempts: a named model never changes; a tier's last attempt goes one tier up."""
-    if model:
-        return [model]
+#: Tiers, the lower first; waits in seconds before a call that broke off is repeated.
+TIERS = ("low", "medium", "high")
+WAITS = (2.0, 8.0)
+
+
+def ladder(tiers: dict[str, str], model: str | None = None, tier: str | None = None, default: str = "medium", attempts: int = 3) -> list[str]:
+    """Models for the attempts: a named model never changes; a tier's last attempt goes one tier up, if there is a model for that."""
     at = tier or default
-    up = order[min(order.index(at) + 1, len(order) - 1)]
-    return [tiers[at], tiers[at], tiers[up]]
+    base = model or tiers[at]
+    up = TIERS[min(TIERS.index(at) + 1, len(TIERS) - 1)]
+    last = base if model or attempts < 2 else tiers.get(up, base)
+    return [base] * (max(attempts, 1) - 1) + [last]
+
+
+class Broken(Exception):
+    """A call broke off on the way: the same prompt may be sent again."""
+
+
+def sent(provider: Callable[[str], str], prompt: str, waits: Sequence[float] = WAITS) -> str:
+    """The provider's raw answer; a call that broke off is repeated, unchanged, after each of the waits."""
+    for wait in waits:
+        try:
+            return provider(prompt)
+        except Broken:
+            time.sleep(wait)
+    return provider(prompt)
+
+
+class Queue:
+    """A provider that gives prepared answers in turn and keeps the prompts; an exception among them is raised."""
+
+    def __init__(self, *answers: str | Exception) -> None:
+        self.answers, self.prompts = list(answers), []
+
+    def __call__(self, prompt: str) -> str:
+        self.prompts.append(prompt)
+        if not self.answers:
+            raise LookupError("no answer is left")
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
 
 
-def ask(provider: Callable[[str], str], prompt: str, check: Callable, parse: Callable = extract_json, tries: int = 3):
-    """The first valid answer; each further try tells what was wrong with the last."""
+def ask(provider: Callable[[str], str] | Sequence[Callable[[str], str]], prompt: str, check: Callable, parse: Callable = extract_json, tries: int = 3, waits: Sequence[float] = WAITS):
+    """The first valid answer; each further try tells what was wrong with the last. Providers in a list take one try each."""
+    rungs = list(provider) if isinstance(provider, (list, tuple)) else [provider] * tries
     said = prompt
-    for k in range(tries):
-        raw = provider(said)
+    for k, rung in enumerate(rungs):
+        raw = sent(rung, said, waits)
         try:
             answer = parse(raw)
             check(answer)
             return answer
         except ValueError as e:
-            if k + 1 == tries:
+            if k + 1 == len(rungs):
                 raise
             said = f"{prompt}\n\nThe last answer was not valid: {e}"
 
 
-def run_task(df: DataFrame, key: str, template: str, inputs: list[str], provider: Callable[[str], str], fields: dict[str, type], tries: int = 3) -> DataFrame:
+def run_task(df: DataFrame, key: str, template: str, inputs: list[str], provider: Callable[[str], str] | Sequence[Callable[[str], str]], fields: dict[str, type], tries: int = 3) -> DataFrame:
     """key, answer (JSON) and error of one task a row; a row that fails has no answer and says why."""
     ship(df.sparkSession)
 

@@ -85,3 +85,21 @@ def pick_setlist(found: DataFrame, show: str, venue: str, city: str, result_venu
     tier = F.when(meets(venue, result_venue), 1).when((flat(venue) == "") & (n == 1), 2).when(meets(city, result_city), 3)
     ranked = found.withColumn("__t", tier).where("__t is not null").withColumn("__n", F.row_number().over(Window.partitionBy(show).orderBy("__t", position)))
     return ranked.where("__n = 1").drop("__t", "__n")
+
+
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """run, updated_at, state and body of the sessions under path/*/session.json, the newest first: incomplete if the file is no JSON or names no state."""
+    raw = spark.read.text(f"{path}/*/session.json", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/session\.json$", 1).alias("run"), F.col("_metadata.file_modification_time").alias("updated_at"), "value")
+    body = F.from_json("value", "state string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = raw.withColumn("b", body)
+    state = F.when(F.col("b._corrupt").isNotNull() | F.col("b.state").isNull(), "incomplete").otherwise(F.col("b.state"))
+    return rows.select("run", "updated_at", state.alias("state"), F.col("value").alias("body")).orderBy(F.col("updated_at").desc(), "run")
+
+
+def shelves(spark: SparkSession, path: str) -> DataFrame:
+    """slug, artist, date and what there is of each show under path/*/: artist and date from show.json, else from its provenance."""
+    at = lambda name, schema: spark.read.text(f"{path}/*/*.json", wholetext=True).where(F.col("_metadata.file_path").endswith(f"/{name}.json")).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("slug"), F.from_json("value", schema).alias(name))
+    there = spark.read.text(f"{path}/*/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("slug"), F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("part"))
+    parts = there.groupBy("slug").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    rows = parts.join(at("show", "artist string, date string"), "slug", "left").join(at("provenance", "run string, candidate struct<collection:string,date:string>"), "slug", "left")
+    return rows.select("slug", F.coalesce("show.artist", "provenance.candidate.collection").alias("artist"), F.coalesce("show.date", "provenance.candidate.date").alias("date"), F.col("provenance.run").alias("run"), "parts")

@@ -181,7 +181,15 @@ def test_tasks(spark):
     assert tasks.ask(provider, "p", tasks.required({"a": int})) == {"a": 2}
     assert "not valid" in seen[1]
     assert tasks.ladder({"low": "l", "medium": "m", "high": "h"}) == ["m", "m", "h"]
-    assert tasks.ladder({}, model="x") == ["x"]
+    assert tasks.ladder({}, model="x") == ["x"] * 3 and tasks.ladder({"high": "h"}, tier="high", attempts=2) == ["h", "h"]
+    assert tasks.ladder({"low": "l"}, tier="low") == ["l"] * 3 and tasks.ladder({"low": "l", "medium": "m"}, tier="low", attempts=1) == ["l"]
+    small, large = tasks.Queue(tasks.Broken("cut off"), "nothing"), tasks.Queue('```json\n{"a": 3}\n```')
+    assert tasks.ask([small, large], "p", tasks.required({"a": int}), waits=(0,)) == {"a": 3}
+    assert small.prompts == ["p", "p"] and "not valid" in large.prompts[0]
+    with pytest.raises(tasks.Broken):
+        tasks.ask(tasks.Queue(tasks.Broken("1"), tasks.Broken("2")), "p", tasks.required({}), waits=(0,))
+    with pytest.raises(LookupError):
+        tasks.Queue()("p")
     df = spark.createDataFrame([(1, "x"), (2, "bad")], "k int, t string")
     got = tasks.run_task(df, "k", "say {{t}}", ["t"], lambda p: "?" if "bad" in p else '{"a": 1}', {"a": int}).orderBy("k").collect()
     assert got[0].answer == '{"a": 1}' and got[1].answer is None and "ValueError" in got[1].error
@@ -192,3 +200,17 @@ def test_recovery_with_banner(spark):
     got = {r.k: r for r in recovery.parse_setlists(df, "k", "d", "a", ["v"], "t").collect()}
     assert [x.title for x in got["s"]["items"]] == ["A1", "B2", "C3", "D4", "F5"]
     assert got["n"]["items"] == [] and got["n"].confidence == "low"
+
+
+def test_sessions_and_shelves(spark, tmp_path):
+    for run, body, when in (("r1", '{"state": "picked"}', 100), ("r2", "{broken", 300), ("r3", "{}", 200)):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        f = tmp_path / "runs" / run / "session.json"
+        f.write_text(body)
+        os.utime(f, (when, when))
+    assert [(r.run, r.state) for r in scans.sessions(spark, str(tmp_path / "runs")).collect()] == [("r2", "incomplete"), ("r3", "incomplete"), ("r1", "picked")]
+    for slug, name, body in (("a", "show", '{"artist": "A", "date": "1977-05-08"}'), ("a", "provenance", '{"run": "r1", "candidate": {"collection": "c", "date": "x"}}'), ("b", "provenance", '{"run": "r2", "candidate": {"collection": "c", "date": "1970-01-01"}}'), ("c", "reviews", "[]")):
+        (tmp_path / "shows" / slug).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "shows" / slug / f"{name}.json").write_text(body)
+    got = sorted((r.slug, r.artist, r.date, r.run, r.parts) for r in scans.shelves(spark, str(tmp_path / "shows")).collect())
+    assert got == [("a", "A", "1977-05-08", "r1", ["provenance", "show"]), ("b", "c", "1970-01-01", "r2", ["provenance"]), ("c", None, None, None, ["reviews"])]
