@@ -106,3 +106,14 @@ def speech_key(*columns: Column) -> Column:
 def bitrate(rate: Column) -> Column:
     """kbit/s for mono speech at a sample rate."""
     return F.when(rate <= 24_000, 64).when(rate <= 32_000, 96).otherwise(128)
+
+
+def wrapped(text: Column, width: int = 90, most: int | None = 3) -> Column:
+    """Lines of at most `width` characters of the text with its blanks squeezed, broken at blanks (a longer word is cut); beyond `most` lines the last one ends in an ellipsis."""
+    said = F.trim(F.regexp_replace(text, r"\s+", " "))
+    lines = F.regexp_extract_all(said, F.lit(rf"(\S.{{0,{width - 1}}}(?=\s|$)|\S{{{width}}})\s*"), F.lit(1))
+    lines = F.transform(lines, lambda x: F.rtrim(x))
+    if most is None:
+        return lines
+    cut = F.slice(lines, 1, most)
+    return F.when(F.size(lines) > most, F.concat(F.slice(cut, 1, most - 1), F.array(F.concat(F.element_at(cut, most), F.lit(" …"))))).otherwise(lines)

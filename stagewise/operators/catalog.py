@@ -118,3 +118,8 @@ def recent_or_open(df: DataFrame, keys: Sequence[str], state: str, at: Sequence[
     """All open rows, and the n latest closed ones of each key."""
     place = F.row_number().over(Window.partitionBy(*keys, state).orderBy(*at))
     return df.withColumn("__n", place).where((F.col(state) != closed) | (F.col("__n") <= n)).drop("__n")
+
+
+def in_inventory(answers: DataFrame, inventory: DataFrame, *keys: str) -> DataFrame:
+    """Answers of a model that name what there is."""
+    return answers.join(inventory.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), [F.col(k) == F.col(f"__{k}") for k in keys], "left_semi")

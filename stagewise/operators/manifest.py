@@ -58,3 +58,11 @@ def review_digest(reviews: DataFrame, key: str, position: str, body: str, limit:
     rows = reviews.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(position))).where(F.col("__n") <= limit)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("__n", F.substring(F.col(body), 1, width).alias("b")))), lambda x: x["b"])
     return rows.groupBy(key).agg(F.array_join(lines, "\n\n").alias("digest"))
+
+
+def review_prompts(reviews: DataFrame, key: str, position: str, body: str, size: int = 10, width: int = 1500) -> DataFrame:
+    """key, batch (from 0) and text: the reviews' bodies, `size` in a batch, cut to the width that a prompt has room for, joined by blank lines."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1
+    rows = reviews.select(key, F.floor(n / size).cast("long").alias("batch"), n.alias("__n"), F.substring(F.coalesce(body, F.lit("")), 1, width).alias("__b"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("__n", "__b"))), lambda x: x["__b"])
+    return rows.groupBy(key, "batch").agg(F.array_join(texts, "\n\n").alias("text"))

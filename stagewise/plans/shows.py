@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
 from stagewise.functions.titles import ALIASES, SHORTHAND
-from stagewise.operators import catalog, files, guards, recovery, structure
+from stagewise.operators import catalog, files, guards, manifest, recovery, structure
 from stagewise.operators import library as shelf
 from stagewise.plans import gather as gathering
 from stagewise.plans.registry import literal, query, t, values
@@ -538,3 +538,13 @@ def venue_enrichment(spark, d):
 @query("SELECT o_custkey, CAST(max(epoch_us(o_orderdate)) AS BIGINT) AS latest_us FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def retained_max(spark, d):
     return t(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max(F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("latest_us"))
+
+
+@query("SELECT conv_id, batch, string_agg(b, chr(10) || chr(10) ORDER BY n) AS text FROM (SELECT conv_id, n, n // 10 AS batch, substr(coalesce(text, ''), 1, 1500) AS b FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)) GROUP BY 1, 2")
+def review_prompts(spark, d):
+    return manifest.review_prompts(t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def inventory_semi_join(spark, d):
+    return catalog.in_inventory(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")

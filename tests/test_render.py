@@ -40,3 +40,16 @@ def test_sentences():
     assert render.sentences("They played at St. Louis Arena that whole year. It was the best of all.") == ["They played at St. Louis Arena that whole year.", "It was the best of all."]
     assert render.sentences("The great old singer was J. Garcia of course, friends.") == ["The great old singer was J. Garcia of course, friends."]
     assert render.sentences(" ") == [""]
+
+
+def test_wrapping(spark):
+    import random
+    import textwrap
+
+    rnd = random.Random(8)
+    texts = [" ".join("x" * rnd.randint(1, 14) for _ in range(rnd.randint(0, 40))) for _ in range(60)] + ["", "  a \n b  ", "y" * 45]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    for r in df.select("k", render.wrapped(F.col("x"), 20, None).alias("all"), render.wrapped(F.col("x"), 20).alias("some")).collect():
+        want = textwrap.wrap(" ".join(texts[r.k].split()), width=20)
+        assert r["all"] == want, texts[r.k]
+        assert r["some"] == (want if len(want) <= 3 else [*want[:2], want[2] + " …"])
