@@ -548,3 +548,32 @@ def review_prompts(spark, d):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def inventory_semi_join(spark, d):
     return catalog.in_inventory(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+DATES = [
+    ("1977-5-8", "1977-05-08"),
+    ("5/8/77", "1977-05-08"),
+    ("5/8/1977", "1977-05-08"),
+    ("5/8/29", "2029-05-08"),
+    ("5/8/30", "1930-05-08"),
+    ("Sunday, May 8th, 1977", "1977-05-08"),
+    ("Sun. May 8 '77", "1977-05-08"),
+    ("8 May 1977", "1977-05-08"),
+    ("the 8th of May", None),
+    ("8th Sept 77", "1977-09-08"),
+    ("December 2", "--12-02"),
+    ("2nd Dec.", "--12-02"),
+    ("12/2", "--12-02"),
+    ("Thurs Jan 1 1970", "1970-01-01"),
+    ("Ma 3 1970", None),
+    ("Mayhem 3 1970", None),
+    ("1977", None),
+    ("", None),
+    (None, None),
+]
+
+
+@query(f"SELECT event_id, said, expected AS date FROM events JOIN {values('i, said, expected', [(k, *r) for k, r in enumerate(DATES)])} ON i = event_id % {len(DATES)}")
+def date_spellings(spark, d):
+    e = t(spark, d, "events").withColumn("i", (F.col("event_id") % len(DATES)).cast("int")).join(dealt(spark, DATES, "said string, expected string"), "i")
+    return e.select("event_id", "said", X.normalize_date("said").alias("date"))
