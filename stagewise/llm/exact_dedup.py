@@ -6,8 +6,8 @@ narrow the rows, each paid for only by what the last one left:
 1. rows are counted by (length, hash of a prefix) with map-side combining, so a
    group of any size is one row a task; lengths and then prefixes with a single
    row leave;
-2. the keys that survive set bits in a bitmap of fixed size (2 MB whatever the
-   input), which is broadcast. A row whose bit is clear is unique: it is kept
+2. the keys that survive set bits in a bitmap of bounded size (2 to 32 MB, by
+   their number), which is broadcast. A row whose bit is clear is unique: it is kept
    at once, without a full hash and without a shuffle. A bit set by another key
    only costs a needless hash;
 3. the other rows are hashed in full and grouped by that hash; the winner of
@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import bitmap_of, marked, text_of, with_result, without_white
+from stagewise.llm.common import bitmap_of, checkpointed, marked, parts_for, text_of, with_result, without_white
 
 RESULTS = ("keep_id", "group_size", "kept")
 
@@ -64,12 +64,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def decided(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], prefix: int, before: str = "") -> tuple[DataFrame, DataFrame]:
     """Columns keep and results, named with `before`, of rows whose text surely is the only one, and of others; these with __full and __chars."""
     key = F.xxhash64("__nlen", "__ph")
-    bitmap = bitmap_of(surviving_keys(docs, text_col, prefix).select(F.col("nlen").alias("__nlen"), F.col("ph").alias("__ph")), key)
+    surviving = checkpointed(surviving_keys(docs, text_col, prefix).select(F.col("nlen").alias("__nlen"), F.col("ph").alias("__ph")))
+    parts = parts_for(surviving.count())
+    bitmap = bitmap_of(surviving, key, parts)
 
     norm = without_white(text_of(text_col))
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in keep], F.col(id_col).alias("__id"), F.length(text_of(text_col)).alias("__chars"), norm.alias("__norm"))
     rows = rows.withColumns({"__nlen": F.length("__norm"), "__ph": F.xxhash64(F.substring("__norm", 1, prefix))})
-    rows = marked(rows, key, bitmap, "__shared")
+    rows = marked(rows, key, bitmap, "__shared", parts)
     out = [F.col(f"c_{c}").alias(c) for c in keep]
 
     alone = rows.where(~F.col("__shared")).select(*out, F.col("__id").alias(f"{before}keep_id"), F.lit(1).cast("long").alias(f"{before}group_size"), F.lit(True).alias(f"{before}kept"))
