@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from stagewise.llm.common import WORD, checkpointed, let, text_of
 
-#: Documents of a bucket, about; buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Documents of a bucket, about; buckets at most; buckets up to which their first rows are broadcast (with their texts); beyond, they are joined.
+BUCKET_ROWS, MOST_BUCKETS, BROADCAST_BUCKETS = 1000, 65_536, 2048
 
 
 def fingerprint(text: Column, bins: int = 128, bits: int = 8, shingle: int = 5) -> Column:
@@ -72,7 +72,7 @@ def followed(docs: DataFrame, id_col: str, text_col: str, results: dict[str, Col
     """id, text, the results, and next_text and next_<result> of the next row in descending order of id (after the last: the first).
 
     Rows meet in buckets, which are ranges of ids between quantiles, and only the last of a bucket needs
-    another bucket's first row; those are one row a bucket, MOST_BUCKETS at most. Null ids come last, rows repeating an id in order of text.
+    another bucket's first row; those are one row a bucket, and are broadcast or joined by bucket. Null ids come last, rows repeating an id in order of text.
     """
     results = results or {}
     n = docs.count()
@@ -81,11 +81,10 @@ def followed(docs: DataFrame, id_col: str, text_col: str, results: dict[str, Col
     ids = F.col(id_col)
     # two steps of about sqrt(parts) comparisons
     step = max(1, int(len(bounds) ** 0.5))
-    runs = [bounds[k : k + step] for k in range(0, len(bounds), step)] or [[]]
-    coarse = F.array(*[F.lit(float(r[-1])) for r in runs[:-1]]).cast("array<double>")
-    fine = F.array(*[F.array(*[F.lit(float(x)) for x in r]).cast("array<double>") for r in runs])
+    numbers = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>") if xs else F.array().cast("array<double>")  # noqa: E731  a constant
     below = lambda xs: F.size(F.filter(xs, lambda x: x < ids))
-    bucket = F.when(ids.isNull(), F.lit(-1)).otherwise(let(below(coarse), lambda c: c * step + below(F.get(fine, c))))
+    fine = lambda c: below(F.slice(numbers(bounds), (c * step + 1).cast("int"), F.lit(step)))
+    bucket = F.when(ids.isNull(), F.lit(-1)).otherwise(let(below(numbers(bounds[step - 1 :: step])), lambda c: c * step + fine(c)))
     rows = docs.select(ids.alias("__id"), text_of(text_col).alias("text"), bucket.alias("__bucket"))
 
     order = F.struct(F.col("__id").isNull(), -F.col("__id"), F.col("text"))
@@ -100,7 +99,7 @@ def followed(docs: DataFrame, id_col: str, text_col: str, results: dict[str, Col
     by = Window.partitionBy("__bucket").orderBy(F.col("__id").desc_nulls_last(), F.col("text"))
     rows = rows.select("*", *[c.alias(k) for k, c in results.items()])
     rows = rows.withColumns({f"__next_{k}": F.lead(k).over(by) for k in kept})
-    rows = rows.join(F.broadcast(firsts), F.col("__bucket") == F.col("__b"), "left")
+    rows = rows.join(F.broadcast(firsts) if parts <= BROADCAST_BUCKETS else firsts, F.col("__bucket") == F.col("__b"), "left")
     return rows.select(F.col("__id").alias(id_col), *kept, *[F.coalesce(f"__next_{k}", f"__first_{k}").alias(f"next_{k}") for k in kept])
 
 

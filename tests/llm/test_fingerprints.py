@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stagewise.llm.fingerprints import edit_fingerprints, fingerprint, followed, likeness
@@ -56,10 +57,12 @@ def test_edited_texts(spark):
     assert one[0].near_next == 1.0
 
 
-def test_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [2048, 0])
+def test_buckets(spark, monkeypatch, broadcast):
     from stagewise.llm import fingerprints
 
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "BROADCAST_BUCKETS", broadcast)
     ids = [None, 3, 3, -9, *range(100, 160)]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "id long, text string")
     got = {r.text: r.next_text for r in followed(df, "id", "text").collect()}
