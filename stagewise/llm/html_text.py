@@ -19,7 +19,7 @@ references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by line feeds; nothing else is dropped or cut.
 
 Defined results: null or empty html, or html without text, gives an empty text;
-a null or odd url makes the page its own host ''; repeated rows get equal
+a page whose url is null or has no host keeps its own choice; repeated rows get equal
 texts; ties between paths go to the more frequent, then the lesser path; an
 empty table gives no rows; input columns named like results are replaced.
 """
@@ -216,7 +216,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             cols = list(zip(*[(h, p, v, n) for (h, p), (v, n) in out.items()], strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), pa.float64(), pa.int64()], strict=True)], names=["host", "path", "vote", "n"])
 
-    votes = pages.select(host(url_col).alias("host"), html_col).mapInArrow(run, "host string, path string, vote double, n long")
+    votes = pages.select(host(url_col).alias("host"), html_col).where("host <> ''").mapInArrow(run, "host string, path string, vote double, n long")
     votes = votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 4).alias("vote"), F.sum("n").alias("n"))
     best = votes.groupBy("host").agg(F.min(F.struct(-F.col("vote"), -F.col("n"), F.col("path").alias("path"))).alias("best"))
     return best.select("host", F.col("best.path").alias("path"))

@@ -49,3 +49,17 @@ def test_every_container_votes(spark):
     rows = [(i, "http://h.example/", "<html><body>" + "".join(block(f"{c}x{'abcdef'[i]}", 90 - k) for k, c in enumerate("pqr")) + block("story", 80) + "</body></html>") for i in range(6)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join(["word"] * 80) for i in range(6)}
+
+
+def test_joined_hosts_and_odd_cases(spark, monkeypatch):
+    from stagewise.llm import html_text
+
+    body = lambda a, b: f'<html><body><div class="a">{a}</div><div class="b">{b}</div></body></html>'
+    word = lambda n: "<p>" + "word " * n + "</p>"
+    rows = [(1, "http://t.example/", body(word(30), "")), (2, "http://t.example/", body("", word(30))), (2, "http://t.example/", body("", word(30))), (3, None, body(word(3), word(30))), (4, "mailto:x", body(word(30), word(3))), (5, "http://t.example/", "")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "page_id long, url string, html string, n_chars int, path string")
+    got = sorted((r.page_id, r.text) for r in extract(df).collect())
+    # both paths of the host are as frequent as their pages; pages without a host choose by themselves
+    assert got == [(i, " ".join(["word"] * 30) if i < 5 else "") for i in (1, 2, 2, 3, 4, 5)]
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert sorted((r.page_id, r.text) for r in extract(df).collect()) == got
