@@ -6,8 +6,9 @@ labels every line good (1) or bad (0) with weights for neighbouring labels;
 forward and backward sums give each line's probability of good, and their mean,
 weighted by line length, is the document's score.
 
-The field is fitted on at most `sample` labelled documents (a documented bound:
-those with the least hash of their id), whose lines all carry the document's
+The field is fitted on at most `sample` labelled documents with at most `lines`
+lines in all (documented bounds: those with the least hash of their id, as long
+as their lines fit), whose lines all carry the document's
 label. Only line features of the sample reach the driver. Scoring runs over
 batches of whole documents; every step works on all lines of a batch at once.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import ship, with_result
@@ -171,12 +172,15 @@ def held_out(id_col: str, folds: int = 5):
     return F.crc32(F.col(id_col).cast("string")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000):
-    """The model, from at most `sample` labelled documents outside the held-out fold; a float if there is nothing to tell apart."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, lines: int = 500_000):
+    """The model, from at most `sample` labelled documents outside the held-out fold, `lines` lines in all; a float if there is nothing to tell apart."""
     ship(docs.sparkSession)
     ids = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, text_col).join(F.broadcast(ids.select(F.col(id_col).alias("__i"), "__y")), F.col(id_col) == F.col("__i"))
+    rows = rows.withColumn("__lines", F.length(F.coalesce(text_col, F.lit(""))) - F.length(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\n"), F.lit(""))) + 1)
+    upto = Window.orderBy(F.xxhash64(id_col), id_col, "__lines").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample's rows
+    rows = rows.withColumn("__upto", F.sum("__lines").over(upto)).where(F.col("__upto") <= lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

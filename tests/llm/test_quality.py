@@ -81,3 +81,14 @@ def test_fit_separates():
     w, pairs = fit(x, doc, np.array([1, 0] * 20))
     s = document_scores(["fine words", "VERY!! BAD!!"], (w, pairs))
     assert s[0] > 0.8 and s[1] < 0.2
+
+
+def test_repeated_rows_and_bounded_lines(spark):
+    rows = sample(200, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:20]] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, y) for i, _, y in rows[:9]] + [(None, 1)], "doc_id long, quality int")
+    scores = {}
+    for r in score_quality(docs, train(docs, labels)).collect():
+        assert scores.setdefault(r.doc_id, r.score) == r.score
+    few = train(docs, labels, lines=60)
+    assert not isinstance(few, float) and train(docs, labels, lines=0) == 0.5
