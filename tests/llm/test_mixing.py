@@ -66,3 +66,12 @@ def test_mixed_documents_keep_columns_named_like_results(spark):
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
     assert mixed_documents(df.limit(0)).count() == 0
+
+
+def test_joined_sources(spark, monkeypatch):
+    from stagewise.llm import mixing
+
+    df = spark.createDataFrame([(i, "w " * (i % 7), "abc"[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in mix(df, carry=["doc_id"], buckets=4).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(tuple(r) for r in mix(df, carry=["doc_id"], buckets=4).collect()) == want

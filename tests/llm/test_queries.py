@@ -137,3 +137,24 @@ def test_pipeline_by_brute_force(spark, duck):
     assert last.columns == [*columns, "ids", "decoded"]
     assert all(r.decoded == r.text and r.ids for r in last.collect())
     assert corpus_pipeline.run(spark, DATA).count() == fourth.count()
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, empty and long texts, extra columns named like results; and no rows at all."""
+    import corpus_pipeline
+
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(i, words(i, 30 + i), "en", "ab"[i % 2], 5, "s", 1.5, True) for i in range(30)]
+    rows += [rows[3], (100, rows[3][1], "en", "a", 5, "s", 1.5, True), (None, words(200, 40), None, None, None, None, None, None), (None, words(201, 40), None, None, None, None, None, None), (101, None, "en", "a", 1, "s", 1.0, False), (102, "", "en", "b", 1, "s", 1.0, False), (103, words(7, 37) + " more", "en", "b", 1, "s", 1.0, False), (104, "long " * 30_000, "en", "a", 1, "s", 1.0, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, score string, target double, kept boolean")
+    spark.createDataFrame([(i, int(i < 25)) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (df, df.limit(0)):
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, str(tmp_path)).cache()
+            assert kept.columns[:8] == df.columns
+        assert (kept.count() > 20) == (docs is df)
+        assert all(r.decoded == (r.text or "") for r in kept.collect())
+    third = dict(corpus_pipeline.STAGES)["near dedup"](spark, dict(corpus_pipeline.STAGES)["exact dedup"](spark, df, str(tmp_path)), str(tmp_path))
+    ids = [r.doc_id for r in third.collect()]
+    assert ids.count(3) == 1 and 100 not in ids and 103 not in ids and ids.count(None) == 2
