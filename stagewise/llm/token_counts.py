@@ -165,7 +165,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer, chunk)
-        for rows in byte_slices(batches, 1):
+        for rows in byte_slices(batches, 1, most_bytes=4 << 20, most_rows=1000):
             n = counter.count(rows.column(1))
             yield pa.RecordBatch.from_arrays([rows.column(0), pc.binary_length(rows.column(1)).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
