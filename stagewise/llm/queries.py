@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -15,7 +15,10 @@ from stagewise.llm.fingerprints import edit_fingerprints
 from stagewise.llm.html_text import extract
 from stagewise.llm.mixing import mix
 from stagewise.llm.near_dedup import near_duplicates
+from stagewise.llm.packing import packed
 from stagewise.llm.quality import held_out, score_quality, train
+from stagewise.llm.resampling import resampled
+from stagewise.llm.search import search
 from stagewise.llm.substring_dedup import remove_repeats
 from stagewise.llm.token_counts import count_tokens
 
@@ -74,8 +77,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_near_dedup, op4_fingerprints, op5_substring_dedup, op6_quality, op7_html_text, op8_chat_formatting, op9_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_near_dedup, op4_fingerprints, op5_substring_dedup, op6_quality, op7_html_text, op8_chat_formatting, op9_exact_dedup, op10_bpe, op11_resampling, op12_search, op13_packing)}
 
 
 OP1_SQL = r"""
@@ -128,5 +144,56 @@ FROM e GROUP BY conv_id
 """
 
 
+#: DuckDB has no CRC-32: it is computed from its polynomial, for each distinct word.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS word FROM d),
+bw AS (SELECT unnest(words) AS word FROM b),
+v AS (SELECT DISTINCT word, hex(encode(word)) AS bytes FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+c AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substr(bytes, CAST(i AS INT), 2) AS BIGINT))),
+      lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda p, k: xor(p >> 1, 3988292384::BIGINT * (p & 1)))), 4294967295::BIGINT) % 10000 AS bucket
+  FROM v),
+dn AS (SELECT bucket, count(*) AS n FROM dw JOIN c USING (word) GROUP BY bucket),
+bn AS (SELECT bucket, count(*) AS n FROM bw JOIN c USING (word) GROUP BY bucket),
+t AS (SELECT (SELECT count(*) FROM dw) AS S, (SELECT count(*) FROM bw) AS T),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(bn.n, 0) + 1) * (S + 10000) AS DOUBLE) / CAST((dn.n + 1) * (T + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM dn LEFT JOIN bn USING (bucket), t),
+w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM s),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () AS eligible FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank
+FROM r
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS L FROM d WHERE len(terms) > 0),
+p AS (
+  SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+x AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // L))))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_resampling": OP11_SQL, "op12_search": OP12_SQL}
