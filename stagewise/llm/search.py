@@ -4,18 +4,20 @@ Index. One pass over the texts writes, for each document, its number of terms an
 its occurrences of each term that any item asks for. What a term gives to a document's
 score is the term's weight times a part that depends on the document alone, so
 postings hold that part. Tasks pack the postings of their documents by term, in falling
-order, the packs are shuffled by (term, share of documents), where a term has as many
-shares as it has lots of `entries` postings, and each share becomes one list in falling
-order. A term in every document is thus many lists of bounded size.
+order, the packs are shuffled by (term, lot), where a term has as many lots as it has
+times `entries` postings, and each lot becomes one list in falling order. A term in
+every document is thus many lists of bounded size.
 
 Search, for all items at once.
 1. Heads: the first `top` entries of each term. Their sums, by item and document, give each
    item a lower bound: its top-th best sum.
-2. Threshold: one number for all lists of an item, the largest one such that a document below
+2. Threshold: one number for all lists of an item, the largest one such that a document under
    it in all lists stays under the lower bound (a list whose head is lower counts with that head; where no
-   head is lower, this is the bound divided by the number of lists). Every entry from the threshold on is
-   fetched. The sums are better lower bounds, and with what the lists that miss a document may still
-   add, upper bounds; documents whose upper bound is under the item's top-th lower bound go.
+   head is lower, this is the bound divided by the number of lists). Entries from the threshold on are
+   fetched, each list once, down to the lowest threshold of the items that ask for it. They go, packed, to the
+   share of documents they belong to, where one task sums them up for each item: these sums are better lower bounds, and
+   with what lists may still add that don't show a document, upper bounds. Documents whose upper bound is under the
+   item's top-th lower bound go.
 3. Look-up: the remaining documents' exact scores, from the written occurrences.
 
 Every document that is dropped has a proven bound below `top` others, so the result is exact
@@ -36,9 +38,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import bitmap_of, byte_slices, checkpointed, marked, parts_for, ship
-from stagewise.llm.words import NOT_ALPHANUMERIC, hashed_words
+from stagewise.llm.words import NOT_ALPHANUMERIC, hashed_words, mixed
 
-#: Terms of items that are sent to all tasks (8 bytes each), items of a term that meet a list at once.
+#: Terms of items that are sent to all tasks (8 bytes each), items that meet a list or a document at once.
 MOST_TERMS, MOST_ITEMS = 1_000_000, 1000
 #: Rows of small tables that are broadcast; more are joined.
 MOST_ROWS = 100_000
@@ -122,8 +124,8 @@ def packs(docs: DataFrame, documents: int, length: int, postings: int = 2_000_00
     return docs.select("n", "row", "terms", "tf").mapInArrow(run, "term long, n long, rows binary, parts binary")
 
 
-def merged(shares: DataFrame) -> DataFrame:
-    """(term, rows, parts): the packs of each (term, share) as one list in falling order of the parts."""
+def merged(lots: DataFrame) -> DataFrame:
+    """(term, rows, parts): the packs of each (term, lot) as one list in falling order of the parts."""
 
     def merge(term: int, held: list[tuple[bytes, bytes]]) -> tuple[int, bytes, bytes]:
         rows, parts = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.int64, np.int32), strict=True))
@@ -138,16 +140,16 @@ def merged(shares: DataFrame) -> DataFrame:
         now, held = None, []
         for batch in byte_slices(batches, 2, 1 << 22, 5000):
             out = []
-            for term, share, rows, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (term, share) != now:
+            for term, lot, rows, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (term, lot) != now:
                     out.append(merge(now[0], held))
                     held = []
-                now = (term, share)
+                now = (term, lot)
                 held.append((rows, parts))
             yield batch_of(out)
         yield batch_of([merge(now[0], held)] if held else [])
 
-    rows = shares.select("term", "share", "rows", "parts").repartition("term", "share").sortWithinPartitions("term", "share")
+    rows = lots.select("term", "lot", "rows", "parts").repartition("term", "lot").sortWithinPartitions("term", "lot")
     return rows.mapInArrow(run, "term long, rows binary, parts binary")
 
 
@@ -165,27 +167,66 @@ def heads(lists: DataFrame, top: int) -> DataFrame:
     return lists.mapInArrow(run, "term long, row long, part long").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= top).drop("__n")
 
 
-def fetched(lists: DataFrame) -> DataFrame:
-    """(item, row, got, might): the entries of lists (rows, parts, weight, asked) from each item's threshold on; asked: array of (item, least, might).
+def fetched(lists: DataFrame, shares: int) -> DataFrame:
+    """(share, term, rows, parts): the entries of lists (term, rows, parts, least) with parts from `least` on, by share of the documents, in falling order."""
 
-    got is what the entry gives, might what the list could have given at most without being fetched.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, 1, 1 << 22, 1000):
+            out: list[list] = [[], [], [], []]
+            for term, rows, parts, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = np.frombuffer(parts, np.int32)
+                parts = parts[: int(np.searchsorted(-parts, -least, "right"))]
+                rows = np.frombuffer(rows, np.int64)[: len(parts)]
+                share = (mixed(rows.view(np.uint64), 0x9FB21C651E98DF25) % np.uint64(shares)).astype(np.int64)
+                order = np.argsort(share, kind="stable")
+                each, at = np.unique(share[order], return_index=True)
+                for k, i, j in zip(each.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                    for column, x in zip(out, (k, term, rows[order[i:j]].tobytes(), parts[order[i:j]].tobytes()), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["share", "term", "rows", "parts"])
+
+    return lists.select("term", "rows", "parts", "least").mapInArrow(run, "share long, term long, rows binary, parts binary")
+
+
+def summed(pieces: DataFrame, top: int) -> DataFrame:
+    """(item, row, got, upper): what fetched entries give documents of a share and what these may have at most, but for documents that
+    stay under an item's bound, or under the top-th sum of the share.
+
+    pieces: (share, group, rows, parts, weight, might, asked), asked: array of (item, total, bound) of the items of a group that have the term.
     """
 
+    def share_of(held: list[tuple]) -> Iterator[tuple]:
+        every = np.unique(np.concatenate([rows for rows, *_ in held]))
+        wanted: dict[tuple, list[tuple]] = {}
+        for rows, gives, might, asked in held:
+            piece = (np.searchsorted(every, rows), gives, might)
+            for a in asked:
+                wanted.setdefault((a["item"], a["total"], a["bound"]), []).append(piece)
+        for (item, total, bound), found in wanted.items():
+            at, size = np.concatenate([x for x, _, _ in found]), [len(x) for x, _, _ in found]
+            got = np.bincount(at, np.concatenate([x for _, x, _ in found]), len(every)).astype(np.int64)
+            known = np.bincount(at, np.repeat([x for _, _, x in found], size), len(every)).astype(np.int64)
+            least = max(bound, int(np.partition(got, -top)[-top]) if len(got) >= top else 0)
+            left = np.flatnonzero((got + total - known >= least) & (got > 0))
+            yield np.full(len(left), item), every[left], got[left], (got + total - known)[left]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 0, 1 << 22, 1000):
-            out = [[np.empty(0, np.int64)] for _ in range(4)]
-            for rows, parts, weight, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, gives = np.frombuffer(rows, np.int64), np.frombuffer(parts, np.int32) * np.int64(weight)
-                for a in asked:
-                    n = int(np.searchsorted(-gives, -a["least"], "right"))
-                    for column, x in zip(out, (np.full(n, a["item"]), rows[:n], gives[:n], np.full(n, a["might"])), strict=True):
-                        column.append(x)
-                if sum(map(len, out[1])) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["item", "row", "got", "might"])
-                    out = [[np.empty(0, np.int64)] for _ in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["item", "row", "got", "might"])
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["item", "row", "got", "upper"])
+
+        now, held = None, []
+        for batch in byte_slices(batches, 2, 1 << 22, 1000):
+            for share, group, rows, parts, weight, might, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (share, group) != now:
+                    yield batch_of(list(share_of(held)))
+                    held = []
+                now = (share, group)
+                held.append((np.frombuffer(rows, np.int64), np.frombuffer(parts, np.int32) * np.int64(weight), might, asked))
+        yield batch_of(list(share_of(held)) if held else [])
 
-    return lists.select("rows", "parts", "weight", "asked").mapInArrow(run, "item long, row long, got long, might long")
+    rows = pieces.select("share", "group", "rows", "parts", "weight", "might", "asked").repartition("share", "group").sortWithinPartitions("share", "group")
+    return rows.mapInArrow(run, "item long, row long, got long, upper long")
 
 
 def looked_up(rows: DataFrame, documents: int, length: int, id_kind: str) -> DataFrame:
@@ -215,8 +256,11 @@ def bounded(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= MOST_ROWS else small
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", entries: int = 100_000) -> DataFrame:
-    """item, rank (from 1), id and score of the `top` best documents of each item, as far as their score is above 0."""
+def search(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", entries: int = 100_000, share: int = 10_000) -> DataFrame:
+    """item, rank (from 1), id and score of the `top` best documents of each item, as far as their score is above 0.
+
+    entries: postings of a list; share: documents whose sums a task has at once.
+    """
     asked = checkpointed(occurrences(items, item_col, item_text_col))
     pairs = checkpointed(item_terms(asked))
     terms = checkpointed(pairs.select("term").distinct())
@@ -224,14 +268,14 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_
     every = checkpointed(occurrences(docs, id_col, text_col, only))
     documents, length = every.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    postings = checkpointed(packs(every, documents, length))
+    postings = packs(every, documents, length)
     if only is None:
         postings = postings.join(terms, "term", "left_semi")
     df = postings.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2 * documents + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
-    known = checkpointed(df.select("term", weight.alias("weight"), F.ceil(F.col("df") / entries).cast("int").alias("shares")).where("weight > 0"))
-    shares = postings.join(bounded(known), "term").withColumn("share", F.pmod(F.xxhash64("rows"), F.col("shares")).cast("int"))
-    lists = checkpointed(merged(shares))
+    known = checkpointed(df.select("term", weight.alias("weight"), F.ceil(F.col("df") / entries).cast("int").alias("lots")).where("weight > 0"))
+    lots = postings.join(bounded(known), "term").withColumn("lot", F.pmod(F.xxhash64("rows"), F.col("lots")).cast("int"))
+    lists = checkpointed(merged(lots))
 
     # 1: heads
     pairs = checkpointed(pairs.join(bounded(known.select("term", "weight")), "term"))
@@ -242,29 +286,30 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_
     # 2: the threshold, of lists in rising order of their heads
     most = head.groupBy("term").agg(F.max("got").alias("most"))
     by_item = Window.partitionBy("item").orderBy("most", "term")
-    before, of = by_item.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("item")
+    before, of_item = by_item.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("item")
     levels = pairs.join(bounded(checkpointed(most)), "term").join(lower, "item")
-    levels = levels.withColumn("__sum", F.coalesce(F.sum("most").over(before), F.lit(0))).withColumn("__left", F.count(F.lit(1)).over(of) - F.row_number().over(by_item) + 1)
-    # a document under `might` + 1 in all lists that reach it has less than the bound
+    levels = levels.withColumn("__sum", F.coalesce(F.sum("most").over(before), F.lit(0))).withColumn("__left", F.count(F.lit(1)).over(of_item) - F.row_number().over(by_item) + 1)
+    # a document that has `level` at most in all lists stays under the bound
     over = F.col("__sum") + F.col("__left") * F.col("most") > F.col("bound") - 1
-    level = F.expr("(bound - 1 - __sum) div __left")
-    levels = checkpointed(levels.withColumn("level", F.min_by(F.when(over, level), F.when(over, F.struct("most", "term"))).over(of)).withColumn("level", F.greatest("level", F.lit(0))))
-    might = F.least("level", "most")
-    ask = levels.select("term", "weight", F.struct("item", (F.col("level") + 1).alias("least"), might.alias("might")).alias("ask")).where("weight > 0")
-    group = F.pmod(F.xxhash64("ask.item"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("term")) / MOST_ITEMS))
-    ask = ask.withColumn("__group", group).groupBy("term", "weight", "__group").agg(F.collect_list("ask").alias("asked"))
-    entries_of = fetched(lists.join(bounded(checkpointed(ask)), "term"))
-    sums = checkpointed(entries_of.groupBy("item", "row").agg(F.sum("got").alias("got"), F.sum("might").alias("might")))
-    total = levels.groupBy("item").agg(F.sum(might).alias("total"))
-    better = checkpointed(_kth(sums, "got", top).join(total, "item"))
-    left = sums.join(bounded(better), "item").where("got + total - might >= bound").select("item", "row")
-    left = checkpointed(left)
-
-    # 3: exact scores of those left
+    level = F.min_by(F.when(over, F.expr("(bound - 1 - __sum) div __left")), F.when(over, F.struct("most", "term"))).over(of_item)
+    levels = checkpointed(levels.select("item", "term", "weight", "most", "bound", F.greatest(level, F.lit(0)).alias("level")))
+    # a list is fetched once, as far as any of its items asks, and then serves all of them
+    of_term = levels.groupBy("term", "weight", "most").agg(F.min("level").alias("level"))
+    of_term = checkpointed(of_term.select("term", F.expr("level div weight + 1").alias("least"), F.least(F.expr("level div weight * weight"), "most").alias("might")))
+    asks = levels.select("item", "term", "weight", "bound").join(bounded(of_term.drop("least")), "term")
+    asks = asks.select("*", F.sum("might").over(of_item).alias("total"))
+    group = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-asked.count() // MOST_ITEMS))))
+    asks = checkpointed(asks.groupBy("term", "weight", "might", group.alias("group")).agg(F.collect_list(F.struct("item", "total", "bound")).alias("asked")))
+    pieces = fetched(lists.join(bounded(of_term.select("term", "least")), "term"), max(1, documents // share))
+    sums = checkpointed(summed(pieces.join(bounded(asks), "term"), top))
+    left = checkpointed(sums.join(bounded(checkpointed(_kth(sums, "got", top))), "item").where("upper >= bound").select("item", "row"))
+
+    # 3: exact scores of those left; a document's occurrences are shuffled once for many items
     parts = parts_for(left.count())
     found = marked(every, F.xxhash64("row"), checkpointed(bitmap_of(left, F.xxhash64("row"), parts)), "__in", parts).where("__in").drop("__in")
     vectors = checkpointed(pairs.groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("v")).select("item", F.col("v.term").alias("asked"), F.col("v.weight").alias("weights")))
-    rows = left.join(found, "row").join(bounded(vectors), "item")
+    by_row = left.groupBy("row", group.alias("group")).agg(F.collect_list("item").alias("items"))
+    rows = by_row.join(found, "row").withColumn("item", F.explode("items")).drop("items").join(bounded(vectors), "item")
     scores = looked_up(rows, documents, length, docs.schema[id_col].dataType.simpleString()).where("score > 0")
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
