@@ -15,10 +15,19 @@ that part from the crowd earlier are surer). Nodes with one row
 end; nodes of up to `leaf` rows are compared exhaustively; larger ones branch
 on. Nodes of different trees with the same members are compared once.
 
+Large nodes. A node of more than `leaf` rows is mostly one crowd of near-copies, and
+branching all of it again and again finds nothing new. So a few of its rows, the
+pivots, are compared with every row by their signatures, in blocks of the node. Disagreeing
+coordinates are a metric: if rows that disagree in more than h coordinates are never
+links, and x disagrees with a pivot in r at most, then a row linked with x disagrees with that
+pivot in r + h at most. Rows so near to a pivot are tied to it, and those within r
+are done with in this node; only the others branch on. No proposal is lost by that, and
+a crowd of any size is one level's rows.
+
 Comparing. Within a leaf, signatures are compared, and rows whose agreement
 leaves a similarity at the threshold possible (four standard errors at least) are tied
-to the least of their cluster. Nodes that are still large at the greatest depth
-are tied as they are. Ties only propose: the connected groups of ties are where
+to the least of their cluster. What is left of nodes that are still large at the greatest depth
+is tied as it is. Ties only propose: the connected groups of ties are where
 full sets are compared, and only links confirmed there count. Groups of up to
 `block` members are compared in one task, skipping pairs already connected.
 Larger groups are cut into blocks: all members are compared with a few pivots,
@@ -217,6 +226,53 @@ def _with_last(batches: Iterator) -> Iterator[tuple]:
         now = after
 
 
+#: Rows of a large node that all its rows are compared with, and rows of a node that one task compares with them.
+PIVOTS, NODE_BLOCK = 16, 10_000
+
+
+def resolved(large: DataFrame, reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(node, rep, tie, stays) of rows (node, rep, n) of large nodes of n rows: a pivot to tie the row to, if any, and whether it goes on branching.
+
+    More rows tie pivots with one another; they don't stay.
+    """
+    far = COORDINATES - least_agreement(threshold, recall)
+    within = COORDINATES - round(COORDINATES * threshold)
+
+    def compare(rep: np.ndarray, sig: np.ndarray, pivots: np.ndarray, known: np.ndarray, u: Union) -> Iterator[tuple]:
+        apart = np.stack([(sig != p).sum(1) for p in pivots], 1)
+        near, done = apart <= within + far, (apart <= within).any(1)
+        first = near.argmax(1)
+        for i in np.flatnonzero(near.sum(1) > 1).tolist():
+            for k in np.flatnonzero(near[i]).tolist():
+                if u.join(int(first[i]), k):
+                    yield int(known[k]), int(known[first[i]]), False
+        for x, some, k, d in zip(rep.tolist(), near.any(1).tolist(), first.tolist(), done.tolist(), strict=True):
+            yield x, int(known[k]) if some else None, not d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots, known, u = None, None, None, Union()
+        for batch in batches:
+            node, block, rep = (np.asarray(batch.column(k)) for k in (0, 1, 3))
+            pivot = np.array(batch.column(2).to_pylist(), bool)
+            sig = _signatures(batch.column(4))
+            out: list[tuple] = []
+            for i, j in _groups(node * 1_000_003 + block):
+                if (key := (node[i], block[i])) != now:
+                    now, pivots, known, u = key, sig[:0], rep[:0], Union()
+                at = i + int(pivot[i:j].sum())  # pivots come first
+                pivots, known = np.concatenate([pivots, sig[i:at]]), np.concatenate([known, rep[i:at]])
+                out += [(int(node[i]), *x) for x in compare(rep[at:j], sig[at:j], pivots, known, u)] if at < j else []
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield _batch(["node", "rep", "tie", "stays"], *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)))
+
+    blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
+    first = Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep")
+    picked = large.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= PIVOTS).select("node", "rep", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"))
+    every = large.select("node", "rep", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(False).alias("pivot"))
+    rows = every.unionByName(picked).join(reps, "rep").select("node", "block", "pivot", "rep", "sig").repartition("node", "block").sortWithinPartitions("node", "block", F.desc("pivot"), "rep")
+    return rows.mapInArrow(run, "node long, rep long, tie long, stays boolean")
+
+
 def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
     """Ties (a, b) between representatives (rep, sig)."""
     rows = children(reps, threshold, trees_for(recall, depth, threshold))
@@ -225,8 +281,8 @@ def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf:
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"), F.min("rep").alias("least")).where("n > 1")
         # leaves with the same members count once
         chosen = stats.groupBy("m1", "m2", "n").agg(F.min(F.struct("node", "least")).alias("s"), F.collect_set(F.when(F.col("n") > leaf, F.col("node"))).alias("large"))
-        chosen = chosen.select(F.explode(F.when(F.col("n") > leaf, F.col("large")).otherwise(F.array("s.node"))).alias("__node"), (F.col("n") > leaf).alias("large"), F.col("s.least").alias("least"))
-        members = checkpointed(rows.join(chosen, F.col("node") == F.col("__node")).select("node", "rep", "large", "least"))
+        chosen = chosen.select(F.explode(F.when(F.col("n") > leaf, F.col("large")).otherwise(F.array("s.node"))).alias("__node"), (F.col("n") > leaf).alias("large"), "n")
+        members = checkpointed(rows.join(chosen, F.col("node") == F.col("__node")).select("node", "rep", "large", "n"))
         if level == 1:  # signatures of others aren't shuffled; deeper nodes have no other members
             parts = parts_for(members.count())
             reps = checkpointed(marked(reps, F.xxhash64("rep"), checkpointed(bitmap_of(members, F.xxhash64("rep"), parts)), "__in", parts).where("__in").drop("__in"))
@@ -235,9 +291,15 @@ def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf:
         large = members.where("large")
         if large.isEmpty():
             return ties
+        after = checkpointed(resolved(large.select("node", "rep", "n"), reps, threshold, recall))
+        ties = ties.union(after.where("tie <> rep").select(F.least("tie", "rep").alias("a"), F.greatest("tie", "rep").alias("b")))
+        rest = after.where("stays").select("node", "rep")
+        if rest.isEmpty():
+            return ties
         if level == depth:
-            return ties.union(large.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
-        rows = checkpointed(children(large.join(reps, "rep").select("node", "rep", "sig"), threshold))
+            least = rest.groupBy("node").agg(F.min("rep").alias("a"))
+            return ties.union(rest.join(least, "node").where("rep != a").select("a", F.col("rep").alias("b")))
+        rows = checkpointed(children(rest.join(reps, "rep").select("node", "rep", "sig"), threshold))
     return ties
 
 
@@ -297,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return decided(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def decided(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 4, leaf: int = 2000, block: int = 256, pivots: int = 16) -> DataFrame:
+def decided(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, recall: float = 0.998, depth: int = 4, leaf: int = 200, block: int = 256, pivots: int = 16) -> DataFrame:
     """id, t (hash of the text), n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     threshold = percent / 100

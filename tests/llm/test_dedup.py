@@ -229,3 +229,35 @@ def test_near_duplicate_recall_just_above_the_threshold(spark, capsys):
     with capsys.disabled():
         print(f" recall of {len(pairs)} pairs at 0.80 to 0.85: {recall:.4f}")
     assert len(pairs) > 300 and recall >= 0.99
+
+
+def test_rows_of_large_groups_grow_in_proportion(spark, monkeypatch):
+    """Members of nodes, over all levels, for 500 and 2,000 near-copies; one class each."""
+    from stagewise.llm import near_dedup
+
+    rows_of_levels = []
+    write = near_dedup.checkpointed
+
+    def counted(df):
+        out = write(df)
+        if df.columns == ["node", "rep", "large", "n"]:
+            rows_of_levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpointed", counted)
+    sums = {}
+    for n in (500, 2000):
+        dice = random.Random(n)
+        base = [f"w{dice.randrange(10**6)}" for _ in range(200)]
+        rows = []
+        for i in range(n):
+            text = list(base)
+            for _ in range(dice.randrange(6)):
+                text[dice.randrange(200)] = f"x{dice.randrange(10**6)}"
+            rows.append((i, " ".join(text)))
+        rows_of_levels.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+        assert {r.component_id for r in got} == {0}
+        sums[n] = sum(rows_of_levels)
+    assert sums[2000] < 4.5 * sums[500]
+    print(f"rows of nodes: {sums}")
