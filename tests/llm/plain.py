@@ -107,16 +107,18 @@ class _Article(HTMLParser):
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "data"}
 
+    #: From looking at the pages, not from the code under test.
+    NO_ARTICLE = {"script", "style", "title", "head", "nav", "header", "footer", "aside", "form", "button", "textarea", "select", "noscript", "iframe", "label"}
+    NO_NAME = r"\b(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|widget|nav\w*|menu|breadcrumbs?|header|footer|comments?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|pagination|hidden|skip)\b"
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack, self.blocks, self.roots = [], [[]], 0
 
     def handle_starttag(self, tag, attrs):
-        from stagewise.llm.html_text import DROP_ROLE, DROP_TAG, DROP_WORD
-
         a = {k: v or "" for k, v in attrs}
-        words = re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower())
-        out = tag in DROP_TAG or a.get("role", "").lower() in DROP_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "none" in a.get("style", "") or (tag not in ("html", "body", "article", "main") and not DROP_WORD.isdisjoint(words))
+        names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        out = tag in self.NO_ARTICLE or a.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert") or "hidden" in a or a.get("aria-hidden") == "true" or "none" in a.get("style", "") or (tag not in ("html", "body", "article", "main") and bool(re.search(self.NO_NAME, names)))
         up = self.stack[-1] if self.stack else (None, False, False)
         root = tag in ("article", "main") and not up[2] and not (out or up[1])
         self.roots += root
