@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stagewise.functions.titles import ALIASES, DIFFERENT, FILLER, PLACE_SHORT, PLACE_SKIPPED
+from stagewise.functions.titles import ALIASES, BREAKS, DIFFERENT, ENCORE, FILLER_STEMS, FILLER_WORDS, PLACE_SHORT, PLACE_SKIPPED
 
-#: Words that name the kind of a source, tried in this order.
-LINEAGE = [("matrix", "matrix"), ("sbd", r"\bsbd\b|soundboard"), ("aud", r"\baud\b|audience|schoeps|neumann|akg")]
+#: What names the kind of a source, anywhere in the text, or as a word; tried in this order.
+LINEAGE = [("matrix", ["matrix"], ["mtx"]), ("sbd", ["soundboard"], ["sbd"]), ("aud", [], ["aud", "audience"])]
 #: Base score of each kind.
 LINEAGE_SCORES = {"sbd": 3.0, "matrix": 2.5, "aud": 1.0, "unknown": 0.0}
+#: Words before a date, less a "day" behind them, and what follows a day's number.
+WEEKDAYS = ["mon", "tue", "tues", "wed", "wednes", "thu", "thur", "thus", "thurs", "fri", "sat", "satur", "sun"]
+ORDINAL_ENDS = ["st", "nd", "rd", "th"]
+DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Extensions that tags carry, and signs at a tag's edges.
+AUDIO = [".mp3", ".flac", ".ogg", ".shn"]
+EDGES = " \t-–—_.|"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
@@ -20,6 +27,15 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def words_of(text: Column) -> Column:
+    """Runs of letters, digits and underscores; empty ones at the edges where the text begins or ends otherwise."""
+    return F.split(text, r"[^\p{L}\p{N}_]+")
+
+
+def is_digits(text: Column, least: int, most: int) -> Column:
+    return F.length(text).between(least, most) & (F.translate(text, DIGITS, "") == "")
+
+
 def try_int(c: str | Column) -> Column:
     """The integer, or null; never fails."""
     return F.trim(col(c).cast("string")).try_cast("bigint")
@@ -68,13 +84,24 @@ def normalize_title(c: str | Column, aliases: dict[str, str] | None = None) -> C
 
 def fuzzy_title(c: str | Column, aliases: dict[str, str] | None = ALIASES, shorthand: dict[str, str] | None = None) -> Column:
     """normalize_title() without a leading encore mark, with & read as and; then a short name of the family's, if given."""
-    s = F.regexp_replace(F.replace(col(c), F.lit("&"), F.lit(" and ")), r"(?i)^\s*(?:encore|e)\s*:\s*", "")
+    marked = F.lower(F.trim(F.substring_index(col(c), ":", 1))).isin(*ENCORE) & F.contains(col(c), F.lit(":"))
+    said = F.when(marked, F.substr(col(c), F.instr(col(c), ":") + 1)).otherwise(col(c))
+    s = F.replace(said, F.lit("&"), F.lit(" and "))
     return looked_up(normalize_title(s, aliases), shorthand)
 
 
+def without_credit(c: Column) -> Column:
+    """Without a parenthesis that closes the text."""
+    x = F.trim(c)
+    body = F.left(x, F.length(x) - 1)
+    last = F.substring_index(body, ")", -1)  # behind all other closing ones
+    opened = F.instr(last, "(")
+    return F.when(F.endswith(x, F.lit(")")) & (opened > 0), F.rtrim(F.left(body, F.length(body) - F.length(last) + opened - 1))).otherwise(x)
+
+
 def title_parts(c: str | Column, shorthand: dict[str, str] | None = None) -> Column:
     """Normal forms of the songs of a merged title, in order, each without a closing parenthesis; the whole title's if nothing is left."""
-    names = F.transform(F.split(col(c), "->|>|→"), lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)\s*$", "")))
+    names = F.transform(F.split(col(c), "->|>|→"), without_credit)
     found = F.filter(F.transform(F.filter(names, lambda x: x != ""), lambda x: fuzzy_title(x, shorthand=shorthand)), lambda x: x != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(fuzzy_title(c, shorthand=shorthand)))
 
@@ -108,7 +135,12 @@ def known_song(c: Column, known: Column) -> Column:
 
 def is_filler(c: str | Column) -> Column:
     """Whether a title says tuning, talk, applause or the like anywhere: no song of a setlist."""
-    return F.coalesce(F.lower(col(c)).rlike(FILLER), F.lit(False))
+    said = F.lower(col(c))
+    words = words_of(said)
+    sentence = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    closed = F.regexp_replace(said, r"[\s-]+", "")
+    found = [F.contains(said, F.lit(x)) for x in FILLER_STEMS] + [F.contains(closed, F.lit("tuneup")), F.arrays_overlap(words, F.array(*map(F.lit, FILLER_WORDS)))] + [F.contains(sentence, F.lit(f" {x} ")) for x in BREAKS]
+    return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
 
 
 def artist_key(c: str | Column) -> Column:
@@ -122,9 +154,19 @@ def ascii_key(c: str | Column) -> Column:
 
 def clean_tag(c: str | Column) -> Column:
     """A tag's title without an item's identifier before it, an audio extension, and blanks or signs at the edges; "unknown" is empty."""
-    s = F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"^[A-Za-z]{2,5}_*\d\d(?:\d\d)?[-.]\d\d[-.]\d\d\s*(?:[td]\d+)*", "")
-    s = F.regexp_replace(s, r"(?i)\.(?:mp3|flac|ogg|shn)\s*$", "")
-    s = F.regexp_replace(s, r"^[ \t\-–—_.|]+|[ \t\-–—_.|]+$", "")
+    s = F.trim(F.coalesce(col(c), F.lit("")))
+    # an identifier: two to five letters, a date with a year of two or four figures, then disc and track, each a letter and a number
+    behind = F.ltrim(s, F.lit(LETTERS))
+    date = F.ltrim(behind, F.lit("_"))
+    shape = F.translate(F.left(date, F.lit(10)), DIGITS + ".", "#" * 10 + "-")
+    size = F.when(shape == "####-##-##", 10).when(F.startswith(shape, F.lit("##-##-##")), 8)
+    rest = F.ltrim(F.substr(date, size + 1), F.lit(" \t"))
+    place = lambda x, _: F.when(F.left(x, F.lit(1)).isin("t", "d") & is_digits(F.substring(x, 2, 1), 1, 1), F.ltrim(F.substring(x, 2, 1 << 20), F.lit(DIGITS))).otherwise(x)
+    rest = F.aggregate(F.sequence(F.lit(0), F.length(rest)), rest, place)
+    s = F.when((F.length(s) - F.length(behind)).between(2, 5) & size.isNotNull(), rest).otherwise(s)
+    bare = F.rtrim(s)
+    s = F.when(reduce(lambda a, b: a | b, [F.endswith(F.lower(bare), F.lit(x)) for x in AUDIO]), F.left(bare, F.length(bare) - F.length(F.element_at(F.split(bare, r"\."), -1)) - 1)).otherwise(s)
+    s = F.trim(s, F.lit(EDGES))
     return F.when(F.lower(s) == "unknown", F.lit("")).otherwise(s)
 
 
@@ -150,7 +192,9 @@ def newest_number(c: str | Column) -> Column:
 def lineage_class(*columns: str | Column) -> Column:
     """First kind whose words occur in any of the columns: matrix, sbd, aud, else unknown."""
     text = F.lower(F.concat_ws(" ", *[col(c) for c in columns]))
-    return reduce(lambda rest, kind: F.when(text.rlike(kind[1]), kind[0]).otherwise(rest), reversed(LINEAGE), F.lit("unknown"))
+    words = words_of(text)
+    says = lambda parts, whole: reduce(lambda a, b: a | b, [*(F.contains(text, F.lit(x)) for x in parts), *(F.array_contains(words, x) for x in whole)])
+    return reduce(lambda rest, kind: F.when(says(*kind[1:]), kind[0]).otherwise(rest), reversed(LINEAGE), F.lit("unknown"))
 
 
 def event_kind(c: str | Column) -> Column:
@@ -235,18 +279,32 @@ def normalize_date(c: str | Column) -> Column:
     1977-5-8, 5/8/77, May 8th, 1977, 8 May '77, and those without a year. Two-digit years from 30 on are in the last century. Weekdays
     before a date are skipped; months may be cut to three letters or more. No calendar check: values are compared as text.
     """
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[,.]", " "), r"\s+", " "))
-    s = F.regexp_replace(s, r"^(?:mon|tue|tues|wed|wednes|thu|thur|thus|thurs|fri|sat|satur|sun)(?:day)? ", "")
-    # one pattern each: how it looks, and which groups are the year, the month (in figures or letters) and the day
-    day, name, year = r"(\d{1,2})(?:st|nd|rd|th)?", r"([a-z]+)", r"'?(\d{2,4})"
-    shapes = [(r"(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3), (r"(\d{1,2})/(\d{1,2})/(\d{2,4})", 3, 1, 2), (f"{name} {day} {year}", 3, 1, 2), (f"{day} {name} {year}", 3, 2, 1), (f"{name} {day}", 0, 1, 2), (f"{day} {name}", 0, 2, 1), (r"(\d{1,2})/(\d{1,2})", 0, 1, 2)]
+    said = F.split(F.trim(F.regexp_replace(F.lower(col(c)), r"[,.\s]+", " ")), " ")
+    first = F.get(said, F.lit(0))
+    first = F.when(F.endswith(first, F.lit("day")), F.left(first, F.length(first) - 3)).otherwise(first)
     months = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for n in range(3, len(m) + 1) for x in (m[:n], f"{k:02d}")])
 
-    def written(shape: str, y: int, m: int, d: int) -> Column:
-        get = lambda k: F.regexp_extract(s, f"^{shape}$", k)
-        n = get(y).try_cast("int") if y else None
-        years = F.lit("-") if n is None else F.lpad(F.when(n >= 100, n).when(n >= 30, n + 1900).otherwise(n + 2000).cast("string"), 4, "0")
-        month = F.coalesce(F.try_element_at(months, get(m)), F.when(get(m).rlike(r"^\d+$"), F.lpad(get(m), 2, "0")))
-        return F.when(s.rlike(f"^{shape}$") & month.isNotNull(), F.concat_ws("-", years, month, F.lpad(get(d), 2, "0")))
-
-    return F.coalesce(*[written(*x) for x in shapes])
+    def two(x: Column) -> Column:
+        return F.when(is_digits(x, 1, 2), F.lpad(x, 2, "0"))
+
+    def day(x: Column) -> Column:
+        return F.coalesce(two(x), F.when(F.right(x, F.lit(2)).isin(*ORDINAL_ENDS), two(F.left(x, F.length(x) - 2))))
+
+    def year(x: Column) -> Column:
+        figures = F.when(F.startswith(x, F.lit("'")), F.substring(x, 2, 9)).otherwise(x)
+        n = F.when(is_digits(figures, 2, 4), figures.try_cast("int"))
+        return F.lpad(F.when(n >= 100, n).when(n >= 30, n + 1900).otherwise(F.when(n >= 0, n + 2000)).cast("string"), 4, "0")
+
+    def read(words: Column) -> Column:
+        """What the words say by how many they are, each read as a month's name, a day or a year; null as soon as one is no such thing."""
+        at = lambda parts, k: F.get(parts, F.lit(k))
+        dashed, slashed = F.split(at(words, 0), "-"), F.split(at(words, 0), "/")
+        iso = F.concat_ws("-", F.when(is_digits(at(dashed, 0), 4, 4), at(dashed, 0)), two(at(dashed, 1)), two(at(dashed, 2)))
+        named = F.try_element_at(months, at(words, 0))
+        month, of = F.coalesce(named, F.try_element_at(months, at(words, 1))), F.when(named.isNotNull(), at(words, 1)).otherwise(at(words, 0))
+        join = lambda *x: F.when(reduce(lambda a, b: a & b, [y.isNotNull() for y in x]), F.concat_ws("-", *x))
+        one = F.when(F.size(dashed) == 3, F.when(F.length(iso) == 10, iso)).when(F.size(slashed) == 3, join(year(at(slashed, 2)), two(at(slashed, 0)), two(at(slashed, 1)))).when(F.size(slashed) == 2, join(F.lit("-"), two(at(slashed, 0)), two(at(slashed, 1))))
+        return F.when(F.size(words) == 1, one).when(F.size(words) == 2, join(F.lit("-"), month, day(of))).when(F.size(words) == 3, join(year(at(words, 2)), month, day(of)))
+
+    words = F.when(first.isin(*WEEKDAYS) & (F.size(said) > 1), F.slice(said, 2, 4)).otherwise(said)
+    return F.transform(F.array(words), read)[0]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions.text import LINEAGE_SCORES, is_real_title, try_int
+from stagewise.functions.text import LINEAGE_SCORES, is_digits, is_real_title, try_int
 
 #: The floor on durations is a share of the median, or absolute where the sample is small.
 SHARE_OF_MEDIAN, LEAST_SAMPLE, ABSOLUTE_FLOOR = 0.25, 5, 90.0
@@ -91,11 +91,13 @@ def resolve_titles(rows: DataFrame, candidates: Sequence[tuple[str, Column]], fa
 
 def strip_numbering(rows: DataFrame, item: str, title: str) -> DataFrame:
     """A leading number (three digits at most, maybe a sign, a blank) goes where at least three titles of the item, and 80 percent, have one."""
-    mark = r"^\d{1,3}[.)\-:]?\s+(?=\S)"
-    numbered = F.col(title).rlike(mark)
+    parts = F.split(F.col(title), r"\s+", 2)
+    head, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    number = F.when(F.right(head, F.lit(1)).isin(".", ")", "-", ":"), F.left(head, F.length(head) - 1)).otherwise(head)
+    numbered = F.coalesce(is_digits(number, 1, 3) & (rest != ""), F.lit(False))
     whole = Window.partitionBy(item)
     gate = (F.count_if(numbered).over(whole) >= 3) & (F.count_if(numbered).over(whole) >= 0.8 * F.count(F.lit(1)).over(whole))
-    return rows.withColumn(title, F.when(gate & numbered, F.regexp_replace(title, mark, "")).otherwise(F.col(title)))
+    return rows.withColumn(title, F.when(gate & numbered, rest).otherwise(F.col(title)))
 
 
 def pattern_bonus(rows: DataFrame, group: str, name: str, newness: Sequence[Column], patterns: dict[str, float]) -> DataFrame:

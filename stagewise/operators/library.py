@@ -58,7 +58,7 @@ def excluded_files(tokens: DataFrame, tracks: DataFrame, show: str, token: str,
 
 def assigned(packages: DataFrame, assignments: DataFrame, profile: str, presenter: str, title: str, default: str | None) -> DataFrame:
     """packages with presenter and title: those of their profile's assignment; else the default presenter without a title, else none."""
-    a = F.broadcast(assignments.select(F.col(profile).alias("__p"), F.col(presenter).alias("__who"), F.col(title).alias("__what")).limit(100_000))
+    a = assignments.select(F.col(profile).alias("__p"), F.col(presenter).alias("__who"), F.col(title).alias("__what"))
     rows = packages.join(a, F.col(profile) == F.col("__p"), "left")
     found = F.col("__p").isNotNull()
     return rows.withColumns({"presenter": F.when(found, F.col("__who")).otherwise(F.lit(default)), "title": F.when(found, F.col("__what"))}).drop("__p", "__who", "__what")

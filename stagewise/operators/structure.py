@@ -43,11 +43,12 @@ ONLY_SET = ("show", "set")
 
 def set_label(c: str) -> Column:
     """1, 2, 3 or encore of an evidence label: 'Encore 2', 'Set: Two', 'First Set', 'ii', 'show'; null if it names none."""
-    s = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"^\s+|\s+$", "")
+    s = F.trim(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(" \t\n\r"))
     table = F.create_map(*[F.lit(x) for kv in (SET_NUMBERS | SET_ORDINALS).items() for x in kv])
     # the word behind 'set', or the whole label; an ordinal also before 'set'
-    behind = F.regexp_extract(s, r"^set\s*:?\s*(\w+)", 1)
-    before = F.regexp_extract(s, r"^(first|second|third)\s+set\b", 1)
+    word = lambda x, k: F.get(F.split(x, r"[^\p{L}\p{N}_]+"), F.lit(k))
+    behind = F.when(F.startswith(s, F.lit("set")), word(F.ltrim(F.substring(s, 4, 1 << 20), F.lit(" \t:")), 0))
+    before = F.when(word(s, 0).isin(*SET_ORDINALS) & (word(s, 1) == "set"), word(s, 0))
     numbered = F.when(~behind.isin(*SET_ORDINALS), F.try_element_at(table, behind))
     return F.when(s.startswith("encore"), "encore").when(s.isin(*ONLY_SET), "1").otherwise(F.coalesce(numbered, F.try_element_at(table, before), F.try_element_at(table, s)))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
 from stagewise.operators import catalog, census, files, guards, manifest, ranking, structure
-from stagewise.plans.registry import query, t
+from stagewise.plans.registry import literal, query, t
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -171,9 +171,18 @@ def review_digest(spark, d):
     return manifest.review_digest(t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(s, 'matrix') THEN 'matrix' WHEN regexp_matches(s, '\\bsbd\\b|soundboard') THEN 'sbd' WHEN regexp_matches(s, '\\baud\\b|audience|schoeps|neumann|akg') THEN 'aud' ELSE 'unknown' END AS lineage FROM (SELECT doc_id, lower(concat_ws(' ', source, text)) AS s FROM documents)")
+#: What a text says of its source, one more for each document in turn.
+SOURCES = ["", " mtx of two tapes", " schoeps mk4 > dat", " the audience tape", " audiences", " AUD", " auditorium", " SBD>dat", " sbdx", " Soundboards", " premtx", " dematrixed"]
+
+
+@query(f"""WITH s AS (SELECT doc_id, lower(concat_ws(' ', source, text) || {literal(SOURCES)}[CAST(doc_id % {len(SOURCES)} + 1 AS INT)]) AS s FROM documents),
+w AS (SELECT doc_id, s, string_split_regex(s, '[^\\p{{L}}\\p{{N}}_]+') AS words FROM s)
+SELECT doc_id, CASE WHEN contains(s, 'matrix') OR list_contains(words, 'mtx') THEN 'matrix' WHEN contains(s, 'soundboard') OR list_contains(words, 'sbd') THEN 'sbd'
+  WHEN list_has_any(words, ['aud', 'audience']) THEN 'aud' ELSE 'unknown' END AS lineage FROM w""")
 def lineage_class(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.lineage_class("source", "text").alias("lineage"))
+    more = F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("doc_id") % len(SOURCES) + 1).cast("int"))
+    docs = t(spark, d, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), more))
+    return docs.select("doc_id", X.lineage_class("source", "text").alias("lineage"))
 
 
 @query("WITH h AS (SELECT p_partkey, p_brand, p_size, contains(lower(p_type), 'brass') AS a, contains(lower(p_type), 'steel') AS b FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, a ORDER BY p_size DESC, p_partkey) AS ka, row_number() OVER (PARTITION BY p_brand, b ORDER BY p_size DESC, p_partkey) AS kb FROM h) SELECT p_partkey, p_brand, greatest(CASE WHEN a THEN CASE WHEN ka = 1 THEN 2.0 ELSE 1.0 END ELSE 0.0 END, CASE WHEN b THEN CASE WHEN kb = 1 THEN 1.0 ELSE 0.5 END ELSE 0.0 END)::DOUBLE AS bonus FROM r")

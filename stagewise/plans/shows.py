@@ -6,10 +6,12 @@ written out with what must come of them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
-from stagewise.functions.titles import ALIASES, SHORTHAND
+from stagewise.functions.titles import ALIASES, FILLER_STEMS, FILLER_WORDS, SHORTHAND
 from stagewise.operators import catalog, files, guards, manifest, recovery, structure
 from stagewise.operators import library as shelf
 from stagewise.plans import gather as gathering
@@ -126,10 +128,32 @@ def anchor_breaks(spark, d):
 LABELS = [("Set 1", "1"), ("set one", "1"), ("Set: Two", "2"), ("SET III", "3"), ("First Set", "1"), ("second set (electric)", "2"), (" ii ", "2"), ("3", "3"), ("show", "1"), ("Set", "1"), ("Encore", "encore"), ("Encore 2", "encore"), ("First part", None), ("1st Set", None), ("Set 4", None), ("third", "3"), ("Soundcheck", None), ("", None), (None, None), ("set2:", "2"), ("sets", None), ("settwo", "2"), ("set first", None)]
 
 
-@query(f"SELECT event_id, label, expected AS set_label FROM events JOIN {values('i, label, expected', [(k, *r) for k, r in enumerate(LABELS)])} ON i = event_id % {len(LABELS)}")
+#: How a label is written around a number n: its shape, and whether it names a set where n is 1, 2 or 3.
+LABEL_SHAPES = [("Set {digit}", True), ("SET: {word}", True), ("{ordinal} Set ({kind})", True), (" {roman} ", True), ("set{digit}:", True), ("{ordinal}", True), ("Set {ordinal}", False), ("{kind} {digit}", False), ("{digit} {kind}", False), ("{kind}", False), ("{digit}th set", False), ("{ordinal}set", False)]
+NUMBERS = {"digit": list("1234"), "word": ["One", "TWO", "three", "four"], "ordinal": ["First", "second", "THIRD", "Fourth"], "roman": ["i", "II", "iii", "iv"]}
+
+
+def label_sql() -> str:
+    cases = []
+    for k, (shape, _) in enumerate(LABEL_SHAPES):
+        said = "'" + re.sub(r"\{(\w+)\}", lambda m: "' || event_type || '" if m[1] == "kind" else f"' || {literal(NUMBERS[m[1]])}[n] || '", shape) + "'"
+        cases.append(f"WHEN {k} THEN {said}")
+    return f"CASE event_id % {len(LABEL_SHAPES)} {' '.join(cases)} END"
+
+
+@query(f"""WITH e AS (SELECT *, CAST(user_id % 4 + 1 AS INT) AS n FROM events)
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'Encore ' || event_type ELSE {label_sql()} END AS label,
+       CASE WHEN event_id % 17 = 0 THEN 'encore' WHEN n < 4 AND event_id % {len(LABEL_SHAPES)} IN ({', '.join(str(k) for k, x in enumerate(LABEL_SHAPES) if x[1])}) THEN CAST(n AS VARCHAR) END AS set_label FROM e""")
 def set_labels(spark, d):
-    e = t(spark, d, "events").withColumn("i", (F.col("event_id") % len(LABELS)).cast("int"))
-    return e.join(dealt(spark, LABELS, "label string, expected string"), "i").select("event_id", "label", structure.set_label("label").alias("set_label"))
+    """Labels written in many ways around the numbers and kinds of the events."""
+    e = t(spark, d, "events").withColumn("n", (F.col("user_id") % 4).cast("int"))
+    said = F.lit(None).cast("string")
+    for k, (shape, _) in enumerate(LABEL_SHAPES):
+        parts = re.split(r"\{(\w+)\}", shape)
+        columns = [F.lit(x) if i % 2 == 0 else F.col("event_type") if x == "kind" else F.get(F.array(*map(F.lit, NUMBERS[x])), F.col("n")) for i, x in enumerate(parts)]
+        said = F.when(F.col("event_id") % len(LABEL_SHAPES) == k, F.concat(*columns)).otherwise(said)
+    e = e.withColumn("label", F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("Encore "), "event_type")).otherwise(said))
+    return e.select("event_id", "label", structure.set_label("label").alias("set_label"))
 
 
 EVIDENCE = f"""e AS (SELECT event_id, user_id % 7 AS artist, strftime(ts, '%Y-%m-%d') AS date, user_id % 3 AS event, expected AS name, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(event_id % 50 AS VARCHAR) END AS isong, user_id % 3 AS number
@@ -168,28 +192,25 @@ def assign_events(spark, d):
     return structure.events_of_recordings(rows, e, "o_orderkey", "artist", "date", "words", "said").select("o_orderkey", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
 
 
-TAGS = [
-    ("gd73-06-10d1t04 Here Comes Sunshine", "Here Comes Sunshine", True),
-    ("gd1973-06-10 Deal", "Deal", True),
-    ("phil_99.04.15t02Jam.flac", "Jam", True),
-    ("unknown", "", False),
-    (" - Unknown . ", "", False),
-    ("Sugaree.mp3 ", "Sugaree", True),
-    ("Sugaree.wav", "Sugaree.wav", True),
-    ("d1t02", "d1t02", False),
-    ("__Ripple__", "Ripple", True),
-    ("", "", False),
-    (None, "", False),
-    ("1952 Vincent Black Lightning", "1952 Vincent Black Lightning", True),
-    ("Dark Star | ", "Dark Star", True),
-    ("x77-05-08 Morning Dew", "x77-05-08 Morning Dew", True),
-]
+#: What stands before and behind a tag's title, and what stays of it; yy and mm are figures of the row.
+BEFORE = [("", ""), ("gd{yy}-{mm}-10d1t04 ", ""), ("gd19{yy}-{mm}-10 ", ""), ("phil_{yy}.{mm}.15t02", ""), ("x{yy}-{mm}-08 ", "x{yy}-{mm}-08 "), ("abcdef{yy}-{mm}-08 ", "abcdef{yy}-{mm}-08 "), (" - ", ""), ("19{yy} ", "19{yy} "), ("ab{yy}-{mm}-1d1 ", "ab{yy}-{mm}-1d1 ")]
+BEHIND = [("", ""), (".mp3", ""), (".FLAC ", ""), (".wav", ".wav"), (" | ", ""), (" _", ""), (".shn.ogg", ".shn")]
+
 
+def around(cases, column: int, by: str, divisor: int) -> str:
+    filled = lambda x: "'" + x.replace("{yy}", "' || yy || '").replace("{mm}", "' || mm || '") + "'"
+    return f"CASE (p_partkey // {divisor}) % {len(cases)} " + " ".join(f"WHEN {k} THEN {filled(x[column])}" for k, x in enumerate(cases)) + " END"
 
-@query(f"SELECT event_id, title, ok AS is_real FROM events JOIN {values('i, raw, title, ok', [(k, *r) for k, r in enumerate(TAGS)])} ON i = event_id % {len(TAGS)}")
+
+@query(f"""WITH p AS (SELECT *, lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS yy, lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') AS mm FROM part),
+c AS (SELECT p_partkey, CASE WHEN p_partkey % 41 = 0 THEN '' ELSE {around(BEFORE, 1, 'p', 1)} || p_name || {around(BEHIND, 1, 'p', 9)} END AS title FROM p)
+SELECT p_partkey, title, length(regexp_replace(title, '[^A-Za-z]', '', 'g')) >= 3 AS is_real FROM c""")
 def clean_titles(spark, d):
-    e = t(spark, d, "events").withColumn("i", (F.col("event_id") % len(TAGS)).cast("int")).join(dealt(spark, [r[:1] for r in TAGS], "raw string"), "i")
-    return e.select("event_id", X.clean_tag("raw").alias("title")).select("event_id", "title", X.is_real_title("title").alias("is_real"))
+    """Names of parts as titles of tags, with identifiers, extensions and signs around them; some tags are unknown."""
+    p = t(spark, d, "part").withColumn("yy", F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")).withColumn("mm", F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"))
+    side = lambda cases, column, divisor: F.expr(around(cases, column, "p", divisor).replace("p_partkey // ", "p_partkey div "))
+    raw = F.when(F.col("p_partkey") % 41 == 0, " Unknown . ").otherwise(F.concat(side(BEFORE, 0, 1), "p_name", side(BEHIND, 0, 9)))
+    return p.select("p_partkey", X.clean_tag(raw).alias("title")).select("p_partkey", "title", X.is_real_title("title").alias("is_real"))
 
 
 @query("WITH r AS (SELECT l_orderkey, k, CASE WHEN l_orderkey % 3 = 0 AND k > 2 THEN l_returnflag ELSE k || (CASE l_orderkey % 5 WHEN 0 THEN ') ' WHEN 1 THEN '. ' WHEN 2 THEN ' ' WHEN 3 THEN '_' ELSE '-  ' END) || '200 ' || l_returnflag END AS title, l_orderkey % 5 <> 3 AS plain FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_tax, l_discount) AS k FROM lineitem)), n AS (SELECT *, plain AND NOT (l_orderkey % 3 = 0 AND k > 2) AS numbered FROM r), g AS (SELECT *, sum(CAST(numbered AS INT)) OVER w AS a, count(*) OVER w AS b FROM n WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, k, CASE WHEN numbered AND a >= 3 AND a >= 0.8 * b THEN '200 ' || right(title, 1) ELSE title END AS title FROM g")
@@ -212,36 +233,17 @@ def track_numbers(spark, d):
     return files.track_numbers(rows, "l_orderkey", name="name", source="source", original="original", track="track").select("l_orderkey", "k", F.coalesce("number", F.lit(-1)).alias("number"))
 
 
-FILLERS = [
-    ("Crowd noise and tuning", True),
-    ("Tuning/Applause", True),
-    ("tune-up", True),
-    ("Stage repairs", True),
-    ("equipment problems", True),
-    ("Band intros by Phil", True),
-    ("Intro by Fiona Black", True),
-    ("Bill Graham announcement", True),
-    ("stage talk", True),
-    ("Encore  Break", True),
-    ("soundcheck jam", True),
-    ("outro", True),
-    ("Drums", False),
-    ("Space", False),
-    ("Feedback", False),
-    ("Talkin' World War III Blues", False),
-    ("Chattanooga Choo Choo", False),
-    ("Introspection", False),
-    ("Tune", False),
-    ("Set Break", False),
-    ("", False),
-    (None, False),
-]
+#: Titles that stand behind a part's name, in turn.
+FILLERS = ["", " crowd noise", "/Applause", " tune-up", " Stage repairs", " TUNE  UP", " intros by Phil", " Introspection", " announcement", " talk", " Talkin' Blues", ": Encore  Break", " Encore, Breaks", " encore breakdown", " soundcheck jam", "-outro", " Chattanooga", " Tune", " tuning", "_chat", " annoucement"]
 
 
-@query(f"SELECT event_id, title, expected AS filler FROM events JOIN {values('i, title, expected', [(k, *r) for k, r in enumerate(FILLERS)])} ON i = event_id % {len(FILLERS)}")
+@query(f"""WITH r AS (SELECT p_partkey, p_name || {literal(FILLERS)}[CAST(p_partkey % {len(FILLERS)} + 1 AS INT)] AS title FROM part),
+w AS (SELECT *, lower(title) AS s, string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}_]+') AS words FROM r)
+SELECT p_partkey, title, len(list_filter({literal(list(FILLER_STEMS))}, lambda x: contains(s, x))) > 0 OR contains(replace(replace(s, ' ', ''), '-', ''), 'tuneup') OR list_has_any(words, {literal(list(FILLER_WORDS))})
+  OR contains(' ' || array_to_string(words, ' ') || ' ', ' encore break ') OR contains(' ' || array_to_string(words, ' ') || ' ', ' encore breaks ') AS filler FROM w""")
 def filler(spark, d):
-    e = t(spark, d, "events").withColumn("i", (F.col("event_id") % len(FILLERS)).cast("int")).join(dealt(spark, FILLERS, "title string, expected boolean"), "i")
-    return e.select("event_id", "title", X.is_filler("title").alias("filler"))
+    title = F.concat("p_name", F.element_at(F.array(*map(F.lit, FILLERS)), (F.col("p_partkey") % len(FILLERS) + 1).cast("int")))
+    return t(spark, d, "part").select("p_partkey", title.alias("title")).select("p_partkey", "title", X.is_filler("title").alias("filler"))
 
 
 #: Songs that prose asserts of a show with the tracks below, and whether they are known.
@@ -275,13 +277,20 @@ def grounding_flags(spark, d):
     return got.withColumn("names", F.array_join("names", "; "))
 
 
-CLAIMS = [("They played two sets that night.", "2"), ("Both sets; 3 long sets and FOUR sets", "2,3,4"), ("two sets of strings", ""), ("one set, single set, a two-set show", ""), ("five sets", ""), ("the second set", ""), (None, "")]
+#: What is said behind a document's text, and whether it claims a number of sets.
+CLAIMS = [(" They played {} sets that night.", True), (" ({} long sets)", True), (" {} sets of strings", False), (" {} very long sets", False), (" a {}-set show", False), (" co-{} sets!", True), (" {}, sets", False), (" {} sets, of which", True), ("", False)]
 
 
-@query(f"SELECT doc_id, expected AS claims FROM documents JOIN {values('i, said, expected', [(k, *r) for k, r in enumerate(CLAIMS)])} ON i = doc_id % {len(CLAIMS)}")
+@query(f"""WITH r AS (SELECT doc_id, CAST(doc_id // {len(CLAIMS)} % {len(guards.NUMBER_WORDS)} + 1 AS INT) AS k, doc_id % {len(CLAIMS)} AS shape FROM documents)
+SELECT doc_id, CASE WHEN shape IN ({', '.join(str(k) for k, x in enumerate(CLAIMS) if x[1])}) THEN CAST({literal(list(guards.NUMBER_WORDS.values()))}[k] AS VARCHAR) ELSE '' END AS claims FROM r""")
 def set_count_claims(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", (F.col("doc_id") % len(CLAIMS)).cast("int").alias("i")).join(dealt(spark, CLAIMS, "said string, expected string"), "i")
-    return docs.select("doc_id", F.array_join(guards.set_count_claims(F.coalesce("said", F.lit(""))).cast("array<string>"), ",").alias("claims"))
+    """Claims said behind the whole texts of documents, which make none themselves."""
+    word = F.element_at(F.array(*map(F.lit, guards.NUMBER_WORDS)), (F.floor(F.col("doc_id") / len(CLAIMS)) % len(guards.NUMBER_WORDS) + 1).cast("int"))
+    said = F.lit("")
+    for k, (shape, _) in enumerate(CLAIMS):
+        said = F.when(F.col("doc_id") % len(CLAIMS) == k, F.replace(F.lit(shape), F.lit("{}"), F.upper(word))).otherwise(said)
+    docs = t(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("said"))
+    return docs.select("doc_id", F.array_join(guards.set_count_claims(F.col("said")).cast("array<string>"), ",").alias("claims"))
 
 
 #: prose, sets with an intro, the show's sets, songs mentioned, its tracks, whether it must stay vague, and what is wrong.
