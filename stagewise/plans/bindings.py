@@ -428,3 +428,30 @@ def census_formats(spark, d):
 def census_interval(spark, d):
     out = census.mean_interval(t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
     return out.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+TODAY = "2002-01-01"
+RATINGS, REVIEWS = [2.0, 2.5, 3.0], [1, 2, 4, 6]
+RATED = """CASE WHEN rating IS NULL THEN 'unrated' WHEN rating < 2 THEN '< 2' WHEN rating < 2.5 THEN '2 - 2.5' WHEN rating < 3 THEN '2.5 - 3' ELSE '3+' END"""
+REVIEWED = """CASE WHEN reviews < 1 THEN '< 1' WHEN reviews < 2 THEN '1 - 2' WHEN reviews < 4 THEN '2 - 4' WHEN reviews < 6 THEN '4 - 6' ELSE '6+' END"""
+
+
+def strata(spark, d):
+    """Items by rating and reviews, with what a year brings since they came."""
+    rate = census.yearly(F.col("downloads").cast("double"), "date", TODAY)
+    return items(spark, d).select(census.stratum("rating", RATINGS, "unrated").alias("rated"), census.stratum("reviews", REVIEWS, "none").alias("reviewed"), rate.alias("rate"), F.col("year").cast("double").alias("year"))
+
+
+@query(f"""WITH {ITEMS}
+SELECT {RATED} AS rated, {REVIEWED} AS reviewed, count(*) AS n,
+       round(median(downloads / greatest(1.0, date_diff('day', CAST(date AS DATE), DATE '{TODAY}') / 365.25)), 6) AS quantile
+FROM items GROUP BY 1, 2""")
+def census_rates(spark, d):
+    """Median downloads a year by rating and number of reviews."""
+    return census.quantiles(strata(spark, d), ["rated", "reviewed"], "rate").withColumn("quantile", F.round("quantile", 6))
+
+
+@query(f"WITH {ITEMS} SELECT {REVIEWED} AS reviewed, count(*) AS n, quantile_cont(CAST(year AS DOUBLE), 0.9) AS quantile FROM items GROUP BY 1")
+def census_years(spark, d):
+    """The year that nine tenths of the items are older than, by number of reviews."""
+    return census.quantiles(strata(spark, d), ["reviewed"], "year", 0.9)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stagewise.operators.sinks import locked
+from stagewise.shipping import checkpointed
 from stagewise.sources.scans import missing_from_cache
 
 
@@ -56,8 +58,7 @@ class CatalogReader(DataSourceReader):
         return [QueryPartition(q) for q in self.queries]
 
     def read(self, partition: QueryPartition) -> Iterator[tuple]:
-        module, _, name = self.transport.rpartition(".")
-        call = getattr(importlib.import_module(module), name)
+        call = called(self.transport)
         cursor = None
         while True:
             rows, cursor = fetch(call, partition.query, cursor, tries=self.tries, wait=self.wait, pause=self.pause)
@@ -87,31 +88,42 @@ def search(spark: SparkSession, transport: Callable, query: str, rows: int = 500
     return spark.createDataFrame([(query, json.dumps(x)) for x in found[:rows]], "query string, record string")
 
 
-def read_through(wanted: DataFrame, cache_path: str, key: str, transport: str, tries: int = 3, wait: float = 1.0, pause: float = 0.5, readers: int = 4) -> DataFrame:
-    """key, record of every wanted key: from the cache at the path, else fetched by transport(key), at most `readers` at once, and added to it.
+def called(name: str) -> Callable:
+    """The function of an import path."""
+    module, _, attribute = name.rpartition(".")
+    return getattr(importlib.import_module(module), attribute)
 
-    Keys that are refused or go on failing are left out, and aren't cached: the next call asks again.
+
+def read_through(wanted: DataFrame, cache_path: str, key: str, transport: str | Callable, tries: int = 3, wait: float = 1.0, pause: float = 0.5, readers: int = 4, patience: float = 3600.0) -> DataFrame:
+    """key, record, error: a row for every wanted key but null, from the cache at the path, else fetched by transport(key), at most `readers` at once, and added to it.
+
+    Keys that are refused or go on failing have the error and no record, and aren't cached: the next call asks again.
+    One call at a time fetches for a cache, so that no key is asked for or kept twice; others wait `patience` seconds.
     """
     spark = wanted.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
     schema = f"`{key}` string, record string"
-    cached = spark.read.schema(schema).parquet(cache_path) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], schema)
-    missing = missing_from_cache(wanted.select(F.col(key).cast("string").alias(key)), cached, key)
+    keys = wanted.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        module, _, name = transport.rpartition(".")
-        call = getattr(importlib.import_module(module), name)
+        call = called(transport) if isinstance(transport, str) else transport
         for batch in batches:
             got = []
             for k in batch.column(0).to_pylist():
                 try:
-                    got.append((k, json.dumps(fetch(call, k, tries=tries, wait=wait, pause=pause * readers))))
-                except Exception:
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in got], pa.string()) for n in (0, 1)], names=[key, "record"])
-
-    missing.where(F.col(key).isNotNull()).repartition(readers).mapInArrow(run, schema).write.mode("append").parquet(cache_path)
-    return spark.read.schema(schema).parquet(cache_path).join(wanted.select(F.col(key).cast("string").alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_semi")
+                    got.append((k, json.dumps(fetch(call, k, tries=tries, wait=wait, pause=pause * readers)), None))
+                except Exception as e:
+                    got.append((k, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in got], pa.string()) for n in range(3)], names=[key, "record", "error"])
+
+    with locked(spark, cache_path, patience, stale=24 * patience):
+        there = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+        exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+        cached = spark.read.schema(schema).parquet(cache_path) if exists else spark.createDataFrame([], schema)
+        asked = checkpointed(missing_from_cache(keys, cached, key).repartition(readers).mapInArrow(run, f"{schema}, error string"))
+        asked.where("error is null").select(key, "record").write.mode("append").parquet(cache_path)
+    kept = spark.read.schema(schema).parquet(cache_path).join(keys.withColumnRenamed(key, "__k"), F.col(key) == F.col("__k"), "left_semi")
+    failed = asked.where("error is not null")
+    return kept.dropDuplicates([key]).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def verified(files: DataFrame, content: str, md5: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagewise.operators import recovery, sinks, tasks
-from stagewise.sources import scans
+from stagewise.sources import scans, setlists
 from stagewise.sources.remote import CatalogSource, Refused, fetch, read_through, search, verified
 from stagewise.streaming import station
 
@@ -91,6 +91,47 @@ def test_rewriting_keeps_all_else(spark):
         sinks.rewrite_blocks("[1]", a=1)
 
 
+def fake_setlists(artist, date, asked):
+    """A service that writes down what it is asked; it knows The Band by its plain name only."""
+    with open(asked, "a") as f:
+        f.write(f"{artist}|{date}\n")
+    if artist == "down":
+        raise OSError("no answer")
+    if artist == "The Band!":
+        return None
+    known = [{"venue": {"name": "Fillmore East", "city": {"name": "New York"}}, "n": 1}, {"venue": {"name": "Other Hall", "city": {"name": "Troy"}}, "n": 2}]
+    return {"setlist": known if date == "1970-02-13" else []}
+
+
+def test_setlist_source(spark, tmp_path):
+    asked = tmp_path / "asked"
+    spark.dataSource.register(setlists.SetlistSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+    def read():
+        return spark.read.format("setlists").options(transport="tests.test_sources.fake_setlists", pause="0", wait="0", asked=str(asked)).load()
+
+    got = read().where(F.col("artist").isin("A", "down") & (F.col("date") == "1970-02-13") & (F.col("venue") != "Other Hall"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "artist" in plan and sorted((r.artist, r.pos, r.venue) for r in got.collect()) == [("A", 1, "Fillmore East")]
+    assert sorted(set(asked.read_text().splitlines())) == ["A|1970-02-13", "down|1970-02-13"]
+    errors = read().where("artist = 'down' and date = '1970-02-13' and error is not null").collect()
+    assert [(r.artist, r.error) for r in errors] == [("down", "OSError: no answer")]
+    with pytest.raises(Exception, match="artist"):
+        read().where("date = '1970-02-13'").collect()
+
+
+def test_setlists_of(spark, tmp_path):
+    asked = tmp_path / "asked"
+    shows = spark.createDataFrame([("s1", "A", "1970-02-13", "Fillmore", None), ("s2", "A", "1970-02-13", "?", "Troy"), ("s3", "The Band!", "1970-02-13", "fillmore east!", None), ("s4", "A", "1999-01-01", "X", None), ("s5", "down", "1970-02-13", "X", None), ("s6", None, "1970-02-13", "X", None)], "show string, artist string, date string, venue string, city string")
+    for _ in range(2):
+        got = setlists.setlists_of(shows, str(tmp_path / "cache"), "tests.test_sources.fake_setlists", asked=str(asked), wait=0, pause=0)
+        rows = {r.show: (r.found_venue, r.error) for r in got.collect()}
+        assert rows == {"s1": ("Fillmore East", None), "s2": ("Other Hall", None), "s3": ("Fillmore East", None), "s4": (None, None), "s5": (None, "OSError: no answer"), "s6": (None, None)}
+    counts = {x: asked.read_text().splitlines().count(x) for x in set(asked.read_text().splitlines())}
+    assert counts == {"A|1970-02-13": 1, "The Band!|1970-02-13": 1, "the band|1970-02-13": 1, "A|1999-01-01": 1, "down|1970-02-13": 6}
+
+
 def fake_item(key):
     if key == "bad":
         raise Refused("no such item")
@@ -102,7 +143,7 @@ def test_read_through(spark, tmp_path):
     wanted = spark.createDataFrame([("a",), ("b",), ("b",), ("bad",), (None,)], "id string")
     for _ in range(2):
         got = read_through(wanted, cache, "id", "tests.test_sources.fake_item", wait=0, pause=0)
-        assert sorted((r.id, json.loads(r.record)["id"]) for r in got.collect()) == [("a", "a"), ("b", "b")]
+        assert sorted((r.id, r.record, r.error) for r in got.collect()) == [("a", '{"id": "a"}', None), ("b", '{"id": "b"}', None), ("bad", None, "Refused: no such item")]
     more = spark.createDataFrame([("c",)], "id string")
     assert [r.id for r in read_through(more, cache, "id", "tests.test_sources.fake_item", wait=0, pause=0).collect()] == ["c"]
     assert spark.read.parquet(cache).count() == 3
@@ -112,6 +153,16 @@ def test_read_through(spark, tmp_path):
     assert sorted(r.n for r in good.collect()) == ["x", "z"] and [r.n for r in bad.collect()] == ["y"]
 
 
+def test_read_through_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    cache = str(tmp_path / "cache")
+    wanted = spark.createDataFrame([("a",), ("b",)], "id string")
+    with ThreadPoolExecutor(3) as pool:
+        frames = list(pool.map(lambda _: read_through(wanted, cache, "id", "tests.test_sources.fake_item", wait=0, pause=0), range(3)))
+    assert [f.count() for f in frames] == [2, 2, 2] and spark.read.parquet(cache).count() == 2
+
+
 def test_playlists(spark, tmp_path):
     (tmp_path / "a.m3u").write_text("﻿#EXTM3U\n#EXTINF:12,One\n\na.mp3\nb.mp3\n#EXTINF:3,Web\nhttp://x/y.mp3\n")
     (tmp_path / "b.m3u").write_text("#EXTM3U\n")
@@ -153,6 +204,35 @@ def test_streaming_poll(spark, tmp_path):
     assert [r.key for r in spark.read.parquet(failed).collect()] == ["b"]
 
 
+def test_poll_halves(spark, tmp_path):
+    src, done, failed = (str(tmp_path / x) for x in ("src", "done", "failed"))
+    spark.range(200).select(F.col("id").cast("string").alias("k"), F.when(~F.col("id").isin(17, 99), 1).otherwise(0).alias("n")).coalesce(1).write.json(src)
+    jobs = []
+
+    def work(df):
+        jobs.append(1)
+        return df.select("k", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("bad")).cast("int")).alias("v"))
+
+    station.poll(station.ledger_stream(spark, src, "k string, n int"), work, "k", done, failed, str(tmp_path / "cp")).awaitTermination()
+    assert {r.k for r in spark.read.parquet(done).select("k").collect()} == {str(k) for k in range(200)} - {"17", "99"}
+    assert spark.read.parquet(done).count() == 198 and sorted(r.key for r in spark.read.parquet(failed).collect()) == ["17", "99"]
+    assert len(jobs) < 60  # one by one it was 202
+
+
+def test_latest_stream(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    rows = [("a", "2020-01-01 00:00:10", 1, "x"), ("a", "2020-01-01 00:00:10", 2, "y"), ("a", None, 9, "z"), ("b", "1969-12-31 23:59:59", None, "p"), ("b", "1969-12-31 23:59:59", -5, "q"), ("b", "1969-12-31 23:59:58", 7, "r"), (None, None, None, None), ("c", None, -3, "m"), ("c", None, -4, "n"), ("d", "2020-01-01 00:00:00", 1, "é"), ("d", "2020-01-01 00:00:00", 1, "z")]
+    df = spark.createDataFrame(rows, "k string, at string, pos int, v string").withColumn("at", F.to_timestamp("at"))
+    df.unionByName(df).repartition(3, F.rand(1)).write.parquet(str(tmp_path / "src"))  # every row twice, in any order
+    for idle in (None, 3_600_000):
+        cp, out = (str(tmp_path / f"{x}{idle}") for x in ("cp", "out"))
+        stream = spark.readStream.schema(StructType.fromJson(df.schema.jsonValue())).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        station.latest_stream(stream, "k", ["at", "pos"], "v", idle).writeStream.foreachBatch(lambda b, n, out=out: b.write.mode("overwrite").parquet(f"{out}/n={n}")).outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        got = station.latest_by_key(spark.read.parquet(out), "k", ["at", "pos"], "v")
+        assert set(map(tuple, got.collect())) == set(map(tuple, station.latest_by_key(df, "k", ["at", "pos"], "v").collect())) == {("a", "y"), ("b", "q"), ("c", "m"), ("d", "é"), (None, None)}
+
+
 def test_streaming_windows(spark, tmp_path):
     src = str(tmp_path / "ev")
     rows = [("a", "2020-01-01 00:00:10"), ("a", "2020-01-01 00:00:10"), ("b", "2020-01-01 00:00:50"), ("c", "2020-01-01 00:01:10")]
