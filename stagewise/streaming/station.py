@@ -89,7 +89,8 @@ def latest_stream(rows: DataFrame, key: str, order: Sequence[str], value: str, i
 
     Order columns are compared one after the other, nulls first; of rows that are equal in all of them the greatest value counts, as
     in `latest_by_key`. Rows that come late or again change nothing, whenever they come. State is one row a key; with `idle`, the
-    milliseconds after which a key that isn't seen leaves it, the reader of the rows takes each key's greatest order. Rows without a
+    milliseconds after which a key that isn't seen leaves it, the reader of the rows takes each key's greatest order, and the query
+    runs until it is stopped: with a time-out pending, a trigger of availableNow doesn't end. Rows without a
     key are one key. Order columns and value are strings, integers, dates or timestamps.
     """
     columns = [*order, value]

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,13 +225,25 @@ def test_latest_stream(spark, tmp_path):
 
     rows = [("a", "2020-01-01 00:00:10", 1, "x"), ("a", "2020-01-01 00:00:10", 2, "y"), ("a", None, 9, "z"), ("b", "1969-12-31 23:59:59", None, "p"), ("b", "1969-12-31 23:59:59", -5, "q"), ("b", "1969-12-31 23:59:58", 7, "r"), (None, None, None, None), ("c", None, -3, "m"), ("c", None, -4, "n"), ("d", "2020-01-01 00:00:00", 1, "é"), ("d", "2020-01-01 00:00:00", 1, "z")]
     df = spark.createDataFrame(rows, "k string, at string, pos int, v string").withColumn("at", F.to_timestamp("at"))
-    df.unionByName(df).repartition(3, F.rand(1)).write.parquet(str(tmp_path / "src"))  # every row twice, in any order
+    src = str(tmp_path / "src")
+    df.unionByName(df).repartition(3, F.rand(1)).write.parquet(src)  # every row twice, in any order
+    expected = {("a", "y"), ("b", "q"), ("c", "m"), ("d", "é"), (None, None)}
+    assert set(map(tuple, station.latest_by_key(df, "k", ["at", "pos"], "v").collect())) == expected
     for idle in (None, 3_600_000):
         cp, out = (str(tmp_path / f"{x}{idle}") for x in ("cp", "out"))
-        stream = spark.readStream.schema(StructType.fromJson(df.schema.jsonValue())).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
-        station.latest_stream(stream, "k", ["at", "pos"], "v", idle).writeStream.foreachBatch(lambda b, n, out=out: b.write.mode("overwrite").parquet(f"{out}/n={n}")).outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(StructType.fromJson(df.schema.jsonValue())).option("maxFilesPerTrigger", 1).parquet(src)
+        put = lambda b, n, out=out: b.write.mode("overwrite").parquet(f"{out}/n={n}")
+        writer = station.latest_stream(stream, "k", ["at", "pos"], "v", idle).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", cp)
+        if idle is None:
+            writer.trigger(availableNow=True).start().awaitTermination()
+        else:
+            query = writer.trigger(processingTime="1 second").start()
+            end = time.monotonic() + 90
+            while query.exception() is None and (query.lastProgress is None or query.lastProgress["batchId"] < 3) and time.monotonic() < end:
+                time.sleep(0.5)
+            query.stop()
         got = station.latest_by_key(spark.read.parquet(out), "k", ["at", "pos"], "v")
-        assert set(map(tuple, got.collect())) == set(map(tuple, station.latest_by_key(df, "k", ["at", "pos"], "v").collect())) == {("a", "y"), ("b", "q"), ("c", "m"), ("d", "é"), (None, None)}
+        assert set(map(tuple, got.collect())) == expected
 
 
 def test_streaming_windows(spark, tmp_path):
