@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stagewise.operators import stages
 from stagewise.plans.registry import literal, query, t, values
 from stagewise.shipping import shared_folder
+from stagewise.sources import settings
+from stagewise.streaming import station
 
 ORDER = [*stages.RUN_STAGES, *stages.SHOW_STAGES]
 EDGES = list(zip(ORDER, ORDER[1:], strict=False)) + [("gather", "vet"), ("gather", "brief"), ("select", "package")]
@@ -85,3 +87,37 @@ def resumed_flow(spark, d):
     out = run(2, orders(spark, d))
     finished = out["finished"].select("show_id", (F.col("run") == 2).alias("finished_anew"))
     return out["gather"].select("show_id", "orders", "finished", (F.col("run") == 2).alias("anew")).join(finished, "show_id")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def streamed_dispositions(spark, d):
+    """The latest event of every user, by a stream that meets the events in three batches without order, the last of them again."""
+    root = shared_folder(spark, "dispositions")
+    rows = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    again = rows.where(F.col("event_id") % 5 == 0)
+    rows.unionByName(again).repartition(6, F.xxhash64("event_id", "ts")).write.parquet(f"{root}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/rows")
+    changed = station.latest_stream(stream, "user_id", ["ts", "event_id"], "event_type")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/changed/batch={number}")
+    changed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(changed.schema).parquet(f"{root}/changed")
+    return station.latest_by_key(kept, "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("""SELECT c_custkey AS file, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS name,
+       CASE WHEN c_custkey % 5 IN (0, 3) THEN NULL ELSE c_mktsegment END AS query,
+       CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 3 END AS min_reviews, CASE WHEN c_custkey % 5 IN (0, 2) THEN 1 ELSE c_nationkey END AS count,
+       CASE c_custkey % 5 WHEN 0 THEN 'no TOML' WHEN 2 THEN 'count: no int' WHEN 3 THEN 'criteria.query is missing'
+         ELSE CASE WHEN c_acctbal <= 0 OR c_acctbal > 5000 THEN 'artist_cap isn''t above 0 and up to 1' END END AS error
+FROM customer""")
+def profile_rules(spark, d):
+    """Profiles whose texts are written from customers, some of them with faults, and read back."""
+    kind = F.col("c_custkey") % 5
+    name = F.format_string('name = "%s"\n', "c_name")
+    number = F.concat(F.lit("count = "), F.when(kind == 2, F.lit('"many"')).otherwise(F.col("c_nationkey").cast("string")), F.lit("\n"))
+    words = F.when(kind == 3, F.lit("")).otherwise(F.format_string('query = "%s"\n', "c_mktsegment"))
+    cap = F.concat(F.lit("artist_cap = "), (F.col("c_acctbal") / 5000).cast("decimal(12,8)").cast("string"), F.lit("\n"))
+    text = F.when(kind == 0, F.concat(F.lit('name = "'), F.col("c_name"))).otherwise(F.concat(name, number, F.lit("[criteria]\n"), words, cap))
+    rows = settings.profiles(t(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey")
+    error = F.when(F.startswith("error", F.lit("no TOML")), "no TOML").otherwise(F.col("error"))
+    return rows.select("file", "name", F.col("criteria.query").alias("query"), F.coalesce("criteria.min_reviews", F.lit(0)).alias("min_reviews"), "count", error.alias("error"))
