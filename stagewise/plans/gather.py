@@ -76,8 +76,8 @@ def canonical_setlists(descriptions: DataFrame, shows: DataFrame, targets: DataF
     best = structure.parse_rank(sized(parsed), "show", official=F.lit(False), **rank).select("show", "items", "confidence")
     if service is not None:
         songs = structure.from_setlist_service(service, "show", "sets").withColumns({"normalized": X.normalize_title("title", X.ALIASES), "segue": F.lit(False)})
-        lma = best.select("show", F.posexplode("items").alias("pos", "i")).select("show", "pos", "i.normalized", "i.segue")
-        blended = structure.segue_blend(songs, lma, "show", "normalized", "pos", "segue")
+        said = best.select("show", F.posexplode("items").alias("pos", "i")).select("show", "pos", "i.normalized", "i.segue")
+        blended = structure.segue_blend(songs, said, "show", "normalized", "pos", "segue")
         item = F.struct("pos", "title", "normalized", F.col("set_label").alias("set"), F.col("blended").alias("segue"))
         official = blended.groupBy("show").agg(F.array_sort(F.collect_list(item)).alias("all"))
         official = official.select("show", F.transform("all", lambda x: F.struct(x["title"].alias("title"), x["normalized"].alias("normalized"), x["set"].alias("set"), x["segue"].alias("segue"))).alias("items"), F.lit("high").alias("confidence"))
