@@ -1,6 +1,6 @@
 import pytest
 
-from stagewise.plans import bindings, reruns, shows  # noqa: F401  they register queries
+from stagewise.plans import asked, bindings, reruns, shows  # noqa: F401  they register queries
 from stagewise.plans.registry import QUERIES, SQL
 from tests.conftest import DATA, rows_of
 
