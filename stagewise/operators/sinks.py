@@ -116,6 +116,22 @@ def unsuppress(ledger_path: str, schema: str, key: str, value: str, status: str
     return remove(ledger_path, schema, (F.col(key) == value) & (F.col(status) == REJECTED))
 
 
+def forget_all(ledger_path: str, schema: str, key: str, gone: DataFrame) -> int:
+    """Delete every row of the performances in gone, a frame of one column; returns how many rows."""
+    spark = gone.sparkSession
+    with locked(spark, ledger_path):
+        if not _exists(spark, ledger_path):
+            return 0
+        rows = spark.read.schema(schema).json(ledger_path)
+        named = gone.select(F.col(gone.columns[0]).alias("__gone")).distinct()
+        n = rows.join(named, F.col(key) == F.col("__gone"), "left_semi").count()
+        if n:
+            staged = f"{ledger_path}-new-{uuid.uuid4().hex}"
+            rows.join(named, F.col(key) == F.col("__gone"), "left_anti").write.json(staged)
+            _replace(spark, staged, ledger_path)
+    return n
+
+
 def rewrite_blocks(document: str, **blocks) -> str:
     """A JSON object with exactly these keys replaced, and new ones added at its end; every other character stays as it is."""
     read, blank = json.JSONDecoder(), " \t\r\n"

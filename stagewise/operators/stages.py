@@ -67,6 +67,10 @@ def stale(now: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.select(F.coalesce(key, "__k").alias(key), reason.alias("reason")).where("reason IS NOT NULL")
 
 
+class Moved(Exception):
+    """Another commit came between."""
+
+
 class Kept:
     """A table by key in a folder that all executors share."""
 
@@ -93,13 +97,15 @@ class Kept:
             raise OSError(f"{self.path}: version {version} can't be written")
         return version
 
-    def add(self, done: DataFrame, rows: DataFrame) -> int:
-        """Commit a part: keys with fingerprints (null: the key is forgotten) and their rows; returns the version."""
+    def add(self, done: DataFrame, rows: DataFrame, after: int | None = None) -> int:
+        """Commit a part: keys with fingerprints (null: the key is forgotten) and their rows; returns the version. With `after`, only as the next version behind that."""
         part = uuid.uuid4().hex
         done.write.parquet(f"{self.path}/parts/{part}/done")
         rows.write.parquet(f"{self.path}/parts/{part}/rows")
         with locked(self.spark, self.path):
             last = max(self.versions(), default=None)
+            if after is not None and after != last:
+                raise Moved(f"{self.path} is at version {last}, not {after}")
             return self._publish([*(self.commit(last)["parts"] if last else []), part])
 
     def _latest(self, parts: list[str]) -> DataFrame:

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stagewise.operators import stages
+from stagewise.operators import removals, stages
 from stagewise.plans.registry import literal, query, t, values
-from stagewise.shipping import shared_folder
+from stagewise.shipping import checkpointed, shared_folder
 from stagewise.sources import settings
 from stagewise.streaming import station
 
@@ -121,3 +121,51 @@ def profile_rules(spark, d):
     rows = settings.profiles(t(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey")
     error = F.when(F.startswith("error", F.lit("no TOML")), "no TOML").otherwise(F.col("error"))
     return rows.select("file", "name", F.col("criteria.query").alias("query"), F.coalesce("criteria.min_reviews", F.lit(0)).alias("min_reviews"), "count", error.alias("error"))
+
+
+#: Orders as shows to remove: what becomes of their history, and the state, in turn.
+FATES, KINDS = [removals.UNTOUCHED, removals.FORGET, removals.SUPPRESS, "burn"], ["held", "ready", "packaged", "delivered", "ready"]
+LEDGER = "performance string, status string, pos long"
+
+
+def shelf(spark, d):
+    """A library of the even orders, a ledger that knows all orders, and the wish to remove two of three orders."""
+    root = shared_folder(spark, "shelf")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select("o_orderkey", F.when(k % 11 > 0, F.concat(F.lit("p"), k.cast("string"))).alias("performance"), pick(KINDS, k).alias("state"), pick(FATES, F.floor(k / 3)).alias("fate"), "o_totalprice")
+    table = stages.Kept(spark, f"{root}/shows", "o_orderkey")
+    held = o.where(k % 2 == 0)
+    table.add(stages.fingerprints("o_orderkey", [held]), held)
+    o.where("performance is not null").select("performance", F.lit("selected").alias("status"), k.alias("pos")).write.json(f"{root}/ledger")
+    return o, table, f"{root}/ledger", o.where(k % 3 > 0)
+
+
+WISHES = f"""o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN 'p' || o_orderkey END AS performance, {literal(KINDS)}[CAST(o_orderkey % {len(KINDS)} + 1 AS INT)] AS state, {literal(FATES)}[CAST(o_orderkey // 3 % {len(FATES)} + 1 AS INT)] AS fate FROM orders),
+plan AS (SELECT *, CASE WHEN state = 'held' THEN 'held' WHEN o_orderkey % 2 > 0 THEN 'not in the library' WHEN fate = 'burn' THEN 'unknown fate' WHEN fate <> 'untouched' AND performance IS NULL THEN 'no performance' END AS refusal FROM o WHERE o_orderkey % 3 > 0)"""
+
+
+@query(f"WITH {WISHES} SELECT o_orderkey, performance, fate, refusal FROM plan")
+def removal_plan(spark, d):
+    """What would be removed, what becomes of its history, and what is refused, without a change."""
+    _, table, _, wish = shelf(spark, d)
+    return removals.removal_plan(wish, table, "performance", "state", F.col("fate")).select("o_orderkey", "performance", "fate", "refusal")
+
+
+@query(f"""WITH {WISHES}
+SELECT o.o_orderkey, o.o_orderkey % 2 = 0 AND NOT (p.o_orderkey IS NOT NULL AND refusal IS NULL AND o.o_orderkey % 7 > 0) AS on_shelf,
+  CASE WHEN refusal IS NOT NULL THEN refusal WHEN o.o_orderkey % 7 = 0 AND p.o_orderkey IS NOT NULL THEN 'changed since the plan' WHEN p.o_orderkey IS NOT NULL THEN 'removed' END AS outcome,
+  CASE WHEN o.performance IS NULL THEN '' WHEN p.o_orderkey IS NULL OR refusal IS NOT NULL OR o.o_orderkey % 7 = 0 OR o.fate = 'untouched' THEN 'selected' WHEN o.fate = 'forget' THEN '' ELSE 'rejected,selected' END AS history
+FROM o LEFT JOIN plan p ON p.o_orderkey = o.o_orderkey""")
+def removed_shows(spark, d):
+    """The library and the ledger after a plan was applied, twice; every seventh order changed between plan and application."""
+    o, table, ledger, wish = shelf(spark, d)
+    plan = checkpointed(removals.removal_plan(wish, table, "performance", "state", F.col("fate")))
+    moved = table.rows().where("o_orderkey % 7 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    table.add(stages.fingerprints("o_orderkey", [moved]), moved)
+    outcome = removals.apply_removals(plan, table, ledger, LEDGER, "performance", "status", "pos")
+    removals.apply_removals(plan, table, ledger, LEDGER, "performance", "status", "pos")
+    left = table.rows().select(F.col("o_orderkey").alias("__l"))
+    said = spark.read.schema(LEDGER).json(ledger).groupBy(F.col("performance").alias("__p")).agg(F.array_join(F.array_sort(F.collect_list("status")), ",").alias("history"))
+    rows = o.join(left, F.col("o_orderkey") == F.col("__l"), "left").join(outcome, "o_orderkey", "left").join(said, F.col("performance") == F.col("__p"), "left")
+    return rows.select("o_orderkey", F.col("__l").isNotNull().alias("on_shelf"), "outcome", F.coalesce("history", F.lit("")).alias("history"))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from stagewise.operators.sinks import locked
 from stagewise.shipping import checkpointed
@@ -68,8 +68,53 @@ class CatalogReader(DataSourceReader):
                 return
 
 
+class Span(InputPartition):
+    """What came to a query's feed behind one cursor, up to another."""
+
+    def __init__(self, query: str, start: str | None, end: str) -> None:
+        self.query, self.start, self.end = query, start, end
+
+
+class CatalogStreamReader(DataSourceStreamReader):
+    """Feeds that only grow, read as they grow. The offset is each query's cursor, so a restart goes on where the last batch ended, and a batch that is
+    replayed reads what it read before.
+
+    Options head: a function (query) -> the cursor of the feed's end, null where it is empty; transport: (query, cursor, end) -> (rows, next cursor),
+    rows behind the cursor (null: from the beginning) in pages, none of them behind `end`, which is the last page's next cursor.
+    A query that is new at a restart starts at its beginning; one that is left out for a while does so, too.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.queries = json.loads(options.get("queries", '[""]'))
+        self.transport, self.head = options["transport"], options["head"]
+        self.fetching = {"tries": int(options.get("tries", 5)), "wait": float(options.get("wait", 2)), "pause": float(options.get("pause", 0.5))}
+        self.reading = self.fetching | {"pause": self.fetching["pause"] * max(1, min(len(self.queries), int(options.get("readers", len(self.queries)))))}
+
+    def initialOffset(self) -> dict:
+        return {q: None for q in self.queries}
+
+    def latestOffset(self) -> dict:
+        call = called(self.head)
+        return {q: fetch(call, q, **self.fetching) for q in self.queries}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Span(q, start.get(q), cursor) for q, cursor in end.items() if cursor is not None and cursor != start.get(q)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        call, cursor = called(self.transport), partition.start
+        while cursor != partition.end:
+            rows, cursor = fetch(call, partition.query, cursor, partition.end, **self.reading)
+            for row in rows:
+                yield (partition.query, json.dumps(row))
+            if cursor is None:
+                raise LookupError(f"the feed of {partition.query!r} ends before {partition.end}: it has lost rows")
+
+
 class CatalogSource(DataSource):
-    """spark.dataSource.register(CatalogSource); spark.read.format("catalog").options(transport=..., queries='["a", "b"]').load()"""
+    """spark.dataSource.register(CatalogSource); spark.read.format("catalog").options(transport=..., queries='["a", "b"]').load()
+
+    As a stream, with the option head: spark.readStream.format("catalog").options(transport=..., head=...).load() (CatalogStreamReader).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -81,6 +126,9 @@ class CatalogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return CatalogReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CatalogStreamReader(self.options)
+
 
 def search(spark: SparkSession, transport: Callable, query: str, rows: int = 500, **options) -> DataFrame:
     """(query, record) of the first page that a query finds, `rows` at most."""
