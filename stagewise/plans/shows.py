@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as X
@@ -15,6 +16,7 @@ from stagewise.functions.titles import ALIASES, FILLER_STEMS, FILLER_WORDS, SHOR
 from stagewise.operators import catalog, files, guards, manifest, recovery, structure
 from stagewise.operators import library as shelf
 from stagewise.plans import gather as gathering
+from stagewise.plans.bindings import LINES
 from stagewise.plans.registry import literal, query, t, values
 
 
@@ -246,34 +248,26 @@ def filler(spark, d):
     return t(spark, d, "part").select("p_partkey", title.alias("title")).select("p_partkey", "title", X.is_filler("title").alias("filler"))
 
 
-#: Songs that prose asserts of a show with the tracks below, and whether they are known.
-TRACKLIST = ["China Cat Sunflower", "I Know You Rider", "Caution (Do Not Step on Tracks)", "Saturday Night", "Franklin's Tower", "El Paso", "Scarlet Begonias > Fire on the Mountain", "Me, Myself and I"]
-ASSERTED = [
-    ("China Cat Sunflower > I Know You Rider", True),
-    ("China Cat > Rider", True),
-    ("China Cat -> Dark Star", False),
-    ("El Paso, Franklin's Tower", True),
-    ("El Paso, Franklin’s Tower", False),
-    ("Caution", True),
-    ("One More Saturday Night", True),
-    ("Scarlet Begonias > Fire on the Mountain", True),
-    ("Fire on the Mountain", True),
-    ("Me, Myself and I", True),
-    ("Me, Myself", True),
-    ("Morning Dew", False),
-    ("El Paso > ", True),
-    ("Dark Star, El Paso", False),
-    ("El", True),
-    ("Elpaso", False),
-    ("?!", False),
-]
+#: What prose asserts of an order: its parts, chains and lists of them with other parts, other parts alone; what is known are the parts of its odd lines.
+ASSERTED = f"""{LINES}, a AS (SELECT l_orderkey, l_linenumber % 4 AS kind, l_linenumber % 2 = 1 AS sure, p.p_name AS one, q.p_name AS two FROM li JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = (l_partkey + k) % (SELECT count(*) FROM part)),
+known AS (SELECT DISTINCT l_orderkey, one AS name FROM a WHERE sure)"""
 
 
-@query(f"SELECT conv_id AS show, count(*) AS asserted, count(*) FILTER (WHERE NOT expected) AS unknown, array_to_string(coalesce(list_sort(list(song) FILTER (WHERE NOT expected)), []), '; ') AS names, count(*) FILTER (WHERE NOT expected) >= 2 AND count(*) FILTER (WHERE NOT expected) * 3 > count(*) AS flagged FROM conversations JOIN {values('i, song, expected', [(k, *r) for k, r in enumerate(ASSERTED)])} ON i = (conv_id * 3 + turn * 5) % {len(ASSERTED)} GROUP BY conv_id")
+@query(f"""WITH {ASSERTED}, b AS (
+  SELECT a.l_orderkey, CASE kind WHEN 0 THEN one || ' > ' || two WHEN 1 THEN one WHEN 2 THEN one || ', ' || two ELSE two END AS song,
+    NOT ((kind = 3 OR x.name IS NOT NULL) AND (kind = 1 OR y.name IS NOT NULL)) AS odd
+  FROM a LEFT JOIN known x ON x.l_orderkey = a.l_orderkey AND x.name = one LEFT JOIN known y ON y.l_orderkey = a.l_orderkey AND y.name = two)
+SELECT l_orderkey, count(*) AS asserted, count(*) FILTER (WHERE odd) AS unknown, coalesce(string_agg(song, '; ' ORDER BY song) FILTER (WHERE odd), '') AS names, count(*) FILTER (WHERE odd) >= 2 AND count(*) FILTER (WHERE odd) * 3 > count(*) AS flagged FROM b GROUP BY 1""")
 def grounding_flags(spark, d):
-    c = t(spark, d, "conversations").withColumn("i", ((F.col("conv_id") * 3 + F.col("turn") * 5) % len(ASSERTED)).cast("int")).join(dealt(spark, ASSERTED, "song string, expected boolean"), "i")
-    facts = c.select("conv_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in TRACKLIST], "known string")))
-    got = guards.grounding_flags(c.select(F.col("conv_id").alias("show"), "song"), facts.withColumnRenamed("conv_id", "show"), "show", "song", "known")
+    from stagewise.plans.bindings import lines
+
+    part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("one"))
+    n = part.count()
+    rows = lines(spark, d).withColumns({"kind": F.col("l_linenumber") % 4, "at": (F.col("l_partkey") + F.col("k")) % n}).join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    rows = rows.join(part.select("p_partkey", F.col("one").alias("two")), F.col("at") == F.col("p_partkey"))
+    kind = F.col("kind")
+    song = F.when(kind == 0, F.concat_ws(" > ", "one", "two")).when(kind == 1, F.col("one")).when(kind == 2, F.concat_ws(", ", "one", "two")).otherwise(F.col("two"))
+    got = guards.grounding_flags(rows.select("l_orderkey", song.alias("song")), rows.where("kind % 2 = 1").select("l_orderkey", "one"), "l_orderkey", "song", "one")
     return got.withColumn("names", F.array_join("names", "; "))
 
 
@@ -349,52 +343,55 @@ def venue_equivalence(spark, d):
     return recovery.venue_mismatches(e, "event_id", "a", "b")
 
 
-#: Descriptions, the confidence of what is read from them, and their songs: title, set, segue.
-DESCRIPTIONS = [
-    ("Set 1: Bertha > Sugaree, Deal<br>Set 2: Drums -> Space; Truckin'<br/>Encore: One More", "high", [("Bertha", "1", True), ("Sugaree", "1", False), ("Deal", "1", False), ("Drums", "2", True), ("Space", "2", False), ("Truckin'", "2", False), ("One More", "encore", False)]),
-    ("Recorded by me\nFirst Set:\n1. Bertha\n2. Deal\n3. 100 Years\nSecond Set - electric\n4. Ripple &amp; Roll\nE: Blues", "high", [("Bertha", "1", False), ("Deal", "1", False), ("Years", "1", False), ("Ripple & Roll", "2", False), ("Blues", "encore", False)]),
-    ("Bertha\nDeal *\nSource: SBD\nd1t04 Ripple\nt05 - Jam\nAlthea\n[4:05]\nDisc 2\nTotal time 70:00", "medium", [("Bertha", "1", False), ("Deal", "1", False), ("Ripple", "1", False), ("Jam", "1", False), ("Althea", "1", False)]),
-    ("A, B, C, D, E\nEncore: F", "high", [("A", "1", False), ("B", "1", False), ("C", "1", False), ("D", "1", False), ("E", "1", False), ("F", "encore", False)]),
-    ("Too few, Songs here\n--Set II: G > H", "low", [("G", "2", True), ("H", "2", False)]),
-    ("Late Set: A1, B1 Set 2: C1, D1 E: E1, F1", "high", [("A1", "1", False), ("B1", "1", False), ("C1", "2", False), ("D1", "2", False), ("E1", "encore", False), ("F1", "encore", False)]),
-    ("Jerry Garcia - guitar, vocals\nPhil Lesh: bass & lead vocals; Bob - rhythm guitar\nAlpha, Beta, Gamma, Delta, Guitar Man", "medium", [("Alpha", "1", False), ("Beta", "1", False), ("Gamma", "1", False), ("Delta", "1", False), ("Guitar Man", "1", False)]),
-    ("", "low", []),
-    (None, "low", []),
-    ("3rd set\n1952 Vincent Black Lightning", "low", [("1952 Vincent Black Lightning", "3", False)]),
-]
+#: An order's lines as a setlist: three songs, two songs, the rest an encore; every other song runs into the next of its set.
+SETLIST = f"""{LINES}, w AS (SELECT l_orderkey, k, p_name, CASE WHEN k <= 3 THEN '1' WHEN k <= 5 THEN '2' ELSE 'encore' END AS label, l_quantity, lead(p_name) OVER (PARTITION BY l_orderkey ORDER BY k) AS next_name, lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY k) AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li JOIN part ON p_partkey = l_partkey),
+songs AS (SELECT *, k % 2 = 1 AND k < n AND k NOT IN (3, 5) AS segue FROM w)"""
 
 
-def written(items) -> str:
-    return "; ".join(f"{title} [{label}]{' >' if segue else ''}" for title, label, segue in items)
+def setlists(spark, d):
+    """l_orderkey, k, p_name, label, segue, l_quantity, n of the orders' setlists."""
+    from stagewise.plans.bindings import lines
 
+    k = F.col("k")
+    rows = lines(spark, d).join(t(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.withColumns({"label": F.when(k <= 3, "1").when(k <= 5, "2").otherwise("encore"), "n": F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))})
+    return rows.withColumn("segue", (k % 2 == 1) & (k < F.col("n")) & ~k.isin(3, 5)).select("l_orderkey", "k", "p_name", "label", "segue", "l_quantity", "n")
 
-@query(f"SELECT doc_id, expected AS songs, trust AS confidence FROM documents JOIN {values('i, expected, trust', [(k, written(items), trust) for k, (_, trust, items) in enumerate(DESCRIPTIONS)])} ON i = doc_id % {len(DESCRIPTIONS)}")
+
+@query(f"""WITH {SETLIST}, s AS (SELECT l_orderkey, string_agg(p_name || ' [' || label || ']' || CASE WHEN segue THEN ' >' ELSE '' END, '; ' ORDER BY k) AS songs, count(*) AS n FROM songs GROUP BY 1)
+SELECT doc_id, coalesce(songs, '') AS songs, CASE WHEN coalesce(n, 0) < 5 THEN 'low' ELSE 'high' END AS confidence FROM documents LEFT JOIN s ON l_orderkey = doc_id""")
 def parse_setlist(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", (F.col("doc_id") % len(DESCRIPTIONS)).cast("int").alias("i")).join(dealt(spark, [r[:1] for r in DESCRIPTIONS], "said string"), "i")
-    got = recovery.parse_setlists(docs, "doc_id", "said")
+    """Setlists that stand behind the whole texts of documents, which are prose without songs, in the ways descriptions are written."""
+    song = lambda x: F.concat(x["p_name"], F.when(x["last"], "").when(x["segue"], " > ").otherwise(", "))
+    rows = setlists(spark, d).withColumn("last", (F.col("k") == F.col("n")) | F.col("k").isin(3, 5))
+    all_of = F.array_sort(F.collect_list(F.struct("k", "p_name", "label", "segue", "last")))
+    named = lambda label: F.array_join(F.transform(F.filter("all", lambda x: x["label"] == label), song), "")
+    block = lambda head, label: F.when(F.exists("all", lambda x: x["label"] == label), F.concat(F.lit(head), named(label)))
+    said = rows.groupBy("l_orderkey").agg(all_of.alias("all")).select("l_orderkey", F.concat_ws("<br>", block("Set 1: ", "1"), block("2nd set - ", "2"), block("E: ", "encore")).alias("list"))
+    docs = t(spark, d, "documents").select("doc_id", "text").join(said, F.col("doc_id") == F.col("l_orderkey"), "left")
+    got = recovery.parse_setlists(docs.select("doc_id", F.when(F.col("list").isNotNull(), F.concat_ws("\n", "text", "list")).alias("said")), "doc_id", "said")
     line = F.transform("items", lambda x: F.concat(x["title"], F.lit(" ["), x["set"], F.lit("]"), F.when(x["segue"], " >").otherwise("")))
     return got.select("doc_id", F.array_join(line, "; ").alias("songs"), "confidence")
 
 
-#: A setlist (title, set, segue), a tape's titles, and each track's set, segue and whether it is matched; its coverage and what no track takes.
-TAPES = [
-    ([("Bertha", "1", False), ("Deal", "1", False), ("Drums", "2", True), ("Jam", "2", False), ("Blues", "encore", False)], ["Tuning", "Bertha", "Deal", "Drumz", "Space", "E: Blues"], [("1", False, False), ("1", False, True), ("1", False, True), ("1", False, False), ("2", False, True), ("encore", False, True)], 0.8, ["Drums"]),
-    ([("China Cat Sunflower", "1", True), ("I Know You Rider", "1", False), ("Ripple", "2", False), ("Althea (5:00)", "2", False), ("Deal", "2", True)], ["China Cat > Rider", "01 Ripple", "02) Nothing", "Althea", "[05:20] Deal"], [("1", False, True), ("2", False, True), ("2", False, False), ("2", False, True), ("2", True, True)], 0.8, []),
-    ([("Alpha One", "1", False), ("Beta", "1", True), ("Gamma", "2", False)], ["Gamma", "Beta"], [("2", False, True), ("2", False, False)], 0.5, ["Alpha One", "Beta"]),
-    ([], ["Alone", "Crowd"], [("1", False, False), ("1", False, False)], 0.0, []),
-    ([("Lovelight", "1", False), ("Turn On Your Love Light", "2", False)], ["Turn on your Lovelight", "Love Light"], [("2", False, True), ("2", False, False)], 0.5, ["Lovelight"]),
-]
-
-
-@query(f"SELECT conv_id, idx, label AS set_label, segue, matched, coverage, array_to_string(left_out, '; ') AS conflicts FROM (SELECT DISTINCT conv_id FROM conversations) JOIN {values('i, idx, label, segue, matched, coverage, left_out', [(k, n, *x, cover, rest or ['']) for k, (_, _, got, cover, rest) in enumerate(TAPES) for n, x in enumerate(got, 1)])} ON i = conv_id % {len(TAPES)}")
+@query(f"""WITH RECURSIVE {SETLIST}, b AS (
+  SELECT l_orderkey, list(p_name ORDER BY k) AS items, list(label ORDER BY k) AS labels, list(segue ORDER BY k) AS segues,
+    list(CASE WHEN l_quantity > 40 AND next_name IS NOT NULL THEN next_name ELSE p_name END ORDER BY k) FILTER (WHERE l_quantity > 10) AS tracks FROM songs GROUP BY 1),
+r AS (
+  SELECT *, 0 AS j, 0 AS pos, CAST(NULL AS INT) AS hit, '1' AS label, false AS segue FROM b WHERE tracks IS NOT NULL
+  UNION ALL SELECT l_orderkey, items, labels, segues, tracks, j + 1, coalesce(h + 1, pos), h, coalesce(labels[h + 1], label), coalesce(segues[h + 1], false) FROM (
+    SELECT *, CASE WHEN p > 0 AND NOT (p > 7 AND len(items) - (pos + p - 1) <= 3 AND len(tracks) - j >= 3) THEN CAST(pos + p - 1 AS INT) END AS h FROM (
+      SELECT *, list_position(items[pos + 1 : pos + 9], tracks[j + 1]) AS p FROM r WHERE j < len(tracks)))),
+hits AS (SELECT l_orderkey, list(hit) FILTER (WHERE hit IS NOT NULL) AS hits FROM r GROUP BY 1)
+SELECT l_orderkey, CAST(j AS BIGINT) AS idx, label AS set_label, segue, hit IS NOT NULL AS matched, round(avg(CAST(hit IS NOT NULL AS INT)) OVER (PARTITION BY l_orderkey), 9) AS coverage,
+  array_to_string(list_transform(list_filter(range(len(items)), lambda x: NOT list_contains(coalesce(hits, []), CAST(x AS INT))), lambda x: items[x + 1]), '; ') AS conflicts
+FROM r JOIN hits USING (l_orderkey) WHERE j > 0""")
 def align_tracks(spark, d):
-    shows = t(spark, d, "conversations").select("conv_id").distinct().withColumn("i", (F.col("conv_id") % len(TAPES)).cast("int"))
-    a = dealt(spark, [(titles,) for _, titles, *_ in TAPES], "titles array<string>")
-    b = dealt(spark, [(items,) for items, *_ in TAPES], "items array<struct<title:string,label:string,segue:boolean>>")
-    own = shows.join(a, "i").select("conv_id", F.posexplode("titles").alias("idx", "title")).withColumn("idx", F.col("idx") + 1)
-    listed = shows.join(b, "i").select("conv_id", F.posexplode("items").alias("position", "x")).select("conv_id", "position", "x.*")
-    got = recovery.align_tracks(own, listed, "conv_id", "idx", "title", "position", "title", "label", "segue")
-    return got.select("conv_id", "idx", "set_label", "segue", "matched", "coverage", F.array_join("conflicts", "; ").alias("conflicts"))
+    """An order's setlist against a tape that lacks some of its songs and takes others out of turn."""
+    rows = setlists(spark, d).withColumn("next", F.lead("p_name").over(Window.partitionBy("l_orderkey").orderBy("k")))
+    tape = rows.where("l_quantity > 10").select("l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("k")).alias("idx"), F.when((F.col("l_quantity") > 40) & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("p_name")).alias("title"))
+    got = recovery.align_tracks(tape, rows, "l_orderkey", "idx", "title", "k", "p_name", "label", "segue")
+    return got.select("l_orderkey", "idx", "set_label", "segue", "matched", F.round("coverage", 9).alias("coverage"), F.array_join("conflicts", "; ").alias("conflicts"))
 
 
 def _files(case: int) -> list[tuple]:
@@ -559,30 +556,28 @@ def inventory_semi_join(spark, d):
     return catalog.in_inventory(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-DATES = [
-    ("1977-5-8", "1977-05-08"),
-    ("5/8/77", "1977-05-08"),
-    ("5/8/1977", "1977-05-08"),
-    ("5/8/29", "2029-05-08"),
-    ("5/8/30", "1930-05-08"),
-    ("Sunday, May 8th, 1977", "1977-05-08"),
-    ("Sun. May 8 '77", "1977-05-08"),
-    ("8 May 1977", "1977-05-08"),
-    ("the 8th of May", None),
-    ("8th Sept 77", "1977-09-08"),
-    ("December 2", "--12-02"),
-    ("2nd Dec.", "--12-02"),
-    ("12/2", "--12-02"),
-    ("Thurs Jan 1 1970", "1970-01-01"),
-    ("Ma 3 1970", None),
-    ("Mayhem 3 1970", None),
-    ("1977", None),
-    ("", None),
-    (None, None),
+#: Ways to write an order's date, in the pattern letters of Spark and of SQL, and what is read: all of it (d), month and day (m), nothing.
+SPELLINGS = [
+    ("yyyy-M-d", "%Y-%-m-%-d", "d"),
+    ("M/d/yy", "%-m/%-d/%y", "d"),
+    ("M/d/yyyy", "%-m/%-d/%Y", "d"),
+    ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y", "d"),
+    ("EEE. MMM d ''yy", "%a. %b %-d '%y", "d"),
+    ("d MMMM yyyy", "%-d %B %Y", "d"),
+    ("MMMM d", "%B %-d", "m"),
+    ("d MMM.", "%-d %b.", "m"),
+    ("M/d", "%-m/%-d", "m"),
+    ("'the' d 'of' MMMM", "the %-d of %B", ""),
+    ("yyyy", "%Y", ""),
 ]
 
 
-@query(f"SELECT event_id, said, expected AS date FROM events JOIN {values('i, said, expected', [(k, *r) for k, r in enumerate(DATES)])} ON i = event_id % {len(DATES)}")
+@query(f"""WITH k AS (SELECT *, o_orderkey % {len(SPELLINGS)} AS shape FROM orders)
+SELECT o_orderkey, CASE shape {' '.join(f"WHEN {k} THEN strftime(o_orderdate, {literal(sql)})" for k, (_, sql, _) in enumerate(SPELLINGS))} END AS said,
+  CASE {literal([r for *_, r in SPELLINGS])}[CAST(shape + 1 AS INT)] WHEN 'd' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'm' THEN strftime(o_orderdate, '--%m-%d') END AS date FROM k""")
 def date_spellings(spark, d):
-    e = t(spark, d, "events").withColumn("i", (F.col("event_id") % len(DATES)).cast("int")).join(dealt(spark, DATES, "said string, expected string"), "i")
-    return e.select("event_id", "said", X.normalize_date("said").alias("date"))
+    day = F.col("o_orderdate").cast("timestamp")
+    said = F.lit(None).cast("string")
+    for k, (pattern, *_) in enumerate(SPELLINGS):
+        said = F.when(F.col("o_orderkey") % len(SPELLINGS) == k, F.date_format(day, pattern)).otherwise(said)
+    return t(spark, d, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", "said", X.normalize_date("said").alias("date"))
