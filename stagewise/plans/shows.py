@@ -249,14 +249,15 @@ def filler(spark, d):
 
 
 #: What prose asserts of an order: its parts, chains and lists of them with other parts, other parts alone; what is known are the parts of its odd lines.
-ASSERTED = f"""{LINES}, a AS (SELECT l_orderkey, l_linenumber % 4 AS kind, l_linenumber % 2 = 1 AS sure, p.p_name AS one, q.p_name AS two FROM li JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = (l_partkey + k) % (SELECT count(*) FROM part)),
-known AS (SELECT DISTINCT l_orderkey, one AS name FROM a WHERE sure)"""
+ASSERTED = f"""{LINES}, parts AS (SELECT list(p_name ORDER BY p_partkey) AS every FROM part),
+a AS (SELECT l_orderkey, l_linenumber % 4 AS kind, l_linenumber % 2 = 1 AS sure, every[l_partkey + 1] AS one, every[(l_partkey + k) % len(every) + 1] AS two FROM li, parts),
+known AS (SELECT l_orderkey, coalesce(list(DISTINCT one) FILTER (WHERE sure), []) AS names FROM a GROUP BY 1)"""
 
 
 @query(f"""WITH {ASSERTED}, b AS (
-  SELECT a.l_orderkey, CASE kind WHEN 0 THEN one || ' > ' || two WHEN 1 THEN one WHEN 2 THEN one || ', ' || two ELSE two END AS song,
-    NOT ((kind = 3 OR x.name IS NOT NULL) AND (kind = 1 OR y.name IS NOT NULL)) AS odd
-  FROM a LEFT JOIN known x ON x.l_orderkey = a.l_orderkey AND x.name = one LEFT JOIN known y ON y.l_orderkey = a.l_orderkey AND y.name = two)
+  SELECT l_orderkey, CASE kind WHEN 0 THEN one || ' > ' || two WHEN 1 THEN one WHEN 2 THEN one || ', ' || two ELSE two END AS song,
+    NOT ((kind = 3 OR list_contains(names, one)) AND (kind = 1 OR list_contains(names, two))) AS odd
+  FROM a JOIN known USING (l_orderkey))
 SELECT l_orderkey, count(*) AS asserted, count(*) FILTER (WHERE odd) AS unknown, coalesce(string_agg(song, '; ' ORDER BY song) FILTER (WHERE odd), '') AS names, count(*) FILTER (WHERE odd) >= 2 AND count(*) FILTER (WHERE odd) * 3 > count(*) AS flagged FROM b GROUP BY 1""")
 def grounding_flags(spark, d):
     from stagewise.plans.bindings import lines
