@@ -72,6 +72,22 @@ DATES = [
     (None, None),
 ]
 
+VENUES = [
+    ("RFK Stadium", "Robert F. Kennedy Stadium", True),
+    ("The Capitol Theatre", "Capitol Theater", True),
+    ("Winterland", "Winterland Arena, San Francisco", True),
+    ("Univ of Oregon Gym", "University of Oregon Gymnasium", True),
+    ("MSG", "Madison Square Garden", True),
+    ("MS Garden", "Madison Square Garden", True),
+    ("Main St", "Main State", True),
+    ("Winterland", "Fillmore West", False),
+    ("MSGX", "Madison Square Garden", False),
+    ("R2 Hall", "Red 2 Hall", False),
+    ("The", "", True),
+    ("", None, True),
+    ("Winterland", None, False),
+]
+
 
 def numbered(spark, rows, columns):
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + columns)
@@ -98,3 +114,8 @@ def test_tapes(spark):
 def test_dates(spark):
     got = numbered(spark, DATES, "said string, want string").withColumn("got", X.normalize_date(F.col("said"))).collect()
     assert [r.got for r in got] == [want for _, want in DATES]
+
+
+def test_venues(spark):
+    got = recovery.venue_mismatches(numbered(spark, [r[:2] for r in VENUES], "a string, b string"), "k", "a", "b").orderBy("k").collect()
+    assert [r.equivalent for r in got] == [x for *_, x in VENUES]
