@@ -288,23 +288,6 @@ def set_count_claims(spark, d):
     return docs.select("doc_id", F.array_join(guards.set_count_claims(F.col("said")).cast("array<string>"), ",").alias("claims"))
 
 
-#: prose, sets with an intro, the show's sets, songs mentioned, its tracks, whether it must stay vague, and what is wrong.
-SCRIPTS = [
-    ("Two sets tonight.", ["1", "2"], ["1", "1", "2", "encore"], ["bertha"], ["Bertha", "Deal"], False, []),
-    ("Three sets, and the third set burns.", ["1", "2"], ["1", "2"], [], ["Bertha"], False, ["claims 3 sets", "mentions a third set"]),
-    ("Enjoy.", ["1", "encore"], ["1", "2", "encore"], ["Dark Star", "NFA"], ["Not Fade Away"], False, ["unknown song: Dark Star", "no such set to introduce: encore", "no intro of sets: 2"]),
-    ("Two sets; the second set is fine.", ["1", "2"], ["1", "2"], ["Bertha"], ["Bertha"], True, ["vague, but names Bertha", "vague, but claims 2 sets", "vague, but mentions a second set"]),
-    ("A fourth set and a second set.", ["1"], ["1"], [], [], False, ["mentions a second set", "mentions a fourth set"]),
-]
-
-
-@query(f"SELECT conv_id, array_to_string(expected, '; ') AS problems FROM (SELECT DISTINCT conv_id FROM conversations) JOIN {values('i, expected', [(k, r[-1]) for k, r in enumerate(SCRIPTS)])} ON i = conv_id % {len(SCRIPTS)}")
-def script_guard(spark, d):
-    cases = dealt(spark, [r[:-1] for r in SCRIPTS], "prose string, intros array<string>, sets array<string>, mentioned array<string>, known array<string>, vague boolean")
-    c = t(spark, d, "conversations").select("conv_id").distinct().withColumn("i", (F.col("conv_id") % len(SCRIPTS)).cast("int")).join(cases, "i")
-    return c.select("conv_id", F.array_join(guards.script_guard(*[F.col(x) for x in ("prose", "intros", "sets", "mentioned", "known", "vague")]), "; ").alias("problems"))
-
-
 @query(f"""WITH {TRACKS}, n AS (SELECT conv_id, turn, title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM tracks),
 ok AS (SELECT * FROM n WHERE conv_id % 4 <> 1 AND conv_id % 4 <> 2),
 m AS (SELECT *, turn % 3 <> 0 AS matched, NOT regexp_matches(lower(title), 'tuning|crowd|banter') AS song FROM ok)
@@ -388,6 +371,32 @@ def align_tracks(spark, d):
     return got.select("l_orderkey", "idx", "set_label", "segue", "matched", F.round("coverage", 9).alias("coverage"), F.array_join("conflicts", "; ").alias("conflicts"))
 
 
+#: Numbers and ordinals that a script says.
+COUNTS, PLACES = ["Two", "Three", "Four"], ["second", "third", "fourth"]
+
+
+@query(f"""WITH {SETLIST}, parts AS (SELECT list(p_name ORDER BY p_partkey) AS every FROM part),
+x AS (SELECT l_orderkey AS o, coalesce(list_sort(list(DISTINCT label) FILTER (WHERE label <> 'encore')), []) AS own, list(DISTINCT p_name) AS known, arg_min(p_name, k) AS first FROM songs GROUP BY 1),
+y AS (SELECT *, len(own) AS n, [first, every[(o * 5 + 1) % len(every) + 1]] AS said, CASE o % 3 WHEN 0 THEN ['1'] WHEN 1 THEN ['1', '2'] ELSE ['1', 'encore'] END AS intros, o % 3 + 2 AS c, o // 3 % 3 + 2 AS q, {literal(PLACES)}[CAST(o // 3 % 3 + 1 AS INT)] AS place FROM x, parts),
+z AS (SELECT *, list_filter(own, lambda s: NOT list_contains(intros, s)) AS missing FROM y)
+SELECT o AS l_orderkey, array_to_string(list_transform(list_filter(said, lambda s: NOT list_contains(known, s)), lambda s: 'unknown song: ' || s)
+  || list_transform(list_filter(intros, lambda s: NOT list_contains(own, s)), lambda s: 'no such set to introduce: ' || s)
+  || CASE WHEN len(missing) > 0 THEN ['no intro of sets: ' || array_to_string(missing, ', ')] ELSE [] END
+  || CASE WHEN c <> n THEN ['claims ' || c || ' sets'] ELSE [] END || CASE WHEN q > n THEN ['mentions a ' || place || ' set'] ELSE [] END
+  || CASE WHEN o % 5 = 0 THEN list_transform(said, lambda s: 'vague, but names ' || s) || ['vague, but claims ' || c || ' sets', 'vague, but mentions a ' || place || ' set'] ELSE [] END, '; ') AS problems FROM z""")
+def script_guard(spark, d):
+    """Scripts about orders: a number of sets, an ordinal, the order's first part and another one, and intros that may lack or invent a set."""
+    part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("other"))
+    n, o = part.count(), F.col("l_orderkey")
+    shows = setlists(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "label", "p_name"))).alias("all")).withColumn("at", (o * 5 + 1) % n).join(part, F.col("at") == F.col("p_partkey"))
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at % 3 + 1).cast("int"))
+    prose = F.concat(pick(COUNTS, o), F.lit(" sets tonight, and the "), pick(PLACES, F.floor(o / 3)), F.lit(" set burns."))
+    intros = F.split(pick(["1", "1 2", "1 encore"], o), " ")
+    known = F.transform("all", lambda x: x["p_name"])
+    problems = guards.script_guard(prose, intros, F.transform("all", lambda x: x["label"]), F.array(known[0], F.col("other")), known, o % 5 == 0)
+    return shows.select("l_orderkey", F.array_join(problems, "; ").alias("problems"))
+
+
 def _files(case: int) -> list[tuple]:
     """(case, name, source, original, format, length, track, title, pos) of a case's files."""
     if case == 0:

@@ -88,6 +88,15 @@ VENUES = [
     ("Winterland", None, False),
 ]
 
+#: prose, sets with an intro, the show's sets, songs mentioned, its tracks, whether it must stay vague, and what is wrong.
+SCRIPTS = [
+    ("Two sets tonight.", ["1", "2"], ["1", "1", "2", "encore"], ["bertha"], ["Bertha", "Deal"], False, []),
+    ("Three sets, and the third set burns.", ["1", "2"], ["1", "2"], [], ["Bertha"], False, ["claims 3 sets", "mentions a third set"]),
+    ("Enjoy.", ["1", "encore"], ["1", "2", "encore"], ["Dark Star", "NFA"], ["Not Fade Away"], False, ["unknown song: Dark Star", "no such set to introduce: encore", "no intro of sets: 2"]),
+    ("Two sets; the second set is fine.", ["1", "2"], ["1", "2"], ["Bertha"], ["Bertha"], True, ["vague, but names Bertha", "vague, but claims 2 sets", "vague, but mentions a second set"]),
+    ("A fourth set and a second set.", ["1"], ["1"], [], [], False, ["mentions a second set", "mentions a fourth set"]),
+]
+
 
 def numbered(spark, rows, columns):
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + columns)
@@ -119,3 +128,10 @@ def test_dates(spark):
 def test_venues(spark):
     got = recovery.venue_mismatches(numbered(spark, [r[:2] for r in VENUES], "a string, b string"), "k", "a", "b").orderBy("k").collect()
     assert [r.equivalent for r in got] == [x for *_, x in VENUES]
+
+
+def test_scripts(spark):
+    columns = ("prose", "intros", "sets", "mentioned", "known", "vague")
+    df = numbered(spark, [r[:-1] for r in SCRIPTS], "prose string, intros array<string>, sets array<string>, mentioned array<string>, known array<string>, vague boolean")
+    got = df.withColumn("problems", guards.script_guard(*[F.col(c) for c in columns])).orderBy("k").collect()
+    assert [r.problems for r in got] == [x for *_, x in SCRIPTS]
