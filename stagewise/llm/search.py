@@ -176,6 +176,8 @@ def fetched(lists: DataFrame, shares: int) -> DataFrame:
             for term, rows, parts, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = np.frombuffer(parts, np.int32)
                 parts = parts[: int(np.searchsorted(-parts, -least, "right"))]
+                if not len(parts):  # the whole list is under the threshold
+                    continue
                 rows = np.frombuffer(rows, np.int64)[: len(parts)]
                 share = (mixed(rows.view(np.uint64), 0x9FB21C651E98DF25) % np.uint64(shares)).astype(np.int64)
                 order = np.argsort(share, kind="stable")

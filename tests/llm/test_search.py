@@ -58,3 +58,13 @@ def test_large_tables_are_joined_and_lists_meet_items_in_groups(spark, monkeypat
     d = spark.createDataFrame(docs, "doc_id long, text string")
     q = spark.createDataFrame(items, "item_id long, text string")
     assert Counter(map(tuple, search(d, q, 5).collect())) == plain_search(docs, items, 5)
+
+
+def test_lists_with_nothing_above_the_threshold(spark):
+    """Copies raise an item's bound: a common term's list ends before its first entry, and so does one lot of several."""
+    docs = [(k, "rare1 rare2 rare3") for k in range(60)] + [(100 + k, "common " + "other " * (20 + k)) for k in range(200)]
+    items = [(1, "rare1 rare2 rare3 common"), (2, "rare1 rare2 rare3")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame(items, "item_id long, text string")
+    for entries in (100_000, 20):
+        assert Counter(map(tuple, search(d, q, 50, entries=entries).collect())) == plain_search(docs, items, 50)
