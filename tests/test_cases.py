@@ -135,3 +135,15 @@ def test_scripts(spark):
     df = numbered(spark, [r[:-1] for r in SCRIPTS], "prose string, intros array<string>, sets array<string>, mentioned array<string>, known array<string>, vague boolean")
     got = df.withColumn("problems", guards.script_guard(*[F.col(c) for c in columns])).orderBy("k").collect()
     assert [r.problems for r in got] == [x for *_, x in SCRIPTS]
+
+
+def test_junk_filter_bounds_the_rows_of_a_task(spark, monkeypatch):
+    from stagewise.operators import files
+
+    monkeypatch.setattr(files, "TASK_ROWS", 50, raising=False)
+    rows = [(k, n, "s" if n < 4 else "t", "original" if n % 2 else "derivative", f"f{n}", f"f{n - 1}" if n < 4 else None, 100.0) for k in range(200) for n in range(1, 6)]
+    df = spark.createDataFrame(rows, "item long, n long, stem string, source string, name string, original string, secs double")
+    got = files.junk_filter(df, "item", name="name", stem="stem", source="source", original="original", seconds="secs", position="n")
+    assert got.rdd.getNumPartitions() == 20
+    assert {(r.n, tuple(r.reasons)) for r in got.collect()} == {(1, ()), (2, ()), (3, ()), (4, ("derivative of unknown original", "filename convention mismatch")), (5, ("filename convention mismatch",))}
+    assert {tuple(r)[1:] for r in files.format_preference(got, "item", "stem", got.n != 5, ["x", "t", "s"]).collect()} == {("t", 1, 2)}
