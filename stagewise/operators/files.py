@@ -48,9 +48,11 @@ def duration_floor(files: DataFrame, item: str, seconds: str) -> DataFrame:
 
 def format_preference(files: DataFrame, item: str, kind: str, kept: Column, preference: Sequence[str]) -> DataFrame:
     """item with the first preferred format that has a kept file, else the first that has any, and its numbers of files."""
-    order = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col(kind))
-    by = files.where(F.col(kind).isin(list(preference))).groupBy(item, kind).agg(F.count_if(kept).alias("n_kept"), F.count(F.lit(1)).alias("n_files"))
-    best = by.groupBy(item).agg(F.min(F.struct(F.col("n_kept") == 0, order.alias("o"), F.col(kind).alias("kind"), F.col("n_kept").alias("n_kept"), F.col("n_files").alias("n_files"))).alias("b"))
+    # two counts for each format: one hashed row an item, and nothing to sort
+    counts = [x for k, p in enumerate(preference) for x in (F.count_if((F.col(kind) == p) & kept).alias(f"__kept{k}"), F.count_if(F.col(kind) == p).alias(f"__files{k}"))]
+    by = files.where(F.col(kind).isin(list(preference))).groupBy(item).agg(*counts)
+    found = F.array(*[F.when(F.col(f"__files{k}") > 0, F.struct((F.col(f"__kept{k}") == 0).alias("none"), F.lit(k).alias("o"), F.lit(p).alias("kind"), F.col(f"__kept{k}").alias("n_kept"), F.col(f"__files{k}").alias("n_files"))) for k, p in enumerate(preference)])
+    best = by.select(item, F.array_min(found).alias("b"))
     return best.select(item, F.col("b.kind").alias(kind), F.col("b.n_kept").alias("n_kept"), F.col("b.n_files").alias("n_files"))
 
 
