@@ -73,7 +73,8 @@ def looked_up(c: Column, table: dict[str, str] | None) -> Column:
     """The table's value, or the text itself."""
     if not table:
         return c
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.transform(F.array(c), lambda x: F.coalesce(F.try_element_at(known, x), x))[0]  # c is evaluated once
 
 
 def normalize_title(c: str | Column, aliases: dict[str, str] | None = None) -> Column:
@@ -119,18 +120,31 @@ def same_song(a: Column, b: Column) -> Column:
     return (a == b) | (~different & (part(a, b) | part(b, a) | (closed(a) == closed(b))))
 
 
+def song_names(c: Column) -> Column:
+    """What known_names() looks up for a song that prose names, in normal form: the whole name, and of each link of a chain its name and the parts of a list."""
+    # signs between pieces are blanks in normal form, so each piece is normalised once, and longer names are put together from them
+    joined = lambda x: looked_up(F.array_join(F.filter(x, lambda y: y != ""), " "), ALIASES)
+    pieces = lambda x, sign: F.filter(F.split(x, sign), lambda y: F.trim(y) != "")
+    several = lambda x, sign, body: F.transform(F.array(pieces(x, sign)), lambda y: F.transform(F.when(F.size(y) > 1, y).otherwise(F.array(x)), body))[0]
+    links = several(c, "->|>|→", lambda x: several(x, ",", lambda y: normalize_title(y)))
+    told = lambda x: F.struct(joined(F.flatten(x)).alias("whole"), F.transform(x, lambda y: F.struct(joined(y).alias("name"), F.transform(y, lambda z: looked_up(z, ALIASES)).alias("parts"))).alias("links"))
+    return F.when(c.isNotNull(), F.transform(F.array(links), told)[0])
+
+
+def known_names(names: Column, known: Column) -> Column:
+    """known_song() of song_names()."""
+    has = lambda x: F.array_contains(known, x)
+    loose = lambda x: F.exists(known, lambda k: within_words(x, k) | within_words(k, x))
+    return has(names["whole"]) | F.forall(names["links"], lambda x: has(x["name"]) | F.forall(x["parts"], lambda y: has(y) | loose(y)))
+
+
 def known_song(c: Column, known: Column) -> Column:
     """Whether a song that prose names is among known normal forms.
 
     A whole name must be one of them; else a chain of songs is known if every part is, and so is a list with commas;
     a single title may also be a run of a known one's words, or the other way round.
     """
-    name = lambda x: normalize_title(x, ALIASES)
-    whole = lambda x: F.array_contains(known, name(x))
-    loose = lambda x: F.exists(known, lambda k: within_words(name(x), k) | within_words(k, name(x)))
-    pieces = lambda x, sign: F.filter(F.split(x, sign), lambda y: F.trim(y) != "")
-    listed = lambda x: whole(x) | F.when(F.size(pieces(x, ",")) > 1, F.forall(pieces(x, ","), lambda y: whole(y) | loose(y))).otherwise(loose(x))
-    return whole(c) | F.when(F.size(pieces(c, "->|>|→")) > 1, F.forall(pieces(c, "->|>|→"), listed)).otherwise(listed(c))
+    return F.transform(F.array(song_names(c)), lambda x: known_names(x, known))[0]
 
 
 def is_filler(c: str | Column) -> Column:

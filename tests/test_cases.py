@@ -147,3 +147,19 @@ def test_junk_filter_bounds_the_rows_of_a_task(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 20
     assert {(r.n, tuple(r.reasons)) for r in got.collect()} == {(1, ()), (2, ()), (3, ()), (4, ("derivative of unknown original", "filename convention mismatch")), (5, ("filename convention mismatch",))}
     assert {tuple(r)[1:] for r in files.format_preference(got, "item", "stem", got.n != 5, ["x", "t", "s"]).collect()} == {("t", 1, 2)}
+
+
+def test_names_are_normalised_once_a_song(spark):
+    from stagewise.functions.text import known_song
+
+    song, known = F.col("song"), F.col("known")
+    df = spark.createDataFrame([("Dark Star", ["dark star"])], "song string, known array<string>").select(known_song(song, known).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9 ]+") == 1
+
+
+def test_known_song_at_the_edges(spark):
+    from stagewise.functions.text import known_song
+
+    cases = [("A > B, c", ["a", "b", "c"], True), ("a > b", ["a"], False), ("a, ->", ["a"], True), ("> a", ["a"], True), (", >", ["a"], False), (", >", [""], True), (None, ["a"], None), ("", [], False), ("Big, Red", ["big red"], True), ("x, Red", ["big red"], False), ("Red -> Big, Red", ["big red"], True), ("red", ["big red one"], True), ("Don't  Stop", ["dont stop now"], True), ("a > , ", ["a"], True)]
+    df = spark.createDataFrame(cases, "song string, known array<string>, want boolean")
+    assert [(r.song, r.got) for r in df.withColumn("got", known_song(F.col("song"), F.col("known"))).collect()] == [(s, w) for s, _, w in cases]
