@@ -2,8 +2,8 @@
 
 A task's answer is a list of rows of one type (a struct, with arrays in it). The prompt holds a batch of keys; rows that
 fit are taken, and keys that the answer misses or answers wrongly are asked alone, with the reason. What is asked is
-neither shuffled nor collected: batches are formed from a partition's rows as they come. Answers cost money, so callers
-write them out (shipping.checkpointed, stages.Kept) before they use them twice.
+neither shuffled nor collected: batches are formed from a partition's rows as they come. Answers cost money: tasks that
+use them more than once write them out first, and callers of run_batched() do so (shipping.checkpointed, stages.Kept).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from stagewise.functions.text import normalize_date, normalize_title
 from stagewise.functions.titles import ALIASES
 from stagewise.operators import guards, structure
 from stagewise.operators.tasks import WAITS, ask, extract_json, render
-from stagewise.shipping import ship
+from stagewise.shipping import checkpointed, ship
 
 #: What the tasks answer, but for the key.
 ASSESSMENT = "quality_score double not null, non_attendee_evidence string, recording_complaints array<string>, rationale string"
@@ -114,15 +114,18 @@ def asked(provider: Callable | Sequence[Callable], template: str, name: str, key
     for k in sorted(alone):
         mine = items[k][key]
 
-        def check(x: object, mine: str = mine) -> None:
+        taken: dict[str, dict] = {}
+
+        def check(x: object, mine: str = mine, taken: dict = taken) -> None:
             good, bad = _answered(x, name, key, kind)
             if mine not in good:
                 raise ValueError(bad.get(mine, f"{mine} has no row"))
+            taken[mine] = good[mine]
 
         note = f"\n\nAn answer before this one was not valid: {reasons[mine]}" if mine in reasons else ""
         try:
-            said = ask(provider, prompt([items[k]]) + note, check, extract_json, tries, waits)
-            out[k] = (_answered(said, name, key, kind)[0][mine], None)
+            ask(provider, prompt([items[k]]) + note, check, extract_json, tries, waits)
+            out[k] = (taken[mine], None)
         except Exception as e:
             out[k] = (None, f"{type(e).__name__}: {e}"[:500])
     return out
@@ -160,7 +163,7 @@ def run_batched(df: DataFrame, key: str, inputs: Sequence[str], template: str, p
 
 def score_reviews(candidates: DataFrame, key: str, inputs: Sequence[str], template: str, provider, reviewed: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(assessments by key, failures with error). reviewed: the column with the recording whose reviews were sent; the model doesn't say it."""
-    got = run_batched(candidates, key, inputs, template, provider, "assessments", ASSESSMENT, **options)
+    got = checkpointed(run_batched(candidates, key, inputs, template, provider, "assessments", ASSESSMENT, **options))
     good = got.where("answer is not null").select(key, "answer.*").withColumn("recording_complaints", F.coalesce("recording_complaints", F.array().cast("array<string>")))
     if reviewed:
         about = candidates.dropDuplicates([key]).select(F.col(key).alias("__k"), F.col(reviewed).alias("reviewed_identifier"))
@@ -189,7 +192,7 @@ def align_structures(tracks: DataFrame, items: DataFrame, show: str, index: str,
     own = tracks.groupBy(show).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("index"), F.col(title).alias("title")))).alias("tracks"))
     listed = items.groupBy(F.col(show).alias("__s")).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("position"), F.col(item_title).alias("title"), F.col(label).alias("set")))).alias("setlist"))
     rows = own.join(listed, F.col(show) == F.col("__s"), "left").select(show, "tracks", "setlist")
-    got = run_batched(rows, show, ["tracks", "setlist"], template, provider, "shows", STRUCTURE, **({"size": 1} | options))
+    got = checkpointed(run_batched(rows, show, ["tracks", "setlist"], template, provider, "shows", STRUCTURE, **({"size": 1} | options)))
     said = got.where("answer is not null").select(show, F.explode("answer.tracks").alias("t")).select(show, F.col("t.index").alias("index"), F.col("t.set").alias("set"), F.col("t.segue").alias("segue"), F.col("t.matched_title").alias("matched_title"))
     if index != "index":
         said = said.withColumnRenamed("index", index)
