@@ -204,7 +204,7 @@ def vet_research(research: DataFrame, facts: DataFrame, dates: DataFrame, show:
 
     facts: show, known (a title); dates: show, date. adopted: the date that replaces a placeholder; wrong_dates: those asserted that differ from the show's.
     """
-    got = run_batched(research, show, [text], template, provider, "shows", VETTING, **({"size": 1} | options))
+    got = checkpointed(run_batched(research, show, [text], template, provider, "shows", VETTING, **({"size": 1} | options)))
     good = got.where("answer is not null").select(show, "answer.*")
     songs = guards.grounding_flags(good.select(show, F.explode("asserted_songs").alias("song")), facts, show, "song", known)
     when = F.array_compact(F.transform(F.coalesce("asserted_dates", F.array().cast("array<string>")), normalize_date))

@@ -110,3 +110,23 @@ def test_setlists_of_a_model_rank_like_parsed_ones(spark):
     row = good.withColumn("n", F.size("items")).first()
     assert [tuple(x) for x in row["items"]] == [("Bertha", "bertha", "1", False), ("Deal", "deal", "2", True)] and row.confidence == "low" and row.n == 2
     assert failed.count() == 0
+
+
+def test_models_are_asked_once_a_show(spark, tmp_path):
+    """Answers that a task uses more than once are written out first."""
+    asked = str(tmp_path / "asked")
+
+    def provider(prompt):
+        with open(asked, "a") as f:
+            f.write("x\n")
+        said = json.loads(prompt)[0]
+        tracks = [{"index": 1, "set": "1", "segue": False, "matched_title": ""}]
+        return json.dumps({"shows": [{"show": said["show"], "asserted_songs": ["a"], "asserted_dates": [], "asserted_set_count": 1, "tracks": tracks}]})
+
+    shows = spark.createDataFrame([(str(k), "said", 1, "a", "1977-05-08", "1") for k in range(6)], "show string, text string, k int, title string, date string, label string")
+    good, failed = models.vet_research(shows, shows, shows, "show", "text", "title", "date", "{{items}}", provider)
+    assert (good.count(), failed.count()) == (6, 0)
+    assert len(open(asked).readlines()) == 6
+    good, failed = models.align_structures(shows, shows, "show", "k", "title", "k", "title", "label", "{{items}}", provider)
+    assert (good.count(), failed.count()) == (6, 0)
+    assert len(open(asked).readlines()) == 12
