@@ -163,3 +163,8 @@ def test_known_song_at_the_edges(spark):
     cases = [("A > B, c", ["a", "b", "c"], True), ("a > b", ["a"], False), ("a, ->", ["a"], True), ("> a", ["a"], True), (", >", ["a"], False), (", >", [""], True), (None, ["a"], None), ("", [], False), ("Big, Red", ["big red"], True), ("x, Red", ["big red"], False), ("Red -> Big, Red", ["big red"], True), ("red", ["big red one"], True), ("Don't  Stop", ["dont stop now"], True), ("a > , ", ["a"], True)]
     df = spark.createDataFrame(cases, "song string, known array<string>, want boolean")
     assert [(r.song, r.got) for r in df.withColumn("got", known_song(F.col("song"), F.col("known"))).collect()] == [(s, w) for s, _, w in cases]
+
+
+def test_a_title_is_normalised_once_for_its_alias(spark):
+    df = spark.createDataFrame([("GDTRFB",)], "title string").select(X.normalize_title("title", X.ALIASES).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9 ]+") == 1
