@@ -15,11 +15,19 @@ that part from the crowd earlier are surer). Nodes with one row
 end; nodes of up to `leaf` rows are compared exhaustively; larger ones branch
 on. Nodes of different trees with the same members are compared once.
 
+Crowds. A crowd of near-copies would meet again in nearly every tree. So rows that share a
+value of one of a few coordinates are counted, and of the greatest such crowds some rows vote
+for a centre, coordinate by coordinate. Every row is compared with the centres once, before the
+trees. Disagreeing coordinates are a metric: if rows that disagree in more than h coordinates are
+never links, a row linked with one within h of a centre is within 2h of it. Rows within 2h are tied,
+and those within h take no part in the trees: all that they may be linked with is tied to
+the same row. Centres with few near-copies among the rows within 2h (a passage that many texts
+share), and crowds that aren't among the greatest, are left to the trees.
+
 Large nodes. A node of more than `leaf` rows is mostly one crowd of near-copies, and
 branching all of it again and again finds nothing new. So a few of its rows, the
-pivots, are compared with every row by their signatures, in blocks of the node. Disagreeing
-coordinates are a metric: if rows that disagree in more than h coordinates are never
-links, and x disagrees with a pivot in r at most, then a row linked with x disagrees with that
+pivots, are compared with every row by their signatures, in blocks of the node. If
+x disagrees with a pivot in r at most, then a row linked with x disagrees with that
 pivot in r + h at most. Rows so near to a pivot are tied to it, and those within r
 are done with in this node; only the others branch on. No proposal is lost by that, and
 a crowd of any size is one level's rows.
@@ -226,6 +234,87 @@ def _with_last(batches: Iterator) -> Iterator[tuple]:
         now = after
 
 
+def compare(rep: np.ndarray, sig: np.ndarray, pivots: np.ndarray, known: np.ndarray, u: Union, within: int, far: int) -> Iterator[tuple]:
+    """(row, tie, whether it goes on) of rows against pivots; known names the row to tie those near a pivot to. Ties of such rows come with them, and don't go on."""
+    apart = np.stack([(sig != p).sum(1) for p in pivots], 1)
+    near, done = apart <= within + far, (apart <= within).any(1)
+    first = near.argmax(1)
+    for i in np.flatnonzero(near.sum(1) > 1).tolist():
+        for k in np.flatnonzero(near[i]).tolist():
+            if u.join(int(first[i]), k):
+                yield int(known[k]), int(known[first[i]]), False
+    for x, some, k, d in zip(rep.tolist(), near.any(1).tolist(), first.tolist(), done.tolist(), strict=True):
+        yield x, int(known[k]) if some else None, not d
+
+
+#: Rows that share a value of one of the LOOKED_AT first coordinates are a crowd from so many on; crowds at most; rows that vote for a centre, at most;
+#: rows tied to a centre, at most, for each one that is as near as the threshold.
+CROWD, LOOKED_AT, CROWDS, VOTERS, LOOSE = 1000, 4, 64, 64, 4
+
+
+def centres(reps: DataFrame, within: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of the centres of the greatest crowds of near-copies among reps (rep, sig), CROWDS at most; the row is one to tie others to."""
+    value = lambda c: F.struct(F.lit(c).alias("c"), F.expr(f"substring(sig, {4 * c + 1}, 4)").alias("value"))
+    keyed = reps.select("rep", "sig", F.explode(F.array(*map(value, range(LOOKED_AT)))).alias("at"))
+    crowds = checkpointed(keyed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).orderBy(F.desc("n"), "at").limit(CROWDS))
+
+    def vote(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        sig = _signatures(t.column("sig"))
+        centre = np.array([v[n.argmax()] for v, n in (np.unique(x, return_counts=True) for x in sig.T)], np.uint32)
+        k = int((sig != centre).sum(1).argmin())
+        return t.slice(k, 1).select(["n", "rep"]).append_column("centre", pa.array([centre.tobytes()], pa.binary()))
+
+    few = keyed.join(F.broadcast(crowds), "at").groupBy("at", "n", F.pmod(F.xxhash64("rep"), F.lit(VOTERS)).alias("__of")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(5)), "rep", "sig")).alias("x"))
+    known, sigs = [], np.empty((0, COORDINATES), np.uint32)
+    if not crowds.isEmpty():
+        for n, rep, centre in sorted(few.select("at", "n", "x.rep", "x.sig").groupBy("at").applyInArrow(vote, "n long, rep long, centre binary").collect(), key=lambda x: (-x.n, x.rep, x.centre)):
+            sig = np.frombuffer(centre, np.uint32)
+            if not ((sigs != sig).sum(1) <= within).any():  # each crowd is found by several coordinates
+                known.append(rep)
+                sigs = np.vstack([sigs, sig])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close, near = np.zeros(len(sigs), np.int64), np.zeros(len(sigs), np.int64)
+        for batch in batches:
+            sig = _signatures(batch.column(0))
+            for k, p in enumerate(sigs):
+                apart = (sig != p).sum(1)
+                close[k] += (apart <= within).sum()
+                near[k] += (apart <= 2 * far).sum()
+        yield _batch(["k", "close", "near"], pa.array(range(len(sigs)), pa.int64()), pa.array(close), pa.array(near))
+
+    if known:
+        counts = reps.select("sig").mapInArrow(count, "k long, close long, near long").groupBy("k").agg(F.sum("close").alias("close"), F.sum("near").alias("near"))
+        taken = sorted(r.k for r in counts.where(F.col("near") <= LOOSE * F.col("close")).collect())
+        known, sigs = [known[k] for k in taken], sigs[taken]
+    return np.array(known, np.int64), sigs
+
+
+def without_crowds(reps: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
+    """(reps without the rows of crowds that are tied to all they may be linked with, ties (a, b) of crowds, if there are any)."""
+    far = COORDINATES - least_agreement(threshold, recall)
+    known, sigs = centres(reps, COORDINATES - round(COORDINATES * threshold), far)
+    if not len(known):
+        return reps, None
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = Union()
+        for batch in batches:
+            rows = compare(np.asarray(batch.column(0)), _signatures(batch.column(1)), sigs, known, u, far, far)
+            pairs = [(min(x, tie), max(x, tie)) for x, tie, _ in rows if tie is not None and tie != x]
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _signatures(batch.column(1))
+            yield batch.filter(pa.array(np.all([(sig != p).sum(1) > far for p in sigs], 0)))
+
+    rows = reps.select("rep", "sig")
+    return rows.mapInArrow(left, "rep long, sig binary"), checkpointed(rows.mapInArrow(tied, "a long, b long"))
+
+
 #: Rows of a large node that all its rows are compared with, and rows of a node that one task compares with them.
 PIVOTS, NODE_BLOCK = 16, 10_000
 
@@ -238,17 +327,6 @@ def resolved(large: DataFrame, reps: DataFrame, threshold: float, recall: float)
     far = COORDINATES - least_agreement(threshold, recall)
     within = COORDINATES - round(COORDINATES * threshold)
 
-    def compare(rep: np.ndarray, sig: np.ndarray, pivots: np.ndarray, known: np.ndarray, u: Union) -> Iterator[tuple]:
-        apart = np.stack([(sig != p).sum(1) for p in pivots], 1)
-        near, done = apart <= within + far, (apart <= within).any(1)
-        first = near.argmax(1)
-        for i in np.flatnonzero(near.sum(1) > 1).tolist():
-            for k in np.flatnonzero(near[i]).tolist():
-                if u.join(int(first[i]), k):
-                    yield int(known[k]), int(known[first[i]]), False
-        for x, some, k, d in zip(rep.tolist(), near.any(1).tolist(), first.tolist(), done.tolist(), strict=True):
-            yield x, int(known[k]) if some else None, not d
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivots, known, u = None, None, None, Union()
         for batch in batches:
@@ -261,7 +339,7 @@ def resolved(large: DataFrame, reps: DataFrame, threshold: float, recall: float)
                     now, pivots, known, u = key, sig[:0], rep[:0], Union()
                 at = i + int(pivot[i:j].sum())  # pivots come first
                 pivots, known = np.concatenate([pivots, sig[i:at]]), np.concatenate([known, rep[i:at]])
-                out += [(int(node[i]), *x) for x in compare(rep[at:j], sig[at:j], pivots, known, u)] if at < j else []
+                out += [(int(node[i]), *x) for x in compare(rep[at:j], sig[at:j], pivots, known, u, within, far)] if at < j else []
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             yield _batch(["node", "rep", "tie", "stays"], *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)))
 
@@ -275,8 +353,8 @@ def resolved(large: DataFrame, reps: DataFrame, threshold: float, recall: float)
 
 def proposed(reps: DataFrame, threshold: float, recall: float, depth: int, leaf: int) -> DataFrame:
     """Ties (a, b) between representatives (rep, sig)."""
+    reps, ties = without_crowds(reps, threshold, recall)
     rows = children(reps, threshold, trees_for(recall, depth, threshold))
-    ties: DataFrame | None = None
     for level in range(1, depth + 1):
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"), F.min("rep").alias("least")).where("n > 1")
         # leaves with the same members count once

@@ -261,3 +261,57 @@ def test_rows_of_large_groups_grow_in_proportion(spark, monkeypatch):
         sums[n] = sum(rows_of_levels)
     assert sums[2000] < 4.5 * sums[500]
     print(f"rows of nodes: {sums}")
+
+
+def test_rows_of_a_crowd_are_left_out_of_the_trees(spark, monkeypatch):
+    """Members of nodes for 1,500 near-copies among others; the crowd is one class and the others are none of it."""
+    from stagewise.llm import near_dedup
+
+    members = []
+    write = near_dedup.checkpointed
+
+    def counted(df):
+        out = write(df)
+        if df.columns == ["node", "rep", "large", "n"]:
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpointed", counted)
+    dice = random.Random(2)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        text = list(base)
+        for _ in range(dice.randrange(6)):
+            text[dice.randrange(200)] = f"x{dice.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    rows += [(2000 + i, " ".join(f"y{dice.randrange(10**6)}" for _ in range(100))) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=4).collect()}
+    assert got == {i: 0 if i < 1500 else i for i, _ in rows}
+    assert sum(members) < 1500
+
+
+@pytest.mark.parametrize("crowd", [5, 20])
+def test_near_duplicates_with_crowds(spark, monkeypatch, crowd):
+    """Several small crowds with a centre each, and a passage that unlike texts share, against all pairs."""
+    from stagewise.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    dice = random.Random(crowd)
+    word = lambda: f"w{dice.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i - 30, text) for i, text in corpus(crowd, 120)]
+    for group in range(3):
+        base = [word() for _ in range(100)]
+        for i in range(50):
+            text = list(base)
+            for _ in range(dice.randrange(12)):
+                text[dice.randrange(100)] = word()
+            rows.append((1000 * (group + 1) + i, " ".join(text)))
+    rows += [(9000 + i, " ".join(passage + [word() for _ in range(dice.randrange(20, 80))])) for i in range(60)]
+    found = []
+    look = near_dedup.centres
+    monkeypatch.setattr(near_dedup, "centres", lambda *x: found.append(look(*x)) or found[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=4, recall=0.99999).collect()}
+    assert len(found[0][0]) > 1
+    assert got == near_brute(rows, 4)
