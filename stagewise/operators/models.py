@@ -183,8 +183,9 @@ def extract_setlists(descriptions: DataFrame, key: str, text: str, template: str
     got = run_batched(descriptions, key, [text], template, provider, "setlists", SETLIST, **({"size": 1} | options))
     song = lambda x: F.struct(x["title"].alias("title"), normalize_title(x["title"], ALIASES).alias("normalized"), x["set"].alias("set"), F.coalesce(x["segue"], F.lit(False)).alias("segue"))
     trust = F.when(F.col("answer.confidence").isin("low", "medium", "high"), F.col("answer.confidence")).otherwise("low")
-    good = got.where("answer is not null").select(key, F.transform("answer.items", song).alias("items"), trust.alias("confidence"))
-    return good, got.where("answer is null").select(key, "error")
+    # a row has an answer or an error; asked of the answer, its JSON would be read twice
+    good = got.where("error is null").select(key, F.transform("answer.items", song).alias("items"), trust.alias("confidence"))
+    return good, got.where("error is not null").select(key, "error")
 
 
 def align_structures(tracks: DataFrame, items: DataFrame, show: str, index: str, title: str, position: str, item_title: str, label: str, template: str, provider, **options) -> tuple[DataFrame, DataFrame]:
